@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import line_dedup, mixing
+from glossa.llm import fingerprints, line_dedup, mixing, token_counts, token_output
 
-MODULES = (mixing, line_dedup)
+MODULES = (mixing, fingerprints, token_counts, line_dedup, token_output)
 
 
 def queries():
