@@ -67,7 +67,7 @@ def verdicts(occ: DataFrame, min_docs: int, partitions: int) -> DataFrame:
     )
 
 
-def drop_bitmaps(occ: DataFrame, bad: DataFrame, partitions: int) -> DataFrame:
+def drop_bitmaps(occ: DataFrame, bad: DataFrame) -> DataFrame:
     """doc_id, keep: array of (word, bits), the words of the keep bitmap that have a cleared bit."""
     side = F.broadcast(bad) if small(bad) else bad
     gone = occ.join(side, ["a", "b"]).filter(F.col("doc_id") != F.col("keeper"))
@@ -85,9 +85,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     occ = staged(occurrences(docs, min_chars), "line-hashes")
     bad = staged(verdicts(occ, min_docs, partitions), "line-verdicts")
-    maps = staged(drop_bitmaps(occ, bad, partitions), "line-bitmaps").withColumnRenamed("doc_id", "_id")
-    if small(maps, 20_000):
-        maps = F.broadcast(maps)
+    # always by shuffle: the bitmaps grow with the documents
+    maps = staged(drop_bitmaps(occ, bad), "line-bitmaps").withColumnRenamed("doc_id", "_id").hint("merge")
     joined = docs.select("doc_id", "text").join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", lines(F.col("text")))
     whole = F.lit(2**BITS - 1)
 
