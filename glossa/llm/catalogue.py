@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import decontamination, fingerprints, line_dedup, mixing, simhash, token_counts, token_output, toxicity
+from glossa.llm import decontamination, fingerprints, html_text, line_dedup, mixing, simhash, token_counts, token_output, toxicity
 
-MODULES = (mixing, fingerprints, decontamination, token_counts, simhash, line_dedup, toxicity, token_output)
+MODULES = (mixing, fingerprints, decontamination, token_counts, simhash, line_dedup, toxicity, token_output, html_text)
 
 
 def queries():
