@@ -115,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence:
             out = out or ShardWriter(folder, model.kind, sequence, rows)
             doc_ids.append(batch.column("doc_id"))
             for text in batch.column("text").to_pylist():
-                ids = (model.ids(text) if text else b"") + end
+                ids = model.ids(text or "") + end
                 lengths.append(len(ids) // model.kind.itemsize)
                 out.add(ids)
         if out is None:

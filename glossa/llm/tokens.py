@@ -1,95 +1,110 @@
-"""Tokenizers for tasks: pre-token caches in front of the library, so a pre-token is encoded once a worker."""
+"""Tokenizers for tasks, with a cache of words before the library, so that a worker encodes a word once."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
 
-#: Pre-tokens whose encoding a worker keeps; the cache starts anew beyond that.
-CACHE = 500_000
-#: Characters from which a text's pre-tokens are taken in slices, not as one list.
-LONG, SLICE = 1_000_000, 200_000
+#: Words whose encoding a worker keeps; the cache starts anew beyond that.
+CACHE = 1_000_000
 
 # Fixed pattern of byte-level pre-tokenization, for texts in which Python's classes mean the same as the library's:
-# ASCII without "_" and the separators 1C-1F, Latin letters up to U+024F and general punctuation.
+# ASCII without "_", Latin letters up to U+024F and general punctuation, and of white space spaces and line feeds.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
-OTHER = re.compile("[^\x00-\x1b\x20-\x5e\x60-\x7f¡-±´-¸º»¿-ɏ‐-‧]")
+OTHER = re.compile("[^\n\x20-\x5e\x60-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027]")
 
 
-def pre_tokens(text: str) -> Iterator[list[str]]:
-    if len(text) < LONG:
-        yield PRE_TOKEN.findall(text)
-        return
-    found = (m.group() for m in PRE_TOKEN.finditer(text))
-    while part := list(islice(found, SLICE)):
-        yield part
+def plain(text: str) -> bool:
+    """Whether the library cuts the text at its spaces and line feeds: none beside another or at an end."""
+    if OTHER.search(text) or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+
+
+class Words(dict):
+    """Word to encoded value, ``encode(prefix + word)`` once each."""
+
+    def __init__(self, prefix: str, encode: Callable, known: dict | None = None) -> None:
+        super().__init__(known or {})
+        self.prefix, self.encode, self.known = prefix, encode, known or {}
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE:
+            self.clear()
+            self.update(self.known)
+        self[word] = value = self.encode(self.prefix + word)
+        return value
+
+
+class Lookup:
+    """Values of a text's words in order: with the space before them, or without at the start of a line."""
+
+    def __init__(self, encode: Callable, joined: Callable, known: dict | None = None) -> None:
+        parts = Words("", encode)
+        self.joined = lambda word: joined(map(parts.__getitem__, PRE_TOKEN.findall(word)))
+        self.spaced, self.bare, self.feed = Words(" ", self.joined, known), Words("", self.joined), encode("\n")
+
+    def __call__(self, text: str) -> list:
+        found = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            found.append(self.bare[words[0]])
+            found.extend(map(self.spaced.__getitem__, islice(words, 1, None)))
+            found.append(self.feed)
+        found.pop()
+        return found
 
 
 class Pieces:
     """Token ids of whole texts, as the library gives them, without begin, end or added special tokens.
 
-    A byte-level ``.json`` tokenizer without normalizer is looked up by pre-token; other texts and tokenizers go to
-    the library whole.
+    Words of a byte-level ``.json`` tokenizer without normalizer are looked up; texts that spaces may cut unlike the
+    library's pattern, or that hold a special string, and other tokenizers go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
+        self.special: list[str] = []
         self.by_library = path.endswith(".model")
         if self.by_library:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.library = lambda texts: model.encode(texts, num_threads=1)
-            self.vocabulary, self.special = model.get_piece_size(), None
+            self.encode = lambda text: model.encode(text, num_threads=1)
+            self.vocabulary = model.get_piece_size()
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            self.library = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            self.encode = lambda text: model.encode(text, add_special_tokens=False).ids
             self.vocabulary = model.get_vocab_size()
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-            plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-            plain = plain and not any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added)
-            self.by_library = not plain
-            self.special = {a["content"]: a["id"] for a in added}
-            self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+            pre = spec.get("pre_tokenizer") or {}
+            by_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+            self.by_library = not by_bytes
+            self.special = [a["content"] for a in spec.get("added_tokens") or []]
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        new = list({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set(words))
-        for w, ids in zip(new, self.library(new), strict=True):
-            self.cache[w] = self._pack(ids)
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        for words in pre_tokens(text):
-            try:
-                yield b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                self._learn(words)
-                yield b"".join(map(self.cache.__getitem__, words))
+        self.lookup = Lookup(lambda text: self.pack(self.encode(text)), b"".join)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
+
+    def whole(self, text: str) -> bool:
+        """Whether the library must see the text as one."""
+        return self.by_library or not plain(text) or any(s in text for s in self.special)
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of ``kind``."""
-        if self.by_library or OTHER.search(text):
-            return self._pack(self.library([text])[0])
-        if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(self._plain(text))
-        parts = self.cut.split(text)
-        return b"".join(self._pack([self.special[p]]) if p in self.special else b"".join(self._plain(p)) for p in parts if p)
+        if not text:
+            return b""
+        return self.pack(self.encode(text)) if self.whole(text) else b"".join(self.lookup(text))
 
 
 _loaded: dict[str, Pieces] = {}
