@@ -215,6 +215,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
     return checked.filter(F.col("coverage") >= similarity).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without those that contain a benchmark item."""
+    gone = contaminated(docs, items, window, similarity).select(F.col("doc_id").alias("_gone")).distinct()
+    # by shuffle at every size: what is found grows with the documents
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def op3_decontaminate(spark, sf_dir):
     """All pairs of ``documents`` and ``benchmark`` items that they contain, re-parameterised ones too."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -136,6 +136,14 @@ def mix(
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``docs`` as the mix takes them: whole documents, each as often as it is taken."""
+    taken = mix(docs, weights, budget, cap, cut=False).filter("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    joined = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*docs.columns)
+
+
 def op1_mix_sources(spark, sf_dir):
     """All ``documents`` mixed: sources weigh 3, 1, 2 in turn and share 150 % of all words, at most twice their own."""
     return mix(table(spark, sf_dir, "documents"))

@@ -86,18 +86,32 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprint(parts: list[bytes], seed: int = 42) -> int:
-    """64 bits, each set where over half of the shingles' hashes have it."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(parts), BLOCK):
-        h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts[at : at + BLOCK]), "<u8")
-        octets = h.view(np.uint8).reshape(-1, 8)
+def hashes(parts: list[bytes] | set[bytes], seed: int = 42) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), "<u8", len(parts))
+
+
+def widened(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit hashes for every hash, the first being itself."""
+    columns = [h]
+    for _ in range(words - 1):
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        columns.append(h ^ h >> np.uint64(31))
+    return np.stack(columns, axis=1)
+
+
+def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
+    """``words`` times 64 bits, each set where over half of the (widened) hashes have it."""
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), BLOCK):
+        octets = widened(h[at : at + BLOCK], words).view(np.uint8)
         if len(octets) < 2_000:
             counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         else:  # how often each octet has each value tells how often each bit is set
-            seen = np.bincount((octets + (np.arange(8, dtype=np.int64) << 8)).ravel(), minlength=2048).reshape(8, 256)
+            places = np.arange(octets.shape[1], dtype=np.int64) << 8
+            seen = np.bincount((octets + places).ravel(), minlength=len(places) << 8).reshape(-1, 256)
             counts += (seen @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)).ravel()
-    return int(np.packbits(2 * counts > len(parts), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
@@ -106,7 +120,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(shingles(t, size), seed) for t in batch.column("text").to_pylist()], np.uint64)
+            fp = np.array([majority(hashes(shingles(t, size), seed))[0] for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, fp long")
@@ -264,6 +278,125 @@ def grouped(found: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies by similarity: five-word shingles at 0.8 or more differ in about 15 % of a fingerprint's bits (the angle of
+# sets with Jaccard similarity s has the cosine 2s/(1+s)), too many for 64 bits and keys of halves. So documents get a
+# fingerprint of 128 bits of their shingles to be compared by, and keys from a second one of their distinct words, which near
+# copies keep nearly whole: ``TABLES`` times two Golay words, the pair of nearby codeword indices being a key of 24 bits.
+TABLES, SKETCH_WORDS = 2, 2
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """id, a, b, w0..: fingerprint of shingles as two longs, and each table's two words of 23 bits as one long."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            sketch, words = np.zeros((len(texts), SKETCH_WORDS), "<u8"), np.zeros((len(texts), TABLES), "<u8")
+            for i, text in enumerate(texts):
+                if parts := shingles(text, size):
+                    sketch[i] = majority(hashes(parts), SKETCH_WORDS)
+                    words[i] = majority(hashes(set(shingles(text, 1))), TABLES)
+            columns = [batch.column("id"), *(pa.array(c.copy().view(np.int64)) for c in (*sketch.T, *words.T))]
+            yield pa.record_batch(columns, names=["id", "a", "b", *(f"w{t}" for t in range(TABLES))])
+
+    return docs.mapInArrow(scan, "id long, a long, b long, " + ", ".join(f"w{t} long" for t in range(TABLES)))
+
+
+def sketch_keys(nodes: DataFrame) -> DataFrame:
+    """key, id, a, b for every pair of codeword indices near the two words of each table."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = golay()
+        for batch in batches:
+            keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t in range(TABLES):
+                word = batch.column(f"w{t}").to_numpy()
+                sides = []
+                for shift in (0, GOLAY_BITS):
+                    row, index = code.near(word >> shift & 0x7FFFFF)
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    near = np.full((len(word), 6), -1, np.int64)
+                    near[row, place] = index
+                    sides.append(near)
+                left, right = sides[0][:, :, None], sides[1][:, None, :]
+                row, i, j = np.nonzero((left >= 0) & (right >= 0))
+                keys.append(sides[0][row, i] << 12 | sides[1][row, j] | t << 24)
+                rows.append(row)
+            at = np.concatenate(rows)
+            columns = {"key": pa.array(np.concatenate(keys))} | {c: batch.column(c).take(pa.array(at)) for c in ("id", "a", "b")}
+            yield pa.record_batch(columns)
+
+    return nodes.mapInArrow(scan, "key long, id long, a long, b long")
+
+
+def in_chunks(rows: DataFrame, hot: int) -> DataFrame:
+    """Keys of over ``hot`` rows as keys of pairs of chunks: every two rows of a key still share one."""
+    counts = staged(rows.groupBy("key").count().filter(F.col("count") > hot), "simhash-hot")
+    if counts.isEmpty():
+        return rows
+    side = (F.broadcast(counts) if small(counts) else counts).select("key", F.ceil(2 * F.col("count") / hot).cast("int").alias("n"))
+    marked = rows.join(side, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    spread = marked.withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return spread.select(_hashed("key", F.least("c", "j"), F.greatest("c", "j")).alias("key"), "id", "a", "b")
+
+
+def _similar(bits: int):
+    def compare(batch_keys: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+        found, left, step = [], np.arange(len(batch_keys)), 1
+        while True:
+            left = left[left + step < len(batch_keys)]
+            left = left[batch_keys[left] == batch_keys[left + step]]
+            if not len(left):
+                return found
+            right = left + step
+            near = np.bitwise_count(a[left] ^ a[right]).astype(np.int64) + np.bitwise_count(b[left] ^ b[right]) <= bits
+            found += [(x, y) for x, y in zip(ids[left[near]].tolist(), ids[right[near]].tolist(), strict=True) if x != y and forest.join(x, y)]
+            step += 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held = Forest(), [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "id", "a", "b"), strict=True)]
+            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if found := compare(*(h[:end] for h in held), forest):
+                yield _edges(found)
+            held = [h[end:] for h in held]
+        if found := compare(*held, forest):
+            yield _edges(found)
+
+    return scan
+
+
+#: Stands for a null doc_id inside.
+NO_ID = -(2**63)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, bits: int = 22, hot: int = HOT) -> DataFrame:
+    """id, component_id of documents that are in a group with others; id is doc_id, or ``NO_ID`` for null.
+
+    Two documents are linked if their 128-bit fingerprints of ``size``-word shingles differ in at most ``bits`` bits: 22
+    stands for a similarity of 0.8, about three in four pairs of exactly that similarity and 19 in 20 at 0.85.
+    """
+    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    found = staged(sketches(read, size), "sketches")
+    words = [f"w{t}" for t in range(TABLES)]
+    nodes = staged(found.groupBy("a", "b").agg(F.min(F.struct("id", *words)).alias("n")).select("a", "b", "n.*"), "sketch-nodes")
+    keys = in_chunks(staged(sketch_keys(nodes), "sketch-keys"), hot)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_similar(bits), "u long, v long")
+    # a node's id is the smallest of its fingerprint, so a component's root is the smallest of all
+    roots = components(edges)
+    placed = nodes.join(roots, F.col("id") == F.col("node"), "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
+    return found.select("id", "a", "b").join(placed, ["a", "b"]).select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, bits: int = 22) -> DataFrame:
+    """``docs`` without those that are near copies of one with a smaller doc_id in their group."""
+    gone = similar_groups(docs, size, bits).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
+    # by shuffle at every size: the copies grow with the documents
+    return docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+
+
 def op5_simhash(spark, sf_dir):
     """All ``documents`` by 64-bit SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
     out = near_groups(table(spark, sf_dir, "documents"))

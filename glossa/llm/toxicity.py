@@ -105,38 +105,61 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return staged(sparse.groupBy().applyInPandas(fitted, "place int, weight double"), "toxicity-weights")
 
 
+class Scorer:
+    """Severity of texts in a task, with a bounded cache of words' features."""
+
+    def __init__(self, weights: dict[int, float]) -> None:
+        self.weights, self.t = weights, (weights.get(-1, 40.0), weights.get(-2, 80.0))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def features(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = found = tuple(f for f in word_features(word) if f in self.weights)
+        return found
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """P(severity >= 1) and P(severity >= 2)."""
+        total = [sum(self.weights[f] for f in sorted({f for w in distinct_words(t) for f in self.features(w)})) for t in texts]
+        s = np.asarray(total, np.float64)
+        return _sigmoid(s - self.t[0]), _sigmoid(s - self.t[1])
+
+
+def _shared(docs: DataFrame, model: DataFrame):
+    return docs.sparkSession.sparkContext.broadcast({r.place: r.weight for r in model.collect()})  # at most FEATURES + 2 rows
+
+
 def score(docs: DataFrame, model: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity, grade, toxic of every document."""
-    numbers = {r.place: r.weight for r in model.collect()}  # at most FEATURES + 2 rows
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    shared = _shared(docs, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        t1, t2 = weights.get(-1, 40.0), weights.get(-2, 80.0)
-
-        class Known(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = found = tuple(f for f in word_features(word) if f in weights)
-                return found
-
-        known = Known()
+        scorer = Scorer(shared.value)
         for batch in batches:
-            total = []
-            for text in batch.column("text").to_pylist():
-                hit = {f for fs in map(known.__getitem__, distinct_words(text)) if fs for f in fs}
-                total.append(sum(weights[f] for f in sorted(hit)))
-            s = np.asarray(total, np.float64)
-            p1, p2 = _sigmoid(s - t1), _sigmoid(s - t2)
-            grade = np.argmax(np.stack([1 - p1, p1 - p2, p2]), axis=0) if len(s) else s
-            columns = [batch.column("doc_id"), pa.array(p1 + p2), pa.array(grade.astype(np.int32)), pa.array(p1 >= threshold)]
+            p1, p2 = scorer(batch.column("text").to_pylist())
+            grade = np.argmax(np.stack([1 - p1, p1 - p2, p2]), axis=0).astype(np.int32) if len(p1) else np.empty(0, np.int32)
+            columns = [batch.column("doc_id"), pa.array(p1 + p2), pa.array(grade), pa.array(p1 >= threshold)]
             yield pa.record_batch(columns, names=["doc_id", "severity", "grade", "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, severity double, grade int, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, model: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not toxic."""
+    shared = _shared(docs, model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            p1, _ = scorer(batch.column("text").to_pylist())
+            yield batch.filter(pa.array(p1 < threshold))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir):
     """Expected severity of all ``documents``, fitted on labelled ones."""
     docs = table(spark, sf_dir, "documents")
