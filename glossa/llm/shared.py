@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app := spark.sparkContext.applicationId)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="glossa-")
+        path = _own[app] = "file://" + tempfile.mkdtemp(prefix="glossa-")
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 

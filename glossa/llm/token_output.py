@@ -57,7 +57,8 @@ class ShardWriter:
         self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.sink = _create(folder, f"ids-{self.name}.arrows")
         self.out = pa.ipc.new_stream(self.sink, self.schema)
-        self.first_at = self.batch_bytes = self.sink.tell()
+        # the writer puts the schema before the first batch
+        self.first_at = self.batch_bytes = self.schema.serialize().size
         self.folder, self.held, self.held_bytes, self.total, self.batches = folder, [], 0, 0, 0
 
     def add(self, ids: bytes) -> None:
