@@ -167,6 +167,11 @@ class Forest:
         return a != b
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of two columns of longs (as unsigned ones: numpy counts the bits of a signed number's absolute value)."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+
+
 def _links(key: np.ndarray, fp: np.ndarray, bits: int, forest: Forest) -> list[tuple[int, int]]:
     """Links at ``bits`` or fewer differing bits among rows of equal keys that join components not joined before."""
     found = []
@@ -179,7 +184,7 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int, forest: Forest) -> list[t
         if not len(left):
             return found
         a, b = fp[left], fp[left + step]
-        near = np.bitwise_count(a ^ b) <= bits
+        near = differing(a, b) <= bits
         pairs = np.unique(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1), axis=0)
         found += [(x, y) for x, y in pairs.tolist() if x != y and forest.join(x, y)]
         step += 1
@@ -349,7 +354,7 @@ def _similar(bits: int):
             if not len(left):
                 return found
             right = left + step
-            near = np.bitwise_count(a[left] ^ a[right]).astype(np.int64) + np.bitwise_count(b[left] ^ b[right]) <= bits
+            near = differing(a[left], a[right]) + differing(b[left], b[right]) <= bits
             found += [(x, y) for x, y in zip(ids[left[near]].tolist(), ids[right[near]].tolist(), strict=True) if x != y and forest.join(x, y)]
             step += 1
 
