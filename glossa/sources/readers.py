@@ -137,7 +137,13 @@ def html_text(html: Column) -> Column:
     return F.trim(F.btrim(html, F.lit("\n ")))
 
 
+def _windows(body: Column) -> Column:
+    """Bytes by the Windows code page: Latin-1 but for the controls from 80 to 9F."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return F.translate(F.decode(body, "ISO-8859-1"), "".join(a for a, b in pairs if b), "".join(b for _, b in pairs))
+
+
 def decoded(body: Column, content_type: Column) -> Column:
     """Bytes as text: UTF-8 where valid, else the Windows code page that servers mean by latin1."""
     latin = F.lower(content_type).rlike("charset=(iso-8859-1|latin1|windows-1252)")
-    return F.when(latin, F.decode(body, "windows-1252")).otherwise(F.coalesce(F.try_validate_utf8(body.cast("string")), F.decode(body, "windows-1252")))
+    return F.when(latin, _windows(body)).otherwise(F.coalesce(F.try_validate_utf8(body.cast("string")), _windows(body)))
