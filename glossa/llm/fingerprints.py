@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import small, staged, table
 
 
+#: Documents of shared buckets (ids only) up to which their texts are picked by broadcast.
+MEMBERS = 1_000_000
+
+
 def canonical(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
@@ -132,9 +136,10 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (doc_id, fingerprint, ...) with a rank appended to fingerprints that several canonical texts share."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    several = found.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
-    members = staged(found.join(several, "fingerprint", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "fingerprint-buckets")
-    side = F.broadcast(members) if small(members) else members
+    # written first, so that both sides of the join are plain exchanges and a hot bucket's rows can be dealt to many tasks
+    several = staged(found.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "fingerprint-several")
+    members = staged(found.join(several, "fingerprint", "left_semi").select(F.col("doc_id").alias("_id")), "fingerprint-buckets")
+    side = F.broadcast(members) if small(members, MEMBERS) else members
     shared = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id") == F.col("_id"), "left_semi")
     forms = shared.mapInArrow(_forms, f"doc_id {kind}, fingerprint string, form string")
     # grouping by the form compares its bytes; copies of one text meet before the shuffle
