@@ -74,3 +74,16 @@ def test_ranges_are_written_as_read(spark, start, end, wanted):
 def test_reference_grammar_rejects():
     grammar = references.Grammar(references.BOOKS)
     assert grammar.find("Mt 9,8-3") == [] and grammar.find("Mt 151") == [] and grammar.find("Mtx 5") == [] and grammar.find(None) == []
+
+
+def test_query_language():
+    from glossa.functions.query import page_number, parse_query
+
+    q = parse_query('grace NEAR/3 truth "in the  beginning" -law g0026B lemma:Logos NEAR')
+    assert q.near == [("grace", "truth", 3)] and q.phrases == ["in the beginning"] and q.excluded == ["law"]
+    assert q.strongs == ["G26b"] and q.lemmas == ["logos"] and q.words == ["near"]
+    assert parse_query("NEAR/2 x").words == ["near/2", "x"]
+    for bad in ("x" * 5000, "a NEAR/1001 b", None):
+        with pytest.raises(ValueError, match="query|NEAR"):
+            parse_query(bad)
+    assert [page_number(x) for x in ("3", "0", "x", None, 10**9)] == [3, 1, 1, 1, 1_000_000]

@@ -170,3 +170,48 @@ def test_stale_results(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, seq long, revision long, status string").coalesce(1).write.parquet(str(tmp_path / "r"))
     stream = spark.readStream.schema("doc_id long, seq long, revision long, status string").parquet(str(tmp_path / "r"))
     assert sorted((r.doc_id, r.revision) for r in drained(events.current_status(stream)) if r.stale) == [(1, 1)]
+
+
+def test_lexeme_fallback(spark):
+    from glossa.operators import corpus
+
+    tokens = spark.createDataFrame([(1, "H1a", "x"), (2, "H1b", "x"), (3, None, "lem"), (4, "H9", "lem")], "i int, strong string, lemma string")
+    lexemes = spark.createDataFrame([("H1a", "y", "first"), ("H1", "z", "base"), ("H7", "lem", "by lemma")], "strong string, lemma string, gloss string")
+    found = {r.i: r.gloss for r in corpus.with_lexemes(tokens, lexemes).collect()}
+    assert found == {1: "first", 2: "base", 3: "by lemma", 4: None} or found == {1: "first", 2: "first", 3: "by lemma", 4: None}
+
+
+def test_transliteration_join(spark):
+    from glossa.operators import corpus
+
+    words = spark.createDataFrame([(1, "shalom"), (1, "berezitami"), (2, "none")], "id int, word string")
+    lexemes = spark.createDataFrame([("H7965", "szalom"), ("H7225", "berezit"), ("H1", "ab")], "strong string, transliteration string")
+    found = {(r.word, r.strong) for r in corpus.by_transliteration(words, lexemes, 3).collect()}
+    assert found == {("shalom", "H7965"), ("berezitami", "H7225")}
+
+
+@pytest.mark.parametrize(("word", "wanted"), [("λόγος", "logos"), ("ἄγγελος", "angelos"), ("Ἑλλάς", "Hellas"), ("οὐρανός", "ouranos"), ("υἱός", "huios"), ("ῥῆμα", "rhēma"), ("ψυχή", "psychē")])
+def test_greek(word, wanted):
+    from glossa.operators import corpus
+
+    assert corpus.greek_translit(word) == wanted
+
+
+def test_events_and_names_columns(spark):
+    from glossa.operators import corpus
+
+    body = "data: a\r\ndata: b\r\n\r\n: note\n\ndata:c\n\ndata: [DONE]\n\n"
+    assert spark.createDataFrame([(body,)], "b string").select(corpus.sse_payloads(F.col("b")).alias("p")).first().p == ["a\nb", "c"]
+    df = spark.createDataFrame([(["Ann", "x"], ["ann", "Bob", "Zed"], "zed")], "a array<string>, b array<string>, e string")
+    assert df.select(corpus.merged_names(F.col("a"), F.col("b"), F.col("e")).alias("n")).first().n == ["Ann", "Bob"]
+    captions = spark.createDataFrame([("v", 0.0, "a"), ("v", 30.0, "b"), ("v", 61.0, "c"), ("v", 70.0, "d")], "video_id string, start double, text string")
+    assert [r.text for r in corpus.caption_paragraphs(captions).orderBy("start").collect()] == ["a b", "c d"]
+
+
+def test_nothing_else_imports_the_training_data_folder():
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent
+    for path in [*root.glob("glossa/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
+        if "llm" not in path.parts and path.name != "test_operators.py":
+            assert "glossa.llm" not in path.read_text(), path
