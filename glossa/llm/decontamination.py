@@ -29,7 +29,7 @@ from glossa.llm.shared import staged, table
 #: Tokens of a window, and the part of an item's tokens that must be covered.
 WINDOW, SIMILARITY = 5, 0.8
 #: Bits of the Bloom filter (4 MB at every size of benchmark), and tokens whose template a worker keeps.
-BLOOM, CACHE = 1 << 25, 400_000
+BLOOM, CACHE = 1 << 25, 150_000
 
 # Unit words (fixed values).
 UNITS = frozenset(

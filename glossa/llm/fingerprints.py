@@ -9,7 +9,7 @@ byte order is appended. So equal fingerprints mean equal canonical texts, and li
 partition stream by, and only each partition's last document is matched with the first one of the next in a second,
 small step.
 
-Defined cases: a null text is the empty text; equal ids are ordered by text; a null id comes last; a lone document is
+Defined cases: a null text is the empty text; equal ids are ordered by a hash of their text; a null id comes last; a lone document is
 its own next one; an empty table gives an empty result; further columns are not looked at.
 """
 
@@ -84,8 +84,10 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # equal ids in order of a hash: the keys of a range partitioning are sampled to the driver, texts must not be
+    order = [F.desc_nulls_last("doc_id"), F.asc("_t")]
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pairs, held = TaskContext.get().partitionId(), _Pairs(), None

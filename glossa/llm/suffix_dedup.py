@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import staged, table
+from glossa.llm.shared import slices, staged, table
 
 LENGTH, ANCHOR = 400, 100
 #: Different contexts of a key beyond which it is split, and ranges of distances at the first split.
@@ -104,7 +104,7 @@ def scan_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """RUN columns with doc, t, start: distances o1..o2 from starts to the anchor, digest of the context, and the place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
             digests = []
             for doc, t, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "t")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -127,7 +127,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else press.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array(texts, pa.binary())], names=["doc", "t", "packed"])
 
@@ -140,7 +140,7 @@ def contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows, cuts = [], []
             for data, asked in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 text = press.decompress(data)
@@ -222,7 +222,7 @@ def sort_groups(rows: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if len(group) >= TOGETHER and row["h"] != group[-1]["h"]:
                     yield batch_of(group)
@@ -241,7 +241,7 @@ def split(rows: DataFrame, length: int, anchor: int, ranges: int) -> DataFrame:
     width = -(-reach // ranges)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 for low in range(r["o1"] // width * width, r["o2"] + 1, width):
@@ -281,10 +281,11 @@ def verdicts(rows: DataFrame, length: int, anchor: int, hot: int, ranges: int =
 def removed_spans(docs: DataFrame, length: int, anchor: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(doc, t, spans: first and last starts of repeated strings) and the packed texts; ``docs`` has doc, t, text."""
     every = staged(scan_runs(docs, length, anchor), "suffix-runs")
-    twice = every.groupBy("h").count().filter("count > 1").select("h")
+    # written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be dealt to many tasks
+    twice = staged(every.groupBy("h").count().filter("count > 1").select("h"), "suffix-twice")
     seen = staged(every.join(twice, "h", "left_semi"), "suffix-seen")
     classes = staged(seen.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc", "t", "start")).alias("at")), "suffix-classes")
-    keys = classes.groupBy("h").agg(F.count("*").alias("m"))
+    keys = staged(classes.groupBy("h").agg(F.count("*").alias("m")), "suffix-keys")
     joined = classes.join(keys, "h")
     texts = packed(docs)
     wanted = joined.filter("m > 1").select(*KEY, "n", "at.doc", "at.t", "at.start")
@@ -321,7 +322,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, data, pairs in zip(*(batch.column(c).to_pylist() for c in ("doc", "packed", "spans")), strict=True):
                 text = press.decompress(data)

@@ -11,7 +11,7 @@ from itertools import islice
 import numpy as np
 
 #: Words whose encoding a worker keeps; the cache starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 400_000
 
 # Fixed pattern of byte-level pre-tokenization, for texts in which Python's classes mean the same as the library's:
 # ASCII without "_", Latin letters up to U+024F and general punctuation, and of white space spaces and line feeds.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import staged, table
 
 #: Places of hashed features, labelled documents of the fit, and words whose features a worker keeps.
-FEATURES, SAMPLE, CACHE = 1 << 18, 12_000, 400_000
+FEATURES, SAMPLE, CACHE = 1 << 18, 12_000, 150_000
 #: Full-batch steps, their rate, L2 penalty, G-test score and documents that a feature needs.
 STEPS, RATE, PENALTY, SCREEN, LEAST = 600, 0.1, 1e-4, 25.0, 3
 #: Probability of being toxic from which a document is.
