@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import small, staged, table
+from glossa.llm.shared import slices, small, staged, table
 
 #: Fingerprints of a key beyond which the key is split.
 HOT = 4096
@@ -283,55 +283,54 @@ def grouped(found: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by similarity: five-word shingles at 0.8 or more differ in about 15 % of a fingerprint's bits (the angle of
-# sets with Jaccard similarity s has the cosine 2s/(1+s)), too many for 64 bits and keys of halves. So documents get a
-# fingerprint of 128 bits of their shingles to be compared by, and keys from a second one of their distinct words, which near
-# copies keep nearly whole: ``TABLES`` times two Golay words, the pair of nearby codeword indices being a key of 24 bits.
-TABLES, SKETCH_WORDS = 2, 2
+# Near copies by similarity: candidates share one of ``BANDS`` keys, each of ``ROWS`` least hashes of the shingles, so a pair at
+# 0.8 is missed once in 4,500 times whatever kind of edit lies between. Candidates whose numbers of shingles allow the
+# similarity and whose 128-bit fingerprints differ in at most ``LOOSE`` bits (19 are usual at 0.8, with a deviation of 4) gather in
+# groups, and inside a group the shingle sets themselves decide.
+BANDS, ROWS, SKETCH_WORDS, LOOSE = 16, 4, 2, 40
+#: Shingles of a candidate group that are compared at a time.
+GROUP = 1_000_000
+ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) | 1 for i in range(BANDS * ROWS)], np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """id, a, b, w0..: fingerprint of shingles as two longs, and each table's two words of 23 bits as one long."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(hashes(set(shingles(text, size))))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sketch, words = np.zeros((len(texts), SKETCH_WORDS), "<u8"), np.zeros((len(texts), TABLES), "<u8")
-            for i, text in enumerate(texts):
-                if parts := shingles(text, size):
-                    sketch[i] = majority(hashes(parts), SKETCH_WORDS)
-                    words[i] = majority(hashes(set(shingles(text, 1))), TABLES)
-            columns = [batch.column("id"), *(pa.array(c.copy().view(np.int64)) for c in (*sketch.T, *words.T))]
-            yield pa.record_batch(columns, names=["id", "a", "b", *(f"w{t}" for t in range(TABLES))])
 
-    return docs.mapInArrow(scan, "id long, a long, b long, " + ", ".join(f"w{t} long" for t in range(TABLES)))
+def set_digest(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes())
 
 
-def sketch_keys(nodes: DataFrame) -> DataFrame:
-    """key, id, a, b for every pair of codeword indices near the two words of each table."""
+def band_keys(h: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 4096):
+        np.minimum(least, (h[at : at + 4096, None] * ODD).min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * MIX
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """id, node, n, a, b, keys: digest and size of the set of shingles, its fingerprint as two longs, and its keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = golay()
         for batch in batches:
-            keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for t in range(TABLES):
-                word = batch.column(f"w{t}").to_numpy()
-                sides = []
-                for shift in (0, GOLAY_BITS):
-                    row, index = code.near(word >> shift & 0x7FFFFF)
-                    place = np.arange(len(row)) - np.searchsorted(row, row)
-                    near = np.full((len(word), 6), -1, np.int64)
-                    near[row, place] = index
-                    sides.append(near)
-                left, right = sides[0][:, :, None], sides[1][:, None, :]
-                row, i, j = np.nonzero((left >= 0) & (right >= 0))
-                keys.append(sides[0][row, i] << 12 | sides[1][row, j] | t << 24)
-                rows.append(row)
-            at = np.concatenate(rows)
-            columns = {"key": pa.array(np.concatenate(keys))} | {c: batch.column(c).take(pa.array(at)) for c in ("id", "a", "b")}
-            yield pa.record_batch(columns)
-
-    return nodes.mapInArrow(scan, "key long, id long, a long, b long")
+            texts = batch.column("text").to_pylist()
+            sketch, keys = np.zeros((len(texts), SKETCH_WORDS), "<u8"), np.zeros((len(texts), BANDS), np.uint64)
+            node, n = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32)
+            for i, text in enumerate(texts):
+                h = shingle_set(text, size)
+                node[i], n[i] = set_digest(h), len(h)
+                if len(h):
+                    sketch[i], keys[i] = majority(h, SKETCH_WORDS), band_keys(h)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+            columns = [batch.column("id"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(c.copy().view(np.int64)) for c in sketch.T), flat]
+            yield pa.record_batch(columns, names=["id", "node", "n", "a", "b", "keys"])
+
+    return docs.select("id", "text").mapInArrow(scan, "id long, node long, n int, a long, b long, keys array<long>")
 
 
 def in_chunks(rows: DataFrame, hot: int) -> DataFrame:
@@ -339,29 +338,41 @@ def in_chunks(rows: DataFrame, hot: int) -> DataFrame:
     counts = staged(rows.groupBy("key").count().filter(F.col("count") > hot), "simhash-hot")
     if counts.isEmpty():
         return rows
-    side = (F.broadcast(counts) if small(counts) else counts).select("key", F.ceil(2 * F.col("count") / hot).cast("int").alias("n"))
-    marked = rows.join(side, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    spread = marked.withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return spread.select(_hashed("key", F.least("c", "j"), F.greatest("c", "j")).alias("key"), "id", "a", "b")
+    side = (F.broadcast(counts) if small(counts) else counts).select("key", F.ceil(2 * F.col("count") / hot).cast("int").alias("parts"))
+    return chunk_pairs(rows.join(side, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))).select(rows.columns)
+
 
+def chunk_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, parts, ..) once for each pair of chunks of its key that has the row's own chunk, by a key of that pair."""
+    spread = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.withColumn("key", _hashed("key", F.least("c", "j"), F.greatest("c", "j"))).drop("c", "j", "parts")
 
-def _similar(bits: int):
-    def compare(batch_keys: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
-        found, left, step = [], np.arange(len(batch_keys)), 1
+
+def _alike(similarity: float):
+    """Spanning forests of the pairs in one key that may be as similar as that."""
+
+    def compare(key: np.ndarray, node: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+        found, left, step, root = [], np.arange(len(key)), 1, node
         while True:
-            left = left[left + step < len(batch_keys)]
-            left = left[batch_keys[left] == batch_keys[left + step]]
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]
             if not len(left):
                 return found
+            if step & (step - 1) == 0 and step > 1:  # rows joined so far, now and then, so that few pairs are walked one by one
+                rows = np.unique(np.concatenate([left, left + step]))
+                root = root.copy()
+                root[rows] = [forest.find(x) for x in node[rows].tolist()]
             right = left + step
-            near = differing(a[left], a[right]) + differing(b[left], b[right]) <= bits
-            found += [(x, y) for x, y in zip(ids[left[near]].tolist(), ids[right[near]].tolist(), strict=True) if x != y and forest.join(x, y)]
+            near = differing(a[left], a[right]) + differing(b[left], b[right]) <= LOOSE
+            near &= np.minimum(n[left], n[right]) / np.maximum(n[left], n[right]) >= similarity
+            near &= root[left] != root[right]
+            found += [(x, y) for x, y in zip(node[left[near]].tolist(), node[right[near]].tolist(), strict=True) if x != y and forest.join(x, y)]
             step += 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), [np.empty(0, np.int64)] * 4
+        forest, held = Forest(), [np.empty(0, np.int64)] * 5
         for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "id", "a", "b"), strict=True)]
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "node", "n", "a", "b"), strict=True)]
             end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if found := compare(*(h[:end] for h in held), forest):
                 yield _edges(found)
@@ -372,32 +383,106 @@ def _similar(bits: int):
     return scan
 
 
+def similar_sets(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is at least ``similarity``, all pairs considered."""
+    size = np.array(list(map(len, sets)))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(codes, np.cumsum(size)[:-1])
+    mark, is_open = np.zeros(len(codes), np.uint8), np.ones(len(sets), bool)
+    held, found, queue = np.arange(len(sets)), [], []
+    begin = np.cumsum(size) - size
+    while is_open.any():
+        if not queue:
+            queue.append(int(np.argmax(is_open)))
+            is_open[queue[0]] = False
+        i = queue.pop()
+        if 2 * (now := int(is_open.sum())) < len(held):
+            if not now:
+                break
+            held = np.flatnonzero(is_open)
+            codes, begin = np.concatenate([own[k] for k in held]), np.cumsum(size[held]) - size[held]
+        mark[own[i]] = 1
+        shared = np.add.reduceat(mark[codes], begin, dtype=np.int64)
+        mark[own[i]] = 0
+        hit = held[(shared / (size[i] + size[held] - shared) >= similarity) & is_open[held]]
+        is_open[hit] = False
+        queue += hit.tolist()
+        found += [(nodes[i], nodes[k]) for k in hit.tolist()]
+    return found
+
+
+def _verified(similarity: float):
+    def links_of(nodes: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
+        once = dict(zip(nodes, sets, strict=True))
+        return similar_sets(list(once), [np.frombuffer(s, np.uint64) for s in once.values()], similarity) if len(once) > 1 else []
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+        for batch in batches:
+            for k, node, held in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "shingles")), strict=True):
+                if k != key:
+                    if found := links_of(nodes, sets):
+                        yield _edges(found)
+                    key, nodes, sets = k, [], []
+                nodes.append(node)
+                sets.append(held)
+        if found := links_of(nodes, sets):
+            yield _edges(found)
+
+    return scan
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """key, node, parts, shingles of the ``docs`` (key, node, parts, text) whose set of shingles has the digest ``node``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            held = pa.array([h.tobytes() for h in sets], pa.binary())
+            same = pa.array(np.array([set_digest(h) for h in sets], np.uint64).view(np.int64) == batch.column("node").to_numpy())
+            yield pa.record_batch([*(batch.column(c) for c in ("key", "node", "parts")), held], names=["key", "node", "parts", "shingles"]).filter(same)
+
+    return docs.select("key", "node", "parts", "text").mapInArrow(scan, "key long, node long, parts int, shingles binary")
+
+
 #: Stands for a null doc_id inside.
 NO_ID = -(2**63)
 
 
-def similar_groups(docs: DataFrame, size: int = 5, bits: int = 22, hot: int = HOT) -> DataFrame:
+def _rooted(edges: DataFrame) -> DataFrame:
+    """``components``, with a row for the roots too."""
+    found = components(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """id, component_id of documents that are in a group with others; id is doc_id, or ``NO_ID`` for null.
 
-    Two documents are linked if their 128-bit fingerprints of ``size``-word shingles differ in at most ``bits`` bits: 22
-    stands for a similarity of 0.8, about three in four pairs of exactly that similarity and 19 in 20 at 0.85.
+    Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``, which is
+    counted; documents without words are alike. Pairs to count come from keys that a pair at 0.8 shares but for once in 4,500.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     found = staged(sketches(read, size), "sketches")
-    words = [f"w{t}" for t in range(TABLES)]
-    nodes = staged(found.groupBy("a", "b").agg(F.min(F.struct("id", *words)).alias("n")).select("a", "b", "n.*"), "sketch-nodes")
-    keys = in_chunks(staged(sketch_keys(nodes), "sketch-keys"), hot)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_similar(bits), "u long, v long")
-    # a node's id is the smallest of its fingerprint, so a component's root is the smallest of all
-    roots = components(edges)
-    placed = nodes.join(roots, F.col("id") == F.col("node"), "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
-    return found.select("id", "a", "b").join(placed, ["a", "b"]).select("id", "component_id")
-
-
-def one_of_each(docs: DataFrame, size: int = 5, bits: int = 22) -> DataFrame:
+    nodes = staged(found.groupBy("node").agg(F.min(F.struct("id", "n", "a", "b", "keys")).alias("x"), F.count("*").alias("rows")).select("node", "rows", "x.*"), "sketch-nodes")
+    keys = in_chunks(staged(nodes.filter("n > 0").select(F.explode("keys").alias("key"), "node", "n", "a", "b"), "sketch-keys"), hot)
+    edges = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_alike(similarity), "u long, v long")
+    # groups of candidates, in pairs of chunks where they hold many shingles
+    groups = nodes.join(_rooted(edges).withColumnRenamed("root", "key"), "node").select("key", "node", "id", "n")
+    parts = groups.groupBy("key").agg(F.ceil(2 * F.sum("n") / group).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
+    groups = staged(groups.join(parts, "key").select("key", "node", "id", "parts"), "sketch-groups")
+    held = shingle_sets(read.join(F.broadcast(groups) if small(groups) else groups, "id"), size)
+    edges = chunk_pairs(held).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_verified(similarity), "u long, v long")
+    roots = _rooted(edges)
+    placed = nodes.join(roots, "node", "left").filter("root IS NOT NULL OR rows > 1").select("node", "id", F.coalesce("root", "node").alias("root"))
+    placed = staged(placed, "sketch-placed")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.select("id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near copies of one with a smaller doc_id in their group."""
-    gone = similar_groups(docs, size, bits).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
+    gone = similar_groups(docs, size, similarity).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
     # by shuffle at every size: the copies grow with the documents
     return docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
 

@@ -129,6 +129,36 @@ def test_simhash(spark, hot):
     assert found["component_id"].tolist() == root
 
 
+@pytest.mark.parametrize(("hot", "group"), [(4096, 1_000_000), (8, 2_000)])
+def test_similar_groups_by_kind_of_edit(spark, hot, group):
+    rng = random.Random(11)
+    made, word = [], lambda: f"w{rng.randrange(5000)}"
+    for i in range(60):
+        base = [word() for _ in range(rng.choice([60, 200, 400]))]
+        made.append(base)
+        for share in (0.05, 0.1, 0.15, 0.18, 0.24):
+            n = int(share * len(base))
+            at = rng.randrange(len(base) - n)
+            replaced, half = [*base[:at], *(word() for _ in range(n // 2)), *base[at + n // 2 :]], base[:-n]
+            scattered = list(base)
+            for k in rng.sample(range(len(base)), max(1, n // 10)):
+                scattered[k] = word()
+            made.append([replaced, base + [word() for _ in range(n)], half, scattered][i % 4])
+    made += [["one", "two"], ["one", "two"], [], []]
+    texts = [" ".join(w) for w in made]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in made]
+    root = list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a):
+            if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.id: r.component_id for r in simhash.similar_groups(docs, hot=hot, group=group).collect()}
+    assert [found.get(i, i) for i in range(len(made))] == root
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
+
+
 def test_golay_code():
     code, rng = simhash.golay(), np.random.default_rng(0)
     words = rng.integers(0, 1 << 23, 500)
