@@ -227,6 +227,24 @@ def test_decontamination_finds_new_parameters(spark):
     assert {0, 1} <= found and not found & {2, 3}
 
 
+def test_decontamination_finds_names_that_begin_sentences_and_number_words(spark):
+    tom = "Tom has 3 red apples. Tom buys 4 more apples. Tom eats 2 of them. How many apples does Tom have?"
+    box = "Ken packed a box. Ken added 2 pounds of rice to it. Ken then carried the box home. How heavy was it?"
+    bag = "A bag holds three apples and a boy puts four more into it before he eats two of them at home."
+    texts = {
+        0: tom.replace("Tom", "Ann").replace("3", "5").replace("4", "9").replace("2", "6"),
+        1: box.replace("Ken", "Maria").replace("2", "7"),
+        2: bag.replace("three", "five").replace("four", "nine").replace("two", "six"),
+        3: bag.upper(),
+        4: tom.lower(),
+        5: "Ann has 3 red cats. Tom sells 4 old boats. Max sees 2 of us. How many dogs does Ida want?",
+    }
+    items = spark.createDataFrame([(0, tom), (1, box), (2, bag)], "item_id long, text string")
+    found = decontamination.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items).collect()
+    assert {(0, 0), (1, 1), (2, 2), (4, 0)} <= {(r.doc_id, r.item_id) for r in found}
+    assert 5 not in {r.doc_id for r in found}
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(6)
     plain = [f"w{i}" for i in range(300)]
