@@ -27,19 +27,44 @@ def markers(answer: Column) -> Column:
 def exact_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, item_id of quotations (item_id, text) that a document holds verbatim.
 
-    Quotations and documents meet by hashes of a quotation's first five words; only such pairs are compared in full.
+    Quotations and documents meet by hashes of a quotation's inner words, five or as many as it has; quotations of one or two
+    words, which need not end where words end, by their first three characters or fewer. Only such pairs are compared in full.
+    An empty quotation is in every document that is not null.
     """
 
-    def heads(text: Column) -> Column:
+    def heads(parts: Column, n: int) -> Column:
         # shifted copies zipped, as a slice taken inside a lambda would split the text anew for every word
-        parts = F.split(text, r"\s+")
-        zipped = F.arrays_zip(*(F.slice(parts, i + 1, F.size(parts)).alias(f"w{i}") for i in range(5)))
-        return F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{i}"] for i in range(5))))))
-
-    head = F.xxhash64(F.concat_ws(" ", F.slice(F.split("quote", r"\s+"), 2, 5)))
-    wanted = quotes.select("item_id", F.col("text").alias("quote")).filter(F.size(F.split("quote", r"\s+")) >= 7).withColumn("_h", head)
-    met = docs.select("doc_id", "text", F.explode(heads(F.col("text"))).alias("_h")).join(wanted, "_h")
-    return met.filter(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
+        zipped = F.arrays_zip(*(F.slice(parts, i + 1, F.size(parts)).alias(f"w{i}") for i in range(n)))
+        return F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{i}"] for i in range(n))))))
+
+    def words(c: str) -> Column:
+        return F.split(c, r"\s+")
+
+    quoted = quotes.select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
+    by_words = F.size(words("quote")) >= 3
+    kinds = quoted.select(by_words.alias("by_words"), F.when(by_words, F.least(F.lit(5), F.size(words("quote")) - 2)).otherwise(F.least(F.lit(3), F.length("quote"))).alias("n")).distinct()
+    found = []
+    for r in kinds.collect():  # at most nine rows
+        if r.n == 0:
+            found.append(docs.filter("text IS NOT NULL").select("doc_id").crossJoin(quoted.filter("quote = ''").select("item_id")))
+            continue
+        if r.by_words:
+            size = F.size(words("quote"))
+            those, parts = quoted.filter(size >= 7 if r.n == 5 else size == r.n + 2), words
+            head = F.slice(words("quote"), 2, r.n)
+        else:
+            length = F.length("quote")
+            those, parts = quoted.filter(~by_words & (length >= 3 if r.n == 3 else length == r.n)), lambda c: F.split(c, "")
+            head = F.slice(F.split("quote", ""), 1, r.n)
+        wanted = those.withColumn("_h", F.xxhash64(F.concat_ws(" ", head)))
+        met = docs.select("doc_id", "text", F.explode(heads(parts("text"), r.n)).alias("_h")).join(wanted, "_h")
+        found.append(met.filter(F.contains("text", "quote")).select("doc_id", "item_id"))
+    if not found:
+        return docs.select("doc_id").crossJoin(quoted.select("item_id")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def best_window(quote: str, text: str) -> float:

@@ -79,6 +79,16 @@ def test_citation_markers(spark):
     assert df.select(verify.markers(F.col("t")).alias("m")).first().m == ["1", "P2", "P3", "A1", "P4"]
 
 
+def test_short_quotes_are_found(spark):
+    texts = ["In the beginning there was a long text about many things.", "a b", "the begin ning", "", None, "éa ö 日本 x"]
+    quotes = ["the begin", "beginning there was", "e beginning there was a l", "", "a", "ab", "a b", " ", "日", "ö 日本 x", "there  was", "g there was a long text about ma", " text", "x ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    wanted = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(quotes) if t is not None and q is not None and q in t}
+    assert {(r.doc_id, r.item_id) for r in verify.exact_quotes(docs, items).collect()} == wanted
+    assert verify.exact_quotes(docs, items.limit(0)).count() == 0
+
+
 def test_quotes(spark):
     source = "In the beginning there was a long text about many things that people like to quote."
     pairs = [(1, source[7:50], source), (2, source[7:50].replace("long", "lang"), source), (3, "completely different words in here", source)]
