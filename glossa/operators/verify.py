@@ -79,16 +79,49 @@ def best_window(quote: str, text: str) -> float:
     return best
 
 
+def quote_sources(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """quote_id, quote, doc_id, source of the (quote_id, quote) and (doc_id, source) that share three words in a row, or all where a quotation has fewer.
+
+    Case and punctuation do not count. A quotation with no three words in a row left as they were does not meet its source.
+    """
+
+    def words(c: str) -> Column:
+        return F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+
+    def keys(parts: Column, n: int) -> Column:
+        zipped = F.arrays_zip(*(F.slice(parts, i + 1, F.greatest(F.size(parts) - n + 1, F.lit(0))).alias(f"w{i}") for i in range(n)))
+        return F.explode(F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{i}"] for i in range(n)))))))
+
+    size = F.least(F.lit(3), F.size(words("quote")))
+    asked = quotes.filter("quote IS NOT NULL")
+    pairs = None
+    for n in sorted(r.n for r in asked.select(size.alias("n")).distinct().collect()):  # at most three numbers
+        left = asked.filter(size == n).select("quote_id", keys(words("quote"), n).alias("_k"))
+        met = left.join(docs.select("doc_id", keys(words("source"), n).alias("_k")), "_k").select("quote_id", "doc_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        pairs = quotes.select("quote_id").crossJoin(docs.select("doc_id")).limit(0)
+    return pairs.distinct().join(quotes.distinct(), "quote_id").join(docs, "doc_id").select("quote_id", "quote", "doc_id", "source")
+
+
+def check_all_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """quote_id, doc_id, ratio, status of every quotation in every source it shares words with; missing, without doc_id, where there is none."""
+    pairs = quote_sources(quotes, docs)
+    alone = quotes.select("quote_id").distinct().join(pairs.select("quote_id"), "quote_id", "left_anti")
+    return check_quotes(pairs).unionByName(alone.select("quote_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("ratio"), F.lit("missing").alias("status")))
+
+
 def check_quotes(pairs: DataFrame) -> DataFrame:
-    """quote_id, ratio, status of (quote_id, quote, source): ok, altered or missing."""
+    """quote_id, ratio, status of (quote_id, quote, source): ok, altered or missing; doc_id too where ``pairs`` has it."""
+    ids = [c for c in ("quote_id", "doc_id") if c in pairs.columns]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ratio = [1.0 if q in s else best_window(q, s) for q, s in zip(pdf["quote"], pdf["source"], strict=True)]
             status = ["ok" if r >= VERBATIM else "altered" if r >= ALTERED else "missing" for r in ratio]
-            yield pd.DataFrame({"quote_id": pdf["quote_id"], "ratio": [round(r, 4) for r in ratio], "status": status})
+            yield pd.DataFrame({c: pdf[c] for c in ids} | {"ratio": [round(r, 4) for r in ratio], "status": status})
 
-    return pairs.select("quote_id", "quote", "source").mapInPandas(scan, "quote_id long, ratio double, status string")
+    return pairs.select(*ids, "quote", "source").mapInPandas(scan, ", ".join(f"{c} long" for c in ids) + ", ratio double, status string")
 
 
 def near_pairs(left: DataFrame, blocks: Column, most: float) -> DataFrame:

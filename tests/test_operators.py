@@ -89,6 +89,19 @@ def test_short_quotes_are_found(spark):
     assert verify.exact_quotes(docs, items.limit(0)).count() == 0
 
 
+def test_quotes_are_checked_in_every_source(spark):
+    said = "people of the old town liked to quote this long line about rivers"
+    sources = [f"Before. {said}. After.", f"Again: {said}!", said.replace("old town", "new city").replace("long line", "short word"), "Nothing of it is here.", None]
+    quotes = [said, "zebras never cross quiet frozen lakes", "Nothing of"]
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    found = {(r.quote_id, r.doc_id): r.status for r in verify.check_all_quotes(spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), docs).collect()}
+    ratios = {(i, d): 1.0 if q in s else verify.best_window(q, s) for i, q in enumerate(quotes) for d, s in enumerate(sources) if s}
+    wanted = {k: "ok" if r >= verify.VERBATIM else "altered" for k, r in ratios.items() if r >= verify.ALTERED}
+    assert {k: s for k, s in found.items() if s != "missing"} == wanted
+    assert found[0, 2] == "altered"
+    assert found[1, None] == "missing"
+
+
 def test_quotes(spark):
     source = "In the beginning there was a long text about many things that people like to quote."
     pairs = [(1, source[7:50], source), (2, source[7:50].replace("long", "lang"), source), (3, "completely different words in here", source)]
