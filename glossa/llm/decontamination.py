@@ -2,16 +2,20 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so that a
 question and its re-parameterised copy have one template. A second template also takes capitalised words that begin a
-sentence, function words aside, as names and number words as numbers; its windows count beside those of the first. Windows of ``window`` template tokens of the documents pass a
-fixed-size Bloom filter of the benchmark's windows and are then hash-joined with them. Matches of a document and an item
+sentence, function words aside, as names and number words as numbers; its windows count beside those of the first. A window of
+placeholders alone, which any list of names has, keeps its values and so is met verbatim only.
+
+Windows of ``window`` template tokens of the documents pass a fixed-size Bloom filter of the benchmark's windows. Of each item the
+windows most frequent in the documents are left aside as long as together they cover less than ``similarity`` of it: an item that is
+found has one of the others, its keys. Documents and items are hash-joined by keys alone, so a window that a third of all
+documents hold pairs none of them; the places found are then matched by all windows. Matches of a document and an item
 gather in overlapping regions of the document, long enough to hold the item; there each value of an item's slot must go
 to one value in the document (windows that contradict the commonest one are dropped; verbatim windows are also counted by
-themselves), and the item is found if windows
-that stay cover ``similarity`` of its tokens.
+themselves), and the item is found if windows that stay cover ``similarity`` of its tokens.
 
 Defined cases: items of fewer tokens than a window are taken as one shorter window, items without tokens never match;
 null and empty texts have no windows; an item that occurs twice in a document, or equal rows, give one row per
-(doc_id, item_id); empty tables give an empty result; further columns are not looked at.
+(doc_id, item_id), null ids too; empty tables give an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import staged, table
+from glossa.llm.shared import fresh, staged, table
 
 #: Tokens of a window, and the part of an item's tokens that must be covered.
 WINDOW, SIMILARITY = 5, 0.8
@@ -128,12 +133,23 @@ def window_hashes(token: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def all_windows(made: list[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _hashed(value: np.ndarray, token: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of a template's windows; of those of placeholders alone, hashes of their values."""
+    h = window_hashes(token, n)
+    if len(h):
+        words = np.concatenate([[0], np.cumsum(slot == 0)])
+        bare = np.flatnonzero(words[n:] == words[:-n])
+        if len(bare):
+            h[bare] = ~window_hashes(value, n)[bare]
+    return h
+
+
+def all_windows(value: np.ndarray, made: list[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places, hashes and slot kinds of the first template's windows and of those windows of the second that differ."""
-    first = window_hashes(made[0][0], n)
+    first = _hashed(value, *made[0], n)
     yield np.arange(len(first)), first, made[0][1]
     for token, slot in made[1:]:
-        h = window_hashes(token, n)
+        h = _hashed(value, token, slot, n)
         at = np.flatnonzero(h != first)
         yield at, h[at], slot
 
@@ -143,7 +159,7 @@ def _slots(value: np.ndarray, slot: np.ndarray, at: int, n: int) -> list[int]:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """item_id, n_item, h, item_pos, n, item_slots for all windows of all items."""
+    """item_id, n_item, h, n, item_slots, places for all different windows of all items."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,14 +167,39 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 value, made = templates(text)
                 n = min(window, len(value))
-                for at, hashes, slot in all_windows(made, n) if n else ():
-                    rows += [(item_id, len(value), h, i, n, _slots(value, slot, i, n)) for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                places: dict[tuple, list[int]] = {}
+                for at, hashes, slot in all_windows(value, made, n) if n else ():
+                    for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                        places.setdefault((h, *_slots(value, slot, i, n)), []).append(i)
+                rows += [(item_id, len(value), h, n, slots, at) for (h, *slots), at in places.items()]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
-            yield pa.record_batch(columns, names=["item_id", "n_item", "h", "item_pos", "n", "item_slots"])
+            yield pa.record_batch(columns, names=["item_id", "n_item", "h", "n", "item_slots", "places"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInArrow(scan, f"item_id {kind}, n_item int, h long, item_pos int, n int, item_slots array<long>")
+    return items.select("item_id", "text").mapInArrow(scan, f"item_id {kind}, n_item int, h long, n int, item_slots array<long>, places array<int>")
+
+
+def key_windows(known: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """item_id, n_item, h of windows one of which every document that holds ``similarity`` of the item has, the rarest in ``found``."""
+    counts = known.select("h").distinct().join(found.groupBy("h").count(), "h")
+
+    def keys(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["count", "h"], ascending=[False, True])
+        n_item = int(pdf["n_item"].iloc[0])
+        aside, is_key = np.zeros(n_item, bool), []
+        for places, n in zip(pdf["places"], pdf["n"], strict=True):
+            more = aside.copy()
+            for i in places:
+                more[i : i + n] = True
+            is_key.append(more.sum() >= similarity * n_item)
+            if not is_key[-1]:
+                aside = more
+        return pdf.loc[is_key, ["item_id", "n_item", "h"]].drop_duplicates()
+
+    kind = known.schema["item_id"].dataType.simpleString()
+    # texts of one item_id, told apart by their number of tokens at least, have keys together; a window no document has need not be one
+    return known.join(counts, "h").groupBy("item_id", "n_item").applyInPandas(keys, f"item_id {kind}, n_item int, h long")
 
 
 def _bloom_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +235,7 @@ def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFram
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 value, made = templates(text)
                 for n in sizes:
-                    for places, h, slot in all_windows(made, n):
+                    for places, h, slot in all_windows(value, made, n):
                         first, second = _bloom_bits(h)
                         hit = np.flatnonzero(have[first >> 3] >> (first & 7) & have[second >> 3] >> (second & 7) & 1)
                         at = places[hit]
@@ -220,31 +261,44 @@ def _covered(n_item: int, matches: list[dict]) -> float:
     votes: dict[int, Counter] = {}
     for m in matches:
         for a, b in zip(m["item_slots"], m["doc_slots"], strict=True):
-            votes.setdefault(a, Counter())[b] += 1
+            votes.setdefault(a, Counter())[b] += len(m["places"])
     says = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}
     hit, verbatim = np.zeros(n_item, bool), np.zeros(n_item, bool)
     for m in matches:
-        if m["item_slots"] == m["doc_slots"]:
-            verbatim[m["item_pos"] : m["item_pos"] + m["n"]] = True
-        if all(says[a] == b for a, b in zip(m["item_slots"], m["doc_slots"], strict=True)):
-            hit[m["item_pos"] : m["item_pos"] + m["n"]] = True
+        same = m["item_slots"] == m["doc_slots"]
+        agrees = all(says[a] == b for a, b in zip(m["item_slots"], m["doc_slots"], strict=True))
+        for i in m["places"] if same or agrees else ():
+            verbatim[i : i + m["n"]] |= same
+            hit[i : i + m["n"]] |= agrees
     return float(max(hit.mean(), verbatim.mean()))
 
 
+#: Tokens of a stretch of a document in which its windows meet the candidates there.
+STRETCH = 512
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, coverage of every benchmark item found in a document."""
     known = staged(item_windows(items, window), "benchmark-windows")
     sizes = sorted(r.n for r in known.select("n").distinct().collect())  # at most ``window`` numbers
-    found = document_windows(docs, bloom(known), sizes)
+    found = staged(document_windows(docs, bloom(known), sizes), "document-windows")
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
-    pairs = found.join(known, "h").filter(F.size("doc_slots") == F.size("item_slots"))
+    # written first, so that both sides of the joins are plain exchanges and a hot window's rows can be dealt to many tasks
+    keys = staged(key_windows(known, found, similarity), "benchmark-keys")
     # regions of 2.5 items' length, one starting at every 1.25: wherever an item lies, one region holds it whole
     step = F.ceil(F.col("n_item") * 1.25)
     region = F.floor(F.col("doc_pos") / step)
-    placed = pairs.withColumn("region", F.explode(F.array(region, region - 1)))
-    match = F.struct("item_pos", "n", "item_slots", "doc_slots")
-    groups = placed.groupBy("doc_id", "item_id", "n_item", "region").agg(F.collect_set(match).alias("matches"))
-    most = F.size(F.array_distinct("matches.item_pos")) * F.element_at("matches.n", 1)
+    met = found.select("doc_id", "h", "doc_pos").join(keys, "h").select("doc_id", "item_id", "n_item", F.explode(F.array(region, region - 1)).alias("region"))
+    places = staged(met.distinct(), "benchmark-places")
+    first, last = F.col("region") * step, (F.col("region") + 2) * step - 1
+    stretches = F.sequence(F.floor(F.greatest(first, F.lit(0)) / STRETCH), F.floor(last / STRETCH))
+    asked = places.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("n_item").alias("m"), "region", first.alias("first"), last.alias("last"), F.explode(stretches).alias("s"))
+    wanted = asked.join(known, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("m") == F.col("n_item"))).withColumnRenamed("h", "wanted")
+    there = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("wanted") == F.col("h")) & (F.col("s") == F.floor(F.col("doc_pos") / STRETCH))
+    pairs = wanted.join(found, there & F.col("doc_pos").between(F.col("first"), F.col("last"))).filter(F.size("doc_slots") == F.size("item_slots"))
+    match = F.struct("places", "n", "item_slots", "doc_slots")
+    groups = pairs.groupBy("doc_id", "item_id", "n_item", "region").agg(F.collect_set(match).alias("matches"))
+    most = F.size(F.array_distinct(F.flatten("matches.places"))) * F.element_at("matches.n", 1)
     likely = groups.filter(most >= similarity * F.col("n_item"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +311,11 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that contain a benchmark item."""
-    gone = contaminated(docs, items, window, similarity).select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` without those that contain a benchmark item; rows of one doc_id share one verdict."""
+    own = fresh(docs, "_gone")
+    gone = contaminated(docs, items, window, similarity).select(F.col("doc_id").alias(own)).distinct()
     # by shuffle at every size: what is found grows with the documents
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import small, staged, table
+from glossa.llm.shared import fresh, small, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a hash digit, and digits in a hash of 63 bits.
@@ -139,9 +139,10 @@ def mix(
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` as the mix takes them: whole documents, each as often as it is taken."""
     taken = mix(docs, weights, budget, cap, cut=False).filter("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    joined = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*docs.columns)
+    own, times, copy = (fresh(docs, c) for c in ("_id", "_times", "_copy"))
+    taken = taken.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import slices, small, staged, table
+from glossa.llm.shared import fresh, slices, small, staged, table
 
 #: Fingerprints of a key beyond which the key is split.
 HOT = 4096
@@ -314,7 +314,7 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """id, node, n, a, b, keys: digest and size of the set of shingles, its fingerprint as two longs, and its keys."""
+    """id, t, node, n, a, b, keys: digest and size of the set of shingles, its fingerprint as two longs, and its keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,10 +327,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 if len(h):
                     sketch[i], keys[i] = majority(h, SKETCH_WORDS), band_keys(h)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            columns = [batch.column("id"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(c.copy().view(np.int64)) for c in sketch.T), flat]
-            yield pa.record_batch(columns, names=["id", "node", "n", "a", "b", "keys"])
+            columns = [batch.column("id"), batch.column("t"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(c.copy().view(np.int64)) for c in sketch.T), flat]
+            yield pa.record_batch(columns, names=["id", "t", "node", "n", "a", "b", "keys"])
 
-    return docs.select("id", "text").mapInArrow(scan, "id long, node long, n int, a long, b long, keys array<long>")
+    return docs.select("id", "t", "text").mapInArrow(scan, "id long, t long, node long, n int, a long, b long, keys array<long>")
 
 
 def in_chunks(rows: DataFrame, hot: int) -> DataFrame:
@@ -455,36 +455,57 @@ def _rooted(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
 
 
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells rows apart: doc_id, or ``NO_ID`` for null, and a hash of the text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot: int = HOT, group: int = GROUP) -> DataFrame:
-    """id, component_id of documents that are in a group with others; id is doc_id, or ``NO_ID`` for null.
+    """id, t, component_id, first of documents that are in a group with others; id is doc_id, or ``NO_ID`` for null, t a hash of the text.
 
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``, which is
     counted; documents without words are alike. Pairs to count come from keys that a pair at 0.8 shares but for once in 4,500.
+    ``first`` is true for the group's least (id, t).
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    own_id, own_text = _keyed(docs)
+    read = docs.select(own_id.alias("id"), own_text.alias("t"), "text")
     found = staged(sketches(read, size), "sketches")
-    nodes = staged(found.groupBy("node").agg(F.min(F.struct("id", "n", "a", "b", "keys")).alias("x"), F.count("*").alias("rows")).select("node", "rows", "x.*"), "sketch-nodes")
+    nodes = found.groupBy("node").agg(F.min(F.struct("id", "t", "n", "a", "b", "keys")).alias("x"), F.count("*").alias("rows"))
+    nodes = staged(nodes.select("node", "rows", "x.*"), "sketch-nodes")
     keys = in_chunks(staged(nodes.filter("n > 0").select(F.explode("keys").alias("key"), "node", "n", "a", "b"), "sketch-keys"), hot)
     edges = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_alike(similarity), "u long, v long")
     # groups of candidates, in pairs of chunks where they hold many shingles
-    groups = nodes.join(_rooted(edges).withColumnRenamed("root", "key"), "node").select("key", "node", "id", "n")
+    groups = nodes.join(_rooted(edges).withColumnRenamed("root", "key"), "node").select("key", "node", "id", "t", "n")
     parts = groups.groupBy("key").agg(F.ceil(2 * F.sum("n") / group).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    groups = staged(groups.join(parts, "key").select("key", "node", "id", "parts"), "sketch-groups")
-    held = shingle_sets(read.join(F.broadcast(groups) if small(groups) else groups, "id"), size)
+    groups = staged(groups.join(parts, "key").select("key", "node", "id", "t", "parts"), "sketch-groups")
+    held = shingle_sets(read.join(F.broadcast(groups) if small(groups) else groups, ["id", "t"]), size)
     edges = chunk_pairs(held).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_verified(similarity), "u long, v long")
     roots = _rooted(edges)
-    placed = nodes.join(roots, "node", "left").filter("root IS NOT NULL OR rows > 1").select("node", "id", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, "node", "left").filter("root IS NOT NULL OR rows > 1").select("node", F.struct("id", "t").alias("k"), F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "sketch-placed")
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return found.select("id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")
+    least = placed.groupBy("root").agg(F.min("k").alias("least"))
+    named = found.select("id", "t", "node").join(placed.join(least, "root").select("node", "least"), "node")
+    return named.select("id", "t", F.col("least.id").alias("component_id"), (F.struct("id", "t") == F.col("least")).alias("first"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without those that are near copies of one with a smaller doc_id in their group."""
-    gone = similar_groups(docs, size, similarity).filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
+    """``docs`` with one row of each group of near copies: that of the least doc_id, a null one counting as least.
+
+    Rows of one doc_id with different texts are different documents; rows equal in both are copies, and one stays.
+    """
+    found = staged(similar_groups(docs, size, similarity), "near-groups")
+    own_id, own_text = _keyed(docs)
+    same = (own_id == F.col("_gone_id")) & (own_text == F.col("_gone_t"))
+    gone = found.filter("NOT first").select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t")).distinct()
     # by shuffle at every size: the copies grow with the documents
-    return docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
+    again = staged(found.filter("first").groupBy(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_t")).count().filter("count > 1").drop("count"), "near-repeats")
+    if again.isEmpty():
+        return kept
+    a, b = fresh(docs, "_a"), fresh(docs, "_b")
+    once = kept.join(again.hint("merge"), same, "left_semi").withColumns({a: own_id, b: own_text}).dropDuplicates([a, b]).drop(a, b)
+    return kept.join(again.hint("merge"), same, "left_anti").unionByName(once)
 
 
 def op5_simhash(spark, sf_dir):

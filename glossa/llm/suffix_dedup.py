@@ -293,7 +293,8 @@ def removed_spans(docs: DataFrame, length: int, anchor: int, hot: int) -> tuple[
     sorted_ = staged(verdicts(cut, length, anchor, hot), "suffix-verdicts")
     # a context that is its anchor's only one occurs at least twice
     lone = joined.filter("m = 1").select(*KEY, F.array("o1", "o2").alias("spans"))
-    told = lone.unionByName(sorted_).filter(F.size("spans") > 0).dropDuplicates(KEY)
+    # written before the join, so that both of its sides are plain exchanges and the rows of a hot context are dealt to many tasks
+    told = staged(lone.unionByName(sorted_).filter(F.size("spans") > 0).dropDuplicates(KEY), "suffix-told")
     anchor_at = F.col("start") + F.col("o2")
     at = F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int"))
     pairs = F.transform(at, lambda i: F.struct((anchor_at - F.col("spans")[2 * i + 1]).alias("a"), (anchor_at - F.col("spans")[2 * i]).alias("b")))
@@ -342,7 +343,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 def op6_suffix_dedup(spark, sf_dir):
     """Bytes of all ``documents`` covered by a 400-byte string that starts anywhere else, removed."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return digests.withColumn("removed", F.col("n_removed") > 0)
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}

@@ -3,14 +3,14 @@
 Documents in ascending doc_id order, each followed by an end id, make one stream of ids. A shard (one range of doc_id)
 cuts its part into sequences of equal length and writes them as ``fixed_size_list`` batches with a mask beside the ids;
 only a shard's last sequence is padded. All full batches have the same number of bytes, so sequence i is found by
-arithmetic and read from a memory map without copying. A second stream file has doc_id, start and n_tokens of the
+arithmetic and read from a memory map without copying, its mask as an Arrow array over the map's own bits. A second stream file has doc_id, start and n_tokens of the
 shard's documents. The shard's row in the manifest names both files.
 
 Files are written to names of their own under the shared folder and count only once their task's manifest row is
 committed; what a lost or repeated task leaves is never read.
 
-Defined cases: a null or empty text is just the end id; equal doc_ids stay side by side in any order; a null doc_id
-comes first; an empty table gives an empty result; further columns are not written.
+Defined cases: a null or empty text is just the end id; equal doc_ids stay side by side, in order of a hash of their texts; null
+doc_ids come first, likewise; an empty table gives an empty result; further columns are not written.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import new_path, staged, table
 from glossa.llm.tokens import pieces
 
-#: Ids of a sequence, and sequences of a batch.
-SEQUENCE, ROWS = 2048, 64
+#: Ids of a sequence, sequences of a batch, and bytes of text from which on there are more shards than shuffle partitions.
+SEQUENCE, ROWS, SHARD = 2048, 64, 256 << 20
 MANIFEST = "shard int, n_docs long, n_tokens long, sequence int, rows int, first_at long, batch_bytes long, ids_file string, docs_file string"
 
 
@@ -93,19 +93,21 @@ class ShardWriter:
         self.sink.close()
 
 
-def read_sequence(manifest_row, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``i`` of a shard, without reading what comes before it."""
+def read_sequence(manifest_row, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence ``i`` of a shard, without reading what comes before it; both are views of the mapped file."""
     source = _open(manifest_row["ids_file"])
     schema = pa.ipc.open_stream(source).schema
     source.seek(manifest_row["first_at"] + i // manifest_row["rows"] * manifest_row["batch_bytes"])
     batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
     row = i % manifest_row["rows"]
-    return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+    return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence: int = SEQUENCE, rows: int = ROWS, partitions: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) to ``folder``; returns the manifest, one row per shard that has documents."""
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence:
         kinds = dict(zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True))
         yield pa.record_batch({k: pa.array([v], kinds[k]) for k, v in row.items()})
 
-    ranged = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    # a hash of the text as second key, so that many rows of one id or of none are dealt to several shards
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = docs.select("doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     return staged(ranged.mapInArrow(write, MANIFEST), "token-manifest")
 
 

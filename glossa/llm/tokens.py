@@ -1,61 +1,103 @@
-"""Tokenizers for tasks, with a cache of words before the library, so that a worker encodes a word once."""
+"""Tokenizers for tasks, with a table of frequent pre-tokens and a cache before the library, so that a worker encodes a pre-token once."""
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import regex
+import xxhash
 
-#: Words whose encoding a worker keeps; the cache starts anew beyond that.
-CACHE = 400_000
+#: Words whose encoding a worker keeps (the cache starts anew beyond that), and letters of the longest one kept.
+CACHE, LONGEST = 400_000, 64
 
-# Fixed pattern of byte-level pre-tokenization, for texts in which Python's classes mean the same as the library's:
-# ASCII without "_", Latin letters up to U+024F and general punctuation, and of white space spaces and line feeds.
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
+# Fixed pattern of byte-level pre-tokenization.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The same for words of the characters that ``OTHER`` leaves, in Python's own classes.
+PLAIN_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\n\x20-\x5e\x60-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027]")
 
 
 def plain(text: str) -> bool:
-    """Whether the library cuts the text at its spaces and line feeds: none beside another or at an end."""
+    """Whether the library cuts the text at its spaces and line feeds: common characters, no white space beside another or at an end."""
     if OTHER.search(text) or text[0] in " \n" or text[-1] in " \n":
         return False
     return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
 
 
+_assigned: set[str] = set()
+
+
+def assigned(text: str) -> bool:
+    """Whether all characters are assigned in Python's Unicode tables; of others the library's classes may differ from the pattern's."""
+    if text.isascii():
+        return True
+    fresh = set(text) - _assigned
+    if any(unicodedata.category(c) in ("Cn", "Cs") for c in fresh):
+        return False
+    _assigned.update(fresh)
+    return True
+
+
+class LengthTable:
+    """A compact table of pre-tokens and their numbers of tokens: sorted 64-bit hashes, lengths, and the bytes they are compared with."""
+
+    def __init__(self, lengths: dict[str, int]) -> None:
+        rows = sorted((xxhash.xxh64_intdigest(raw := word.encode()), raw, n) for word, n in lengths.items() if n < 256)
+        self.hashes, self.lengths = array("Q", [h for h, _, _ in rows]), bytes(n for _, _, n in rows)
+        self.ends = array("I", np.cumsum([len(raw) for _, raw, _ in rows], dtype=np.uint32).tolist())
+        self.words = b"".join(raw for _, raw, _ in rows)
+
+    def get(self, word: str) -> int | None:
+        raw = word.encode()
+        h = xxhash.xxh64_intdigest(raw)
+        at = bisect_left(self.hashes, h)
+        while at < len(self.hashes) and self.hashes[at] == h:
+            if self.words[self.ends[at - 1] if at else 0 : self.ends[at]] == raw:
+                return self.lengths[at]
+            at += 1
+        return None
+
+
 class Words(dict):
     """Word to encoded value, ``encode(prefix + word)`` once each."""
 
-    def __init__(self, prefix: str, encode: Callable, known: dict | None = None) -> None:
-        super().__init__(known or {})
-        self.prefix, self.encode, self.known = prefix, encode, known or {}
+    def __init__(self, prefix: str, encode: Callable) -> None:
+        super().__init__()
+        self.prefix, self.encode = prefix, encode
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE:
-            self.clear()
-            self.update(self.known)
-        self[word] = value = self.encode(self.prefix + word)
+        value = self.encode(self.prefix + word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
 class Lookup:
-    """Values of a text's words in order: with the space before them, or without at the start of a line."""
+    """Values of a text's parts in order; texts of common characters and single spaces by their words, which are kept whole."""
 
-    def __init__(self, encode: Callable, joined: Callable, known: dict | None = None) -> None:
-        parts = Words("", encode)
-        self.joined = lambda word: joined(map(parts.__getitem__, PRE_TOKEN.findall(word)))
-        self.spaced, self.bare, self.feed = Words(" ", self.joined, known), Words("", self.joined), encode("\n")
+    def __init__(self, encode: Callable, joined: Callable) -> None:
+        self.parts = parts = Words("", encode)
+        self.joined = lambda word: joined(map(parts.__getitem__, PLAIN_TOKEN.findall(word)))
+        self.spaced, self.bare = Words(" ", self.joined), Words("", self.joined)
 
     def __call__(self, text: str) -> list:
-        found = []
+        if not plain(text):
+            return list(map(self.parts.__getitem__, PRE_TOKEN.findall(text)))
+        found, feed = [], self.parts["\n"]
         for line in text.split("\n"):
             words = line.split(" ")
             found.append(self.bare[words[0]])
             found.extend(map(self.spaced.__getitem__, islice(words, 1, None)))
-            found.append(self.feed)
+            found.append(feed)
         found.pop()
         return found
 
@@ -63,8 +105,8 @@ class Lookup:
 class Pieces:
     """Token ids of whole texts, as the library gives them, without begin, end or added special tokens.
 
-    Words of a byte-level ``.json`` tokenizer without normalizer are looked up; texts that spaces may cut unlike the
-    library's pattern, or that hold a special string, and other tokenizers go to the library whole.
+    Pre-tokens of a byte-level ``.json`` tokenizer without normalizer are looked up, in all scripts; texts that hold a special
+    string or an unassigned character, and other tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,7 +140,7 @@ class Pieces:
 
     def whole(self, text: str) -> bool:
         """Whether the library must see the text as one."""
-        return self.by_library or not plain(text) or any(s in text for s in self.special)
+        return self.by_library or any(s in text for s in self.special) or not assigned(text)
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of ``kind``."""

@@ -3,10 +3,10 @@
 Severity has the grades 0 (not toxic), 1 (toxic) and 2 (toxic and of low quality). One weight vector w is shared by the
 ordered thresholds: P(severity >= k) = sigmoid(w.x - t_k), t_1 < t_2. Features are a text's distinct words and their
 prefixes of 3, 4 and 5 letters, hashed to ``FEATURES`` places; a G-test leaves those that tell toxicity. The output is the
-expected severity, the sum of both probabilities, and ``toxic`` where P(severity >= 1) reaches ``threshold``.
+expected severity, the sum of both probabilities, the grade, how many of the two reach ``threshold``, and ``toxic``, a grade above 0.
 
 The model is fitted on at most ``sample`` labelled documents, the first by hash of doc_id (the bound is a parameter; the
-fit is one task). Scoring covers every document, map-side, with the weights broadcast (FEATURES numbers at most).
+fit is one task; several texts of one doc_id count as the least of them). Scoring covers every document, map-side, with the weights broadcast (FEATURES numbers at most).
 
 Defined cases: a null or empty text has no features and gets the grade of the thresholds alone; labels of null count as
 no label; a document with several label rows is taken once with its greatest toxicity; without any labels nothing is
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import staged, table
+from glossa.llm.shared import spread, staged, table
 
 #: Places of hashed features, labelled documents of the fit, and words whose features a worker keeps.
 FEATURES, SAMPLE, CACHE = 1 << 18, 12_000, 150_000
@@ -89,8 +89,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """place, weight; the thresholds are at places -1 and -2."""
     known = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("toxic", -F.coalesce("quality", F.lit(1)))).alias("l"))
     grade = F.when(F.col("l.toxic") == 0, 0).when(F.col("l.col2") == 0, 2).otherwise(1)
-    chosen = known.select("_id", grade.alias("grade")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "grade")
+    chosen = spread(known.select("_id", grade.alias("grade")), ["_id"], sample)
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = read.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade")).select("text", "grade")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +141,7 @@ def score(docs: DataFrame, model: DataFrame, threshold: float = THRESHOLD) -> Da
         scorer = Scorer(shared.value)
         for batch in batches:
             p1, p2 = scorer(batch.column("text").to_pylist())
-            grade = np.argmax(np.stack([1 - p1, p1 - p2, p2]), axis=0).astype(np.int32) if len(p1) else np.empty(0, np.int32)
+            grade = (p1 >= threshold).astype(np.int32) + (p2 >= threshold)
             columns = [batch.column("doc_id"), pa.array(p1 + p2), pa.array(grade), pa.array(p1 >= threshold)]
             yield pa.record_batch(columns, names=["doc_id", "severity", "grade", "toxic"])
 

@@ -69,12 +69,19 @@ def test_sentencepiece(docs, texts):
 
 def test_words_are_cut_as_the_library_cuts():
     library, pieces, rng = Tokenizer.from_file(PATH), tokens.Pieces(PATH), random.Random(1)
-    parts = ["a", "B", "é", "1", "'s", " ", "\n", "_", ".", ",", "'", "ll", "\t", "²", "ª", "̀", "ß", "€", "­", "-", "’", "t"]
+    parts = ["a", "B", "é", "1", "'s", " ", "\n", "_", ".", ",", "'", "ll", "\t", "²", "ª", "̀", "ß", "€", "­", "-", "’", "t", "д", "漢", "ا", "\u0558", "😀", "\u3000", "٣", "<|endoftext|>"]
     for _ in range(2000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(pieces.ids(text), pieces.kind).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_length_table():
+    lengths = {f" w{i}": i % 300 for i in range(2000)} | {"é": 2, "漢": 3}
+    held = tokens.LengthTable(lengths)
+    assert {w: held.get(w) for w in lengths} == {w: n if n < 256 else None for w, n in lengths.items()}
+    assert held.get("w1") is None and tokens.LengthTable({}).get("a") is None
+
+
 def test_fingerprints(texts, docs):
     def form(t):
         return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
@@ -245,6 +252,71 @@ def test_decontamination_finds_names_that_begin_sentences_and_number_words(spark
     assert 5 not in {r.doc_id for r in found}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_decontamination_against_all_pairs(spark, similarity):
+    """Every region of every document against every item, without keys, filter and joins."""
+    rng = random.Random(9)
+    words = ["the", "box", "holds", "apples", "3", "7", "kg", "Tom", "Ann", "runs", "to", "Berlin", "five", "and"]
+
+    def made(n):
+        return " ".join(rng.choice(words) + rng.choice(["", "", ".", ","]) for _ in range(n))
+
+    items = [(i, made(rng.choice([3, 8, 20, 40]))) for i in range(12)]
+    items += [(12, "Tom Ann Bob Max Ida Leo"), (13, "1 2 3 4 5 6 7"), (14, "the box holds the box holds the box"), (15, ""), (16, None), (None, items[2][1])]
+    names = [f"N{i}" for i in range(40)]
+    docs = [(i, " ".join([made(rng.randint(0, 30)), items[i % 14][1] if i % 2 else "", made(10)]).replace("Tom", rng.choice(["Tom", "Kim"])).replace("3", rng.choice("39"))) for i in range(60)]
+    docs += [(60, " ".join(rng.choice(names) for _ in range(200))), (61, "Ann Tom Bob Ida Max Leo and Tom Ann Bob Max Ida Leo"), (None, items[5][1]), (63, None), (64, made(900) + " " + items[6][1])]
+    wanted = {}
+    for item_id, item in items:
+        v, t = decontamination.templates(item)
+        n, size = min(5, len(v)), len(v)
+        own = {(int(h), *decontamination._slots(v, slot, i, n)): None for at, hs, slot in (decontamination.all_windows(v, t, n) if n else ()) for i, h in zip(at.tolist(), hs.tolist(), strict=True)}
+        places = {k: [i for at, hs, slot in decontamination.all_windows(v, t, n) for i, h in zip(at.tolist(), hs.tolist(), strict=True) if (int(h), *decontamination._slots(v, slot, i, n)) == k] for k in own}
+        step = -(-size * 5 // 4)
+        for doc_id, doc in docs if n else ():
+            dv, dt = decontamination.templates(doc)
+            regions: dict[int, set] = {}
+            for at, hs, slot in decontamination.all_windows(dv, dt, n):
+                for i, h in zip(at.tolist(), hs.tolist(), strict=True):
+                    for k in places:
+                        slots = decontamination._slots(dv, slot, i, n)
+                        if k[0] == h and len(k) - 1 == len(slots):
+                            for r in (i // step, i // step - 1):
+                                regions.setdefault(r, set()).add((tuple(places[k]), k[1:], tuple(slots)))
+            best = max((decontamination._covered(size, [{"places": list(p), "n": n, "item_slots": list(a), "doc_slots": list(b)} for p, a, b in m]) for m in regions.values()), default=0)
+            if best >= similarity:
+                wanted[doc_id, item_id] = max(best, wanted.get((doc_id, item_id), 0))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = decontamination.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), similarity=similarity).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.coverage) for r in found} == wanted
+    assert len(found) == len(wanted) > 20
+    assert (60, 12) not in wanted and (61, 12) in wanted
+
+
+def test_ordinal_likelihood():
+    """The fit is where the likelihood's slope, taken by differences, is zero; likelihoods are summed by hand."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 4, 3)) for _ in range(300)]
+    grade = np.array([min(2, int(rng.random() < 0.2 + 0.2 * (0 in r)) + int(1 in r and rng.random() < 0.4)) for r in rows])
+    places, weights, t = toxicity.fit(rows, grade)
+
+    def loss(x):
+        w = dict(zip(places.tolist(), x[:-2], strict=True))
+        total = 0.0
+        for r, g in zip(rows, grade, strict=True):
+            s = sum(w.get(int(f), 0.0) for f in r)
+            p1, p2 = (1 / (1 + np.exp(-(s - x[k]))) for k in (-2, -1))
+            total -= np.log([1 - p1, p1 - p2, p2][g]) / len(rows)
+        return total + toxicity.PENALTY / 2 * float(np.sum(x[:-2] ** 2))
+
+    x = np.concatenate([weights, t])
+    assert len(places) > 0 and t[0] < t[1]
+    for k in range(len(x)):
+        step = np.zeros(len(x))
+        step[k] = 1e-4
+        assert abs(loss(x + step) - loss(x - step)) / 2e-4 < 2e-3
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(6)
     plain = [f"w{i}" for i in range(300)]
@@ -271,6 +343,61 @@ def test_main_text():
     assert html_text.main_text(page) == "Title First & bold paragraph. Short line. Last paragraph, which is longer."
 
 
+def bare_page(rng, word) -> tuple[str, list[bool]]:
+    """A page of plain divisions and whether each block is main text: names and kinds of elements say nothing."""
+
+    def text(n):
+        return " ".join(word() for _ in range(n)).capitalize() + "."
+
+    head = [f"<div><a href=x>{word()}</a></div>" for _ in range(rng.randint(3, 8))]
+    body = [text(rng.choice([3, 12, 30, 60])) for _ in range(rng.randint(4, 9))]
+    more = [text(rng.choice([4, 9, 14])) for _ in range(2)]
+    page = f"<div>{''.join(head)}</div><div>{more[0]}</div><div><div>{'</div><div>'.join(body)}</div></div><div>© {more[1]}</div>"
+    return page, [False] * (len(head) + 1) + [True] * len(body) + [False]
+
+
+def test_the_cut_is_better_than_the_classifier_alone():
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "omega", "of", "the"])
+    x, y, near, differ = [], [], np.zeros(html_text.FAR + 1), np.zeros(html_text.FAR + 1)
+    for _ in range(150):
+        source, gold = bare_page(rng, word)
+        page = html_text.Page(source)
+        x.append(html_text.features(page.blocks))
+        y += gold
+        for i, j, steps in page.edges():
+            near[steps] += 1
+            differ[steps] += gold[i] != gold[j]
+    model = html_text.Model(html_text.fitted_weights(np.concatenate(x), np.array(y, float)), html_text.fitted_ties(near, differ))
+    right, alone, n, changed = 0, 0, 0, 0
+    for _ in range(150):
+        source, gold = bare_page(rng, word)
+        page = html_text.Page(source)
+        costs = html_text.costs(page, model)
+        kept, by_cost = html_text.least_cut(costs, html_text.links(page, model)), [a > b for a, b in costs]
+        assert len(kept) == len(gold)
+        right, alone, n = right + sum(map(bool.__eq__, kept, gold)), alone + sum(map(bool.__eq__, by_cost, gold)), n + len(gold)
+        changed += sum(a != b for a, b in zip(kept, by_cost, strict=True))
+    assert changed > 0 and right / n > 0.97 and right / n > alone / n + 0.02, (right / n, alone / n, changed)
+
+
+def test_fit_on_a_table(spark):
+    """Of pages whose names tell, the fit on the table is the fit by hand."""
+    made = [(i, f"u{i}", f"<nav><a href=x>Home {i}</a></nav><article><p>{'A word, and more. ' * (i + 1)}</p><p>Short.</p></article><footer>© {i}</footer>") for i in range(30)]
+    x, y, near, differ = [], [], np.zeros(html_text.FAR + 1), np.zeros(html_text.FAR + 1)
+    for _, _, source in made:
+        page = html_text.Page(source)
+        seeds = page.seeds()
+        x.append(html_text.features(page.blocks))
+        y += seeds
+        for i, j, steps in page.edges():
+            near[steps] += 1
+            differ[steps] += seeds[i] != seeds[j]
+    model = html_text.fit(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3))
+    assert model.weights == pytest.approx(html_text.fitted_weights(np.concatenate(x), np.array(y, float)), abs=1e-4)
+    assert model.ties == pytest.approx(html_text.fitted_ties(near, differ))
+
+
 def test_least_cut_is_least():
     rng = random.Random(8)
     for _ in range(60):
