@@ -281,13 +281,21 @@ def fitted_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     plain[:, KIND] = 0
     x, y = np.concatenate([x, plain]), np.concatenate([y, y])
     prior = np.array(list(WEIGHTS.values()))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + PENALTY / 2 * np.sum((w - prior) ** 2))
+
     w = prior.copy()
-    for _ in range(25):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + PENALTY * (w - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(w)), slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        before, size = loss(w), 1.0
+        while loss(w - size * step) > before and size > 1e-9:  # a whole step may go too far
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() * size < 1e-6:
             break
     return w
 

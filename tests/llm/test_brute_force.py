@@ -349,8 +349,9 @@ def bare_page(rng, word) -> tuple[str, list[bool]]:
     def text(n):
         return " ".join(word() for _ in range(n)).capitalize() + "."
 
-    head = [f"<div><a href=x>{word()}</a></div>" for _ in range(rng.randint(3, 8))]
-    body = [text(rng.choice([3, 12, 30, 60])) for _ in range(rng.randint(4, 9))]
+    link = lambda: f"<a href=x>{word()}</a>"
+    head = [f"<div>{text(9) if rng.random() < 0.2 else link()}</div>" for _ in range(rng.randint(3, 8))]
+    body = [link() if rng.random() < 0.2 else text(rng.choice([3, 12, 30, 60])) for _ in range(rng.randint(4, 9))]
     more = [text(rng.choice([4, 9, 14])) for _ in range(2)]
     page = f"<div>{''.join(head)}</div><div>{more[0]}</div><div><div>{'</div><div>'.join(body)}</div></div><div>© {more[1]}</div>"
     return page, [False] * (len(head) + 1) + [True] * len(body) + [False]
@@ -378,7 +379,7 @@ def test_the_cut_is_better_than_the_classifier_alone():
         assert len(kept) == len(gold)
         right, alone, n = right + sum(map(bool.__eq__, kept, gold)), alone + sum(map(bool.__eq__, by_cost, gold)), n + len(gold)
         changed += sum(a != b for a, b in zip(kept, by_cost, strict=True))
-    assert changed > 0 and right / n > 0.97 and right / n > alone / n + 0.02, (right / n, alone / n, changed)
+    assert changed > 0 and right / n > 0.85 and right / n > alone / n + 0.05, (right / n, alone / n, changed)
 
 
 def test_fit_on_a_table(spark):
