@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import fresh, staged, table
+from glossa.llm.shared import fresh, slices, staged, table
 
 #: Tokens of a window, and the part of an item's tokens that must be covered.
 WINDOW, SIMILARITY = 5, 0.8
-#: Bits of the Bloom filter (4 MB at every size of benchmark), and tokens whose template a worker keeps.
-BLOOM, CACHE = 1 << 25, 150_000
+#: Bits of the Bloom filter (4 MB at every size of benchmark), tokens whose template a worker keeps, and documents read at a time.
+BLOOM, CACHE, TOGETHER = 1 << 25, 150_000, 128
 
 # Unit words (fixed values).
 UNITS = frozenset(
@@ -59,65 +60,95 @@ EDGE = re.compile(r"^[^\w$€£+\-%]+|[^\w%]+$")
 END = re.compile(r"[.!?:;][\"')\]»”]*$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_END, IS_NOTHING, IS_NUMBER_WORD, IS_FUNCTION_WORD = 1, 2, 4, 8, 16, 32, 64
 FLAGS = 7
+WORDS = {w: IS_NUMBER_WORD for w in NUMBER_WORDS} | {w: IS_FUNCTION_WORD for w in FUNCTION_WORDS}
+MARKS = frozenset(".,!?:;")
 SLOT = {IS_NUMBER: 11, IS_UNIT: 13, IS_CAPITAL: 17}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed_token(raw: str) -> int:
+    """A raw token's hash << FLAGS | flags."""
+    mark = raw[-1] in MARKS
+    if (bare := raw[:-1] if mark else raw).isalpha():  # nearly all tokens
+        low = bare.lower()
+        flags = (IS_UNIT if low in UNITS else IS_CAPITAL if bare[0].isupper() else 0) | WORDS.get(low, 0) | (IS_END if mark and raw[-1] != "," else 0)
+        return xxhash.xxh64_intdigest(low) >> FLAGS << FLAGS | flags
+    bare = EDGE.sub("", raw)
+    low = bare.lower()
+    flags = IS_END if END.search(raw) else 0
+    if not bare:
+        flags |= IS_NOTHING
+    elif (m := NUMBER.fullmatch(low)) and (not m[1] or m[1] in UNITS):
+        flags |= IS_NUMBER
+    elif low in UNITS:
+        flags |= IS_UNIT
+    elif bare[0].isupper():
+        flags |= IS_CAPITAL
+    if low in FUNCTION_WORDS:
+        flags |= IS_FUNCTION_WORD
+    elif all(part in NUMBER_WORDS for part in low.split("-")):
+        flags |= IS_NUMBER_WORD
+    return xxhash.xxh64_intdigest(low.encode()) >> FLAGS << FLAGS | flags
+
+
 class Tokens(dict):
-    """Raw token to hash << FLAGS | flags; holds at most ``CACHE`` tokens."""
+    """Raw token to its place in ``packed``: small numbers, which are read out faster than the hashes themselves."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.packed = np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, raw: str) -> int:
-        bare = EDGE.sub("", raw)
-        low = bare.lower()
-        flags = IS_END if END.search(raw) else 0
-        if not bare:
-            flags |= IS_NOTHING
-        elif (m := NUMBER.fullmatch(low)) and (not m[1] or m[1] in UNITS):
-            flags |= IS_NUMBER
-        elif low in UNITS:
-            flags |= IS_UNIT
-        elif bare[0].isupper():
-            flags |= IS_CAPITAL
-        if low in FUNCTION_WORDS:
-            flags |= IS_FUNCTION_WORD
-        elif all(part in NUMBER_WORDS for part in low.split("-")):
-            flags |= IS_NUMBER_WORD
-        if len(self) >= CACHE:
+        at = len(self)
+        if at == len(self.packed):
+            self.packed = np.concatenate([self.packed, np.zeros_like(self.packed)])
+        self.packed[at] = packed_token(raw)
+        self[raw] = at
+        return at
+
+    def read(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHE:
             self.clear()
-        self[raw] = value = xxhash.xxh64_intdigest(low.encode()) >> FLAGS << FLAGS | flags
-        return value
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return self.packed[at]
 
 
 _tokens = Tokens()
 
 
-def templates(text: str | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Value hashes of a text, and token hashes and slot kinds (0: an ordinary word) of its templates; the second only if it differs."""
-    words = text.split() if text else []
-    packed = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
-    flags = (packed & np.uint64((1 << FLAGS) - 1)).astype(np.int64)
+def templates_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of texts laid end to end: the text each token is of, value hashes, and token hashes and slot kinds (0: an ordinary word) of two templates."""
+    words = [t.split() if t else [] for t in texts]
+    packed = _tokens.read(list(chain.from_iterable(words)))
+    of = np.repeat(np.arange(len(words)), list(map(len, words)))
+    flags = packed.astype(np.uint8) & np.uint8((1 << FLAGS) - 1)
     real = flags & IS_NOTHING == 0
     if not real.all():
-        ends = np.zeros(len(words), np.int64)  # punctuation of its own ends the word before it
-        at = np.flatnonzero(~real & (flags & IS_END > 0)) - 1
-        ends[at[at >= 0]] = IS_END
-        packed, flags = packed[real], (flags | ends)[real]
+        alone = np.flatnonzero(~real & (flags & IS_END > 0))  # punctuation of its own ends the word before it
+        alone = alone[(alone > 0) & (of[alone - 1] == of[alone])]
+        flags[alone - 1] |= IS_END
+        packed, flags, of = packed[real], flags[real], of[real]
+    first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
     value = packed >> np.uint64(FLAGS)
-    before = np.concatenate([[IS_END], flags[:-1]])
-    inside = before & IS_END == 0
+    inside = ~first
+    inside[1:] &= flags[:-1] & IS_END == 0
     number = flags & IS_NUMBER > 0
-    made = [_template(value, flags, number, inside)]
     wide = number | (flags & IS_NUMBER_WORD > 0)
     named = inside | (flags & IS_FUNCTION_WORD == 0)
-    second = _template(value, flags, wide, named)
-    return value, made if np.array_equal(made[0][1], second[1]) else [*made, second]
+    return of, value, [_template(value, flags, number, inside, first), _template(value, flags, wide, named, first)]
 
 
-def _template(value: np.ndarray, flags: np.ndarray, number: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counted = np.concatenate([[False], number[:-1]])
-    slot = np.where((flags & IS_CAPITAL > 0) & named, IS_CAPITAL, 0)
-    slot = np.where((flags & IS_UNIT > 0) & counted, IS_UNIT, slot)
-    slot = np.where(number, IS_NUMBER, slot)
+def templates(text: str | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Value hashes of one text, and its templates; the second only if it differs."""
+    _, value, made = templates_of([text])
+    return value, made[:1] if np.array_equal(made[0][1], made[1][1]) else made
+
+
+def _template(value: np.ndarray, flags: np.ndarray, number: np.ndarray, named: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counted = np.concatenate([[False], number[:-1]])[: len(number)] & ~first
+    slot = np.where((flags & IS_CAPITAL > 0) & named, np.uint8(IS_CAPITAL), np.uint8(0))
+    slot[(flags & IS_UNIT > 0) & counted] = IS_UNIT
+    slot[number] = IS_NUMBER
     token = value.copy()
     for kind, placeholder in SLOT.items():
         token[slot == kind] = placeholder
@@ -203,7 +234,8 @@ def key_windows(known: DataFrame, found: DataFrame, similarity: float) -> DataFr
 
 
 def _bloom_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(BLOOM)).astype(np.int64), ((h >> np.uint64(32)) * MIX % np.uint64(BLOOM)).astype(np.int64)
+    mask = np.uint64(BLOOM - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) * MIX & mask).astype(np.int64)
 
 
 def bloom(windows: DataFrame) -> bytes:
@@ -230,28 +262,28 @@ def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFram
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            ids, hs, ps, ss = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                value, made = templates(text)
-                for n in sizes:
-                    for places, h, slot in all_windows(value, made, n):
-                        first, second = _bloom_bits(h)
-                        hit = np.flatnonzero(have[first >> 3] >> (first & 7) & have[second >> 3] >> (second & 7) & 1)
-                        at = places[hit]
-                        ids += [doc_id] * len(at)
-                        hs.append(h[hit].view(np.int64))
-                        ps.append(at)
-                        ss += [_slots(value, slot, i, n) for i in at.tolist()]
-            yield pa.record_batch(
-                [
-                    pa.array(ids, batch.schema.field("doc_id").type),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *hs])),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *ps])),
-                    pa.array(ss, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "h", "doc_pos", "doc_slots"],
-            )
+
+        def known(at: np.ndarray) -> np.ndarray:
+            return (have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+        for batch in slices(batches, TOGETHER):
+            of, value, made = templates_of(batch.column("text").to_pylist())
+            begin = np.searchsorted(of, np.arange(batch.num_rows))
+            rows, hs, ps, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for n in sizes:
+                for places, h, slot in all_windows(value, made, n):
+                    first, second = _bloom_bits(h)
+                    hit = np.flatnonzero(known(first))
+                    hit = hit[known(second[hit])]
+                    at = places[hit]
+                    whole = of[at] == of[at + n - 1]  # of one text
+                    at, hit = at[whole], hit[whole]
+                    rows.append(of[at])
+                    hs.append(h[hit].view(np.int64))
+                    ps.append(at - begin[of[at]])
+                    ss += [_slots(value, slot, i, n) for i in at.tolist()]
+            ids = batch.column("doc_id").take(pa.array(np.concatenate(rows)))
+            yield pa.record_batch([ids, pa.array(np.concatenate(hs)), pa.array(np.concatenate(ps)), pa.array(ss, pa.list_(pa.int64()))], names=["doc_id", "h", "doc_pos", "doc_slots"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, h long, doc_pos long, doc_slots array<long>")
 
