@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -16,8 +17,11 @@ STOP_WORDS = {
     "es": ["el", "los", "las", "y", "que", "en", "por", "con", "una", "para"],
 }
 
-# Digraphs of canonical transliteration and what they become, in order; fixed values.
-DIGRAPHS = [("sch", "sz"), ("sh", "sz"), ("ch", "h"), ("kh", "h"), ("ph", "f"), ("th", "t"), ("tz", "c"), ("ts", "c"), ("ck", "k"), ("q", "k"), ("w", "v"), ("x", "ks"), ("y", "i")]
+# Rewrites of canonical transliteration, in order (fixed values).
+REWRITES = [
+    ("sch", "s"), ("tsch", "c"), ("sh", "s"), ("sz", "s"), ("ch", "h"), ("kh", "h"), ("th", "t"),
+    ("ph", "f"), ("ts", "c"), ("tz", "c"), ("q", "k"), ("w", "v"), ("y", "j"), ("x", "ks"),
+]
 
 #: Characters of one token of the token estimate.
 CHARS_PER_TOKEN = 2.8
@@ -63,8 +67,8 @@ def normalize_words(text: Column) -> Column:
 
 
 def normalize(text: Column, language: Column) -> Column:
-    """The fold of ``language``: Greek, Hebrew and Aramaic have their own, all others the words' fold."""
-    return F.when(language == "grc", normalize_greek(text)).when(language.isin("hbo", "arc"), normalize_hebrew(text)).otherwise(normalize_words(text))
+    """The fold of ``language``: Greek and Hebrew have their own, all others the words' fold."""
+    return F.when(language == "grc", normalize_greek(text)).when(language == "hbo", normalize_hebrew(text)).otherwise(normalize_words(text))
 
 
 def script(text: Column) -> Column:
@@ -72,13 +76,11 @@ def script(text: Column) -> Column:
     return F.when(text.rlike("[\\u0590-\\u05FF]"), "hbo").when(text.rlike("[\\u0370-\\u03FF\\u1F00-\\u1FFF]"), "grc").otherwise("pl")
 
 
-def translit_digraphs(text: Column) -> Column:
-    return functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), DIGRAPHS, F.lower(text))
-
-
 def canonical_translit(text: Column) -> Column:
-    """Digraphs rewritten in order, repeated letters once, no final h."""
-    return F.regexp_replace(F.regexp_replace(translit_digraphs(text), r"(.)\1+", "$1"), "h$", "")
+    """Plain letters only, rewritten in order, repeated letters once, no final h."""
+    letters = F.regexp_replace(F.lower(fold_accents(F.lower(text))), "[^a-z]", "")
+    rewritten = functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), REWRITES, letters)
+    return F.regexp_replace(F.regexp_replace(rewritten, r"(.)\1+", "$1"), "h$", "")
 
 
 def translit_stem(key: Column, endings: tuple[str, ...] = ("ami", "ach", "om", "em", "ie", "a", "e", "i", "o", "u"), keep: int = 6) -> Column:
@@ -89,21 +91,34 @@ def translit_stem(key: Column, endings: tuple[str, ...] = ("ami", "ach", "om", "
     return stem
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def language_hits(text: Column) -> Column:
-    """map of language to the number of its stop words in ``text``."""
+    """Array of (n, lang) for every language, n the number of its stop words in ``text``.
+
+    The words are cut once and all that are stop words of no language leave before they are counted.
+    """
+    every = sorted({w for stop in STOP_WORDS.values() for w in stop})
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-zà-ÿœ]+")
+    found = F.filter(tokens, lambda w: w.isin(every))
+
+    def hits(words: Column, lang: str) -> Column:
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS[lang]))).alias("n"), F.lit(lang).alias("lang"))
+
+    return let(found, lambda words: F.array(*(hits(words, lang) for lang in STOP_WORDS)))
 
-    def hits(stop: list[str]) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.isin(stop)))
 
-    return F.create_map(*[x for lang, stop in STOP_WORDS.items() for x in (F.lit(lang), hits(stop))])
+#: Stop words that a text must have for its language to be told.
+LEAST_HITS = 5
 
 
-def detect_language(text: Column, ratio: float = 1.5) -> Column:
-    """The language with most stop words if it has ``ratio`` times the second's, else null; ties go to none."""
-    ranked = F.array_sort(F.transform(F.map_entries(language_hits(text)), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("lang"))))
-    best, second = -ranked[0]["n"], -ranked[1]["n"]
-    return F.when((best > 0) & (best >= ratio * second), ranked[0]["lang"])
+def detect_language(text: Column, ratio: float = 1.5, least: int = LEAST_HITS) -> Column:
+    """The language with most stop words, ``least`` at least and ``ratio`` times the second's (or 1), else null; ties go to none."""
+    ranked = F.array_sort(F.transform(language_hits(text), lambda e: F.struct((-e["n"]).alias("n"), e["lang"].alias("lang"))))
+    return let(ranked, lambda r: F.when((-r[0]["n"] >= least) & (-r[0]["n"] >= ratio * F.greatest(-r[1]["n"], F.lit(1))), r[0]["lang"]))
 
 
 def clean_text(text: Column) -> Column:
@@ -127,7 +142,7 @@ def escape_html(text: Column) -> Column:
 
 def highlight(text: Column, term: str) -> Column:
     """Escaped text with every match of ``term`` marked."""
-    return F.regexp_replace(escape_html(text), f"(?i)({term})", "<mark>$1</mark>")
+    return F.regexp_replace(escape_html(text), f"(?i)({re.escape(term)})", "<mark>$1</mark>")
 
 
 def header_key(line: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -133,43 +135,36 @@ def caption_paragraphs(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.groupBy("video_id").applyInPandas(pack, "video_id string, start double, text string")
 
 
-# Greek letters and what they become (fixed values); a breathing and iota subscript are read from the decomposed form.
+# Greek letters and what they become (fixed values).
 GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψως", "a b g d e z ē th i k l m n x o p r s t y ph ch ps ō s".split(), strict=True))
+#: Marks of the decomposed form as signs behind a letter: rough breathing, diaeresis, iota subscript. "^" goes before a capital.
+SIGNS = {"\u0314": "'", "\u0308": ":", "\u0345": "_"}
+#: Rules over letters with signs, in order. A breathing on a diphthong's second vowel stands before its first.
+RULES = [
+    (r"γ(?=\^?[γκξχ])", "n"),
+    (r"(\^?[αεηιουω])(\^?[αεηιουω])([:_]*)'", r"'\1\2\3"),
+    (r"(\^?)([αεηιουω])([:_]*)'", r"\1h\2\3"),
+    (r"'(\^?)", r"\1h"),
+    (r"(?<=[αεηο])([:_]*)υ(?!:)", r"\1u"),
+    (r"υ(?=[:_]*\^?ι(?!:))(?!:)", "u"),
+    (r"ρh|ρ'", "rh"),
+    ("_", "i"),
+    (":", ""),
+]
 
 
 def greek_translit(word: str) -> str:
     """Latin letters of a Greek word: h for a rough breathing, n for gamma before a guttural, u in diphthongs, case kept."""
-    import unicodedata
-
-    out: list[str] = []
-    letters = unicodedata.normalize("NFD", word)
-    bases = [c for c in letters.lower() if c in GREEK]
-    seen = 0
-    for i, c in enumerate(letters):
+    signed = ""
+    for c in unicodedata.normalize("NFD", word):
         low = c.lower()
-        if low not in GREEK:
-            if not unicodedata.combining(c):
-                out.append(c)
-            continue
-        marks = []
-        for m in letters[i + 1 :]:
-            if not unicodedata.combining(m):
-                break
-            marks.append(m)
-        latin = GREEK[low]
-        after, before = bases[seen + 1 : seen + 2], bases[seen - 1] if seen else ""
-        if low == "γ" and after and after[0] in "γκξχ":
-            latin = "n"
-        if low == "υ" and (before in ("α", "ε", "ο", "η") or after == ["ι"]):
-            latin = "u"
-        if "̔" in marks:
-            latin = "rh" if low == "ρ" else "h" + latin
-        if "̔" in marks and low in "ιυ" and before and out:  # the breathing of a diphthong stands on its second letter
-            latin = latin.removeprefix("h").replace("y", "u")
-            out[-1] = ("H" + out[-1].lower()) if out[-1][:1].isupper() else "h" + out[-1]
-        out.append(latin.capitalize() if c.isupper() else latin)
-        seen += 1
-    return "".join(out)
+        signed += SIGNS.get(c, "") if unicodedata.combining(c) else ("^" if c != low else "") + low if low in GREEK else ""
+    # the breathing of a letter before its other signs or after them is the same
+    signed = re.sub(r"'([:_]+)", r"\1'", signed).replace("ρ'", "rh")
+    for pattern, becomes in RULES:
+        signed = re.sub(pattern, becomes, signed)
+    latin = "".join(GREEK.get(c, c) for c in signed)
+    return re.sub(r"\^(.)", lambda m: m[1].upper(), latin)
 
 
 def transliterated(words: DataFrame) -> DataFrame:

@@ -14,17 +14,19 @@ from glossa.functions.text import words
 K1, B = 1.2, 0.75
 
 
-def occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda w: w == term))
+def occurrences(text: Column, term: str) -> Column:
+    """How often the word ``term`` (of letters) stands in the lower-cased ``text``."""
+    return F.regexp_count(text, F.lit(f"(?<![a-z]){term}(?![a-z])"))
 
 
 def bm25(docs: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """``docs`` with a bm25 score for ``terms`` where any occurs.
 
-    Term counts stay in the row (no postings shuffle); only one row of totals is gathered, as a scalar subquery.
+    Words are counted in the text itself, no list of them is made; only one row of totals is gathered, as a scalar subquery.
     """
-    counted = docs.withColumn("_w", words(F.col(text))).select(
-        *docs.columns, F.size("_w").alias("_len"), *(occurrences(F.col("_w"), t).alias(f"_tf{i}") for i, t in enumerate(terms))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counted = docs.withColumn("_low", low).select(
+        *docs.columns, F.regexp_count("_low", F.lit("[a-z]+")).alias("_len"), *(occurrences(F.col("_low"), t).alias(f"_tf{i}") for i, t in enumerate(terms))
     )
     totals = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
 
@@ -84,10 +86,3 @@ def with_near(docs: DataFrame, a: str, b: str, gap: int) -> DataFrame:
     last_other = F.last(F.when(F.col("word") == a, F.col("pos")), ignorenulls=True).over(order), F.last(F.when(F.col("word") == b, F.col("pos")), ignorenulls=True).over(order)
     other = F.when(F.col("word") == a, last_other[1]).otherwise(last_other[0])
     return found.withColumn("d", F.col("pos") - other - 1).groupBy("doc_id").agg(F.min("d").alias("distance")).filter(F.col("distance") <= gap)
-
-
-def matches(text: Column, must: list[str], phrases: list[str], excluded: list[str]) -> Column:
-    """All words, all phrases, none of the excluded: as substrings of the lower-cased text."""
-    low = F.lower(text)
-    conditions = [low.contains(w) for w in must + phrases] + [~low.contains(w) for w in excluded]
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -13,15 +13,50 @@ from pyspark.sql import functions as F
 VERBATIM, ALTERED = 0.92, 0.65
 
 
-def markers(answer: Column) -> Column:
-    """Citation markers like [3], [P2], [A1, 2] as upper-case strings with their prefix, in order, lists taken apart."""
-    groups = F.regexp_extract_all(answer, F.lit(r"\[([PA]?[0-9]+(?:\s*,\s*[PA]?[0-9]+)*)\]"), F.lit(1))
+#: Numbers that one range of a citation marker may span.
+MOST_RANGE = 200
+
 
-    def apart(group: Column) -> Column:
-        prefix = F.regexp_extract(group, "^([PA]?)", 1)
-        return F.transform(F.split(group, r"\s*,\s*"), lambda x: F.when(x.rlike("^[PA]"), x).otherwise(F.concat(prefix, x)))
+def citation_checks(answer: Column, available: Column) -> Column:
+    """Array of (marker, refs, missing, reason) for markers like [3], [P2; 4], [A1, 2-5], in order.
 
-    return F.flatten(F.transform(groups, apart))
+    Lists and ranges are taken apart; a family letter holds until the next one. A marker that cannot be read keeps what came
+    before the fault and has a reason: invalid_marker, cross_family_range, invalid_range; else missing_source where a reference
+    is not among ``available``; else null.
+    """
+    found = F.regexp_extract_all(answer, F.lit(r"\[\s*(?:[PA]\s*[0-9]*|[0-9]+)[^\[\]\n]*\]"), F.lit(0))
+    pattern = r"^([PA]?)([0-9]{1,9})(?:\s*[-–—]\s*([PA]?)([0-9]{1,9}))?$"
+    start = F.struct(F.lit("").alias("family"), F.array().cast("array<string>").alias("refs"), F.lit(None).cast("string").alias("reason"))
+
+    def step(state: Column, part: Column) -> Column:
+        own, a, other, b = (F.regexp_extract(part, pattern, i) for i in range(1, 5))
+        family = F.when(own != "", own).otherwise(state["family"])
+        low = F.try_to_number(F.nullif(a, F.lit("")), F.lit("999999999")).cast("long")
+        high = F.coalesce(F.try_to_number(F.nullif(b, F.lit("")), F.lit("999999999")).cast("long"), low)
+        reason = (
+            F.when(~part.rlike(pattern), "invalid_marker")
+            .when((b != "") & (other != "") & (other != family), "cross_family_range")
+            .when((high < low) | (high - low >= MOST_RANGE), "invalid_range")
+        )
+        more = F.when(reason.isNull(), F.transform(F.sequence(low, F.greatest(low, F.least(high, low + MOST_RANGE))), lambda n: F.concat(family, n.cast("string"))))
+        return F.when(state["reason"].isNotNull(), state).otherwise(
+            F.struct(family.alias("family"), F.concat(state["refs"], F.coalesce(more, F.array().cast("array<string>"))).alias("refs"), reason.alias("reason"))
+        )
+
+    def check(marker: Column) -> Column:
+        parts = F.split(F.btrim(F.substr(marker, F.lit(2), F.length(marker) - 2)), r"\s*[,;]\s*")
+        read = F.aggregate(parts, start, step)
+        refs = F.array_distinct(read["refs"])
+        missing = F.array_except(refs, available)
+        reason = F.coalesce(read["reason"], F.when(F.size(missing) > 0, "missing_source"))
+        return F.struct(marker.alias("marker"), refs.alias("refs"), missing.alias("missing"), reason.alias("reason"))
+
+    return F.transform(found, check)
+
+
+def markers(answer: Column) -> Column:
+    """The references of all citation markers, in order, with their family letter: what can be read of them."""
+    return F.flatten(F.transform(citation_checks(answer, F.array().cast("array<string>")), lambda c: c["refs"]))
 
 
 def exact_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -57,8 +92,9 @@ def exact_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
             those, parts = quoted.filter(~by_words & (length >= 3 if r.n == 3 else length == r.n)), lambda c: F.split(c, "")
             head = F.slice(F.split("quote", ""), 1, r.n)
         wanted = those.withColumn("_h", F.xxhash64(F.concat_ws(" ", head)))
-        met = docs.select("doc_id", "text", F.explode(heads(parts("text"), r.n)).alias("_h")).join(wanted, "_h")
-        found.append(met.filter(F.contains("text", "quote")).select("doc_id", "item_id"))
+        # hashes alone are taken apart and joined; the texts of what meets come after
+        met = docs.select("doc_id", F.explode(heads(parts("text"), r.n)).alias("_h")).join(wanted, "_h").select("doc_id", "item_id", "quote").distinct()
+        found.append(docs.select("doc_id", "text").join(met, "doc_id").filter(F.contains("text", "quote")).select("doc_id", "item_id"))
     if not found:
         return docs.select("doc_id").crossJoin(quoted.select("item_id")).limit(0)
     out = found[0]
@@ -124,9 +160,31 @@ def check_quotes(pairs: DataFrame) -> DataFrame:
     return pairs.select(*ids, "quote", "source").mapInPandas(scan, ", ".join(f"{c} long" for c in ids) + ", ratio double, status string")
 
 
-def near_pairs(left: DataFrame, blocks: Column, most: float) -> DataFrame:
-    """Pairs a < b of (id, name) in one block whose edit distance is at most ``most`` of the longer name."""
-    a = left.select(F.col("id").alias("a"), F.col("name").alias("name_a"), blocks.alias("_block"))
-    b = a.toDF("b", "name_b", "_block")
-    distance = F.levenshtein("name_a", "name_b")
-    return a.join(b, "_block").filter((F.col("a") < F.col("b")) & (distance <= most * F.greatest(F.length("name_a"), F.length("name_b")))).select("a", "b", distance.cast("long").alias("distance"))
+def near_names(names: DataFrame, least: float = 0.9) -> DataFrame:
+    """a, b, ratio: pairs a < b of the different ``name`` whose sequence ratio is at least ``least``.
+
+    A ratio of r leaves at most (1 - r) times both lengths of unmatched letters, d. Of d + 1 pieces of the shorter name one at least
+    is whole in the other, at most d places off; so names meet by piece, and no pair is lost. Only pairs that meet are compared.
+    """
+    once = names.select("name").filter("name <> ''").distinct().withColumn("n", F.length("name"))
+    most = F.floor((1 - least) * (F.col("n") + F.col("m")) + 1e-9).cast("int")
+    # lengths that may go together: shorter n, longer m
+    lengths = once.select("n").distinct()
+    pairs = lengths.join(lengths.withColumnRenamed("n", "m"), F.col("m").between(F.col("n"), F.ceil(F.col("n") * (2 / least - 1)))).withColumn("d", most)
+    place = F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: F.struct(k.alias("k"), F.floor(k * F.col("n") / (F.col("d") + 1)).cast("int").alias("at"), F.floor((k + 1) * F.col("n") / (F.col("d") + 1)).cast("int").alias("end")))
+    cut = pairs.select("n", "m", "d", F.explode(place).alias("p")).select("n", "m", "d", "p.*")
+    left = once.join(F.broadcast(cut), "n").select(F.col("name").alias("x"), "n", "m", "k", F.substr("name", F.col("at") + 1, F.col("end") - F.col("at")).alias("piece"))
+    offs = F.explode(F.sequence(F.greatest(F.col("at") - F.col("d"), F.lit(0)), F.least(F.col("at") + F.col("d"), F.col("m") - (F.col("end") - F.col("at")))))
+    right = once.withColumnRenamed("n", "m").join(F.broadcast(cut.withColumn("off", offs)), "m").select(F.col("name").alias("y"), "n", "m", "k", F.substr("name", F.col("off") + 1, F.col("end") - F.col("at")).alias("piece"))
+    met = left.join(right.distinct(), ["n", "m", "k", "piece"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            matcher = difflib.SequenceMatcher(autojunk=False)
+            ratio = []
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                matcher.set_seqs(a, b)
+                ratio.append(matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0)
+            yield pdf.assign(ratio=ratio)
+
+    return met.mapInPandas(compare, "a string, b string, ratio double").filter(F.col("ratio") >= least)

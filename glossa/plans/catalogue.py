@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpora, relations, retrieval, texts
+from glossa.plans import corpora, editorial, relations, retrieval, texts
 
-MODULES = (retrieval, relations, corpora, texts)
+MODULES = (retrieval, relations, corpora, texts, editorial)
 
 
 def queries():

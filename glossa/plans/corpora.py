@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.functions.query import parse_query
-from glossa.operators import corpus, search, verify, windows
+from glossa.functions import query
+from glossa.operators import corpus, verify, windows
 from glossa.tables import table
 
 NAMES = ["thing", "with", "ander", "reed", "lychen"]
 
 
+def _searched(spark, sf_dir, text):
+    """Documents that meet a query of the search box, words without final s standing for lemmas and the source for a number."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "lang", T.words(F.col("text")).alias("w"), F.array(F.concat(F.lit("G"), F.regexp_extract("source", "([0-9]+)", 1))).alias("numbers"))
+    lemmas = F.transform("w", lambda x: F.regexp_replace(x, "s$", ""))
+    return words.filter(query.condition(query.parse(text), F.col("w"), F.col("numbers"), lemmas)).select("doc_id", "lang")
+
+
 def query_search(spark, sf_dir):
-    """A query of the search box: words, a phrase, an exclusion."""
-    q = parse_query('the "of the" -from')
-    return table(spark, sf_dir, "documents").filter(search.matches(F.col("text"), q.words, q.phrases, q.excluded)).select("doc_id")
+    """Words, a phrase, nearness and an exclusion in one query."""
+    return _searched(spark, sf_dir, 'the "of the" with NEAR/8 from -which').select("doc_id")
+
+
+def lemma_search(spark, sf_dir):
+    """A lemma and a number, with an exclusion."""
+    return _searched(spark, sf_dir, "lemma:thi G04 -shall")
+
+
+def query_facets(spark, sf_dir):
+    """How many documents of each language meet a query, and of all."""
+    return _searched(spark, sf_dir, "of NEAR and").groupingSets([["lang"], []], "lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("*")).alias("lang"), "n")
 
 
 def names_in_text(spark, sf_dir):
@@ -86,14 +102,23 @@ def history(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        query_search, names_in_text, parallel_orders, book_counts, translation_gate, rerank_labels, distinct_work, corpus_fingerprint, word_batches, unknown_citations, history,
+        query_search, lemma_search, query_facets, names_in_text, parallel_orders, book_counts, translation_gate, rerank_labels, distinct_work, corpus_fingerprint, word_batches, unknown_citations, history,
     )
 }
 
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
 _NAMES = ", ".join(f"('{n}')" for n in NAMES)
 ORACLE_SQL = {
-    "query_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'of the') AND NOT contains(lower(text), 'from')",
+    "query_search": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+n AS (SELECT DISTINCT a.doc_id FROM t a JOIN t b USING (doc_id) WHERE a.word = 'with' AND b.word = 'from' AND abs(a.pos - b.pos) - 1 <= 8)
+SELECT doc_id FROM d WHERE list_contains(w, 'the') AND contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'which') AND doc_id IN (SELECT doc_id FROM n)""",
+    "lemma_search": f"""
+SELECT doc_id, lang FROM documents WHERE list_contains(list_transform({_WORDS}, lambda x: regexp_replace(x, 's$', '')), 'thi') AND regexp_extract(source, '([0-9]+)', 1) = '4' AND NOT list_contains({_WORDS}, 'shall')""",
+    "query_facets": f"""
+WITH t AS (SELECT doc_id, lang, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+m AS (SELECT DISTINCT a.doc_id, a.lang FROM t a JOIN t b ON a.doc_id = b.doc_id WHERE a.word = 'of' AND b.word = 'and' AND abs(a.pos - b.pos) - 1 <= 2)
+SELECT lang, count(*) AS n FROM m GROUP BY lang UNION ALL SELECT '*', count(*) FROM m""",
     "names_in_text": f"""
 WITH n AS (SELECT * FROM (VALUES {_NAMES}) AS t(name)), w AS (SELECT DISTINCT doc_id AS id, unnest({_WORDS}) AS word FROM documents)
 SELECT id, word, name FROM w JOIN n ON word = name OR (length(name) >= 4 AND starts_with(word, name) AND length(word) - length(name) BETWEEN 1 AND 3 AND word NOT IN (SELECT name FROM n))""",

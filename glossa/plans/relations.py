@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.operators import access, groups, ranges, verify, windows
+from glossa.sources import writers
 from glossa.tables import table
 
 #: Literal ordinal ranges that queries ask for.
@@ -158,9 +159,13 @@ def hash_duplicates(spark, sf_dir):
 
 
 def author_merge(spark, sf_dir):
-    """Customers' names merged by a key of their digits' last two places; the form of most customers stands."""
-    names = table(spark, sf_dir, "customer").select(F.regexp_extract("c_name", r"([0-9]{2})$", 1).alias("key"), "c_name")
-    return names.groupBy("key").agg(F.min("c_name").alias("name"), _n("n"))
+    """Authors, written "Last, First" or "First Last", merged by folded last and first name; a form without comma stands, of most rows."""
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    last, given = F.initcap(F.split_part("c_mktsegment", F.lit(" "), F.lit(1))), F.regexp_replace("n_name", "[^A-Za-z]", "")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat_ws(", ", F.upper(last), given)).when(F.col("c_custkey") % 3 == 1, F.concat_ws(" ", given, last)).otherwise(F.concat_ws(" ", given, F.lower(last)))
+    forms = people.groupBy(name.alias("name")).agg(_n("n")).withColumn("key", T.name_key(F.col("name")))
+    best = F.min_by("name", F.struct(F.contains("name", F.lit(",")), -F.col("n"), "name"))
+    return forms.groupBy("key").agg(best.alias("name"), F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 def macro_means(spark, sf_dir):
@@ -192,7 +197,8 @@ def prev_next(spark, sf_dir):
 
 def first_occurrence_order(spark, sf_dir):
     """Parts in order of their first order, with their first six orders."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_order"), F.slice(F.array_sort(F.collect_set("l_orderkey")), 1, 6).alias("o"))
+    firsts = windows.first_per(table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct(), ["l_partkey"], ["l_orderkey"], 6)
+    lines = firsts.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_order"), F.array_sort(F.collect_list("l_orderkey")).alias("o"))
     return lines.select("l_partkey", "first_order", F.array_join(F.transform("o", lambda x: x.cast("string")), ",").alias("orders"))
 
 
@@ -237,12 +243,14 @@ def fold_accents(spark, sf_dir):
 
 
 def canonical_translit(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
-    return words.select("word", T.translit_digraphs(F.col("word")).alias("key"))
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"), "[^ \n.,|]+")).alias("word")).distinct()
+    return words.select("word", T.canonical_translit(F.col("word")).alias("key"))
 
 
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[ \t\n]+", " "))).alias("text_md5"))
+    """Texts with some words split at line ends, cleaned."""
+    broken = F.regexp_replace("text", r"([a-z]{4})([a-z]{4} )", "$1-\n$2 \t")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(broken)).alias("text_md5"))
 
 
 def quote_exact(spark, sf_dir):
@@ -257,15 +265,15 @@ def quote_fuzzy(spark, sf_dir):
 
 
 def citation_markers(spark, sf_dir):
-    ids = F.concat(F.lit("As said [P"), F.col("event_id") % 9, F.lit(", "), F.col("event_id") % 4, F.lit("] and ["), F.col("user_id"), F.lit("]."))
+    """References of markers with lists and ranges."""
+    ids = F.concat(F.lit("As said [P"), F.col("event_id") % 9, F.lit(", "), F.col("event_id") % 4, F.lit("–"), F.col("event_id") % 4 + 2, F.lit("] and ["), F.col("user_id"), F.lit("; A7]."))
     found = table(spark, sf_dir, "events").select("event_id", verify.markers(ids).alias("m"))
     return found.select("event_id", F.array_join("m", " ").alias("markers"))
 
 
 def fuzzy_dedup(spark, sf_dir):
-    """Suppliers and their near names: blocked by name without its last two digits, edit distance at most 5 %."""
-    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return verify.near_pairs(names, F.expr("left(name, length(name) - 2)"), 0.05)
+    """Names of parts whose sequence ratio is 0.8 or more, each pair of different names once."""
+    return verify.near_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), 0.8)
 
 
 def license_rules(spark, sf_dir):
@@ -281,7 +289,9 @@ def noise_rules(spark, sf_dir):
 
 
 def json_extract(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int")
+    """The object that an answer holds between words and code fences."""
+    answer = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    k = F.get_json_object(T.json_block(answer), "$.k").cast("int")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
 
 
@@ -313,7 +323,9 @@ def revision_guard(spark, sf_dir):
 
 def export_bibtex(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.select("p_partkey", F.format_string("@book{part%d, title={%s}, publisher={%s}, year={%d}}", "p_partkey", "p_name", "p_brand", F.col("p_size") + 1950).alias("entry"))
+    key = F.concat(F.lit("part"), F.col("p_partkey"))
+    fields = {"title": F.col("p_name"), "publisher": F.concat(F.lit("{"), F.col("p_brand"), F.lit("}")), "note": F.lit(""), "year": F.col("p_size") + 1950}
+    return part.select("p_partkey", writers.bibtex_entry("book", key, fields).alias("entry"))
 
 
 def pricing_summary(spark, sf_dir):
@@ -343,17 +355,19 @@ def _stop(lang: str) -> str:
     return f"len(list_filter(w, lambda x: x IN ({listed})))"
 
 
-_VOTE = f"""
+VOTE = f"""
 w AS (SELECT doc_id, source, string_split_regex(lower(coalesce(text, '')), '[^a-zà-ÿœ]+') AS w FROM documents),
 h AS ({' UNION ALL '.join(f"SELECT doc_id, source, '{lang}' AS lang, {_stop(lang)} AS n FROM w" for lang in T.STOP_WORDS)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS i FROM h),
-v AS (SELECT a.doc_id, a.source, CASE WHEN a.n > 0 AND a.n >= 1.5::DOUBLE * b.n THEN a.lang END AS lang FROM r a JOIN r b ON a.doc_id = b.doc_id WHERE a.i = 1 AND b.i = 2)"""
+v AS (SELECT a.doc_id, a.source, CASE WHEN a.n >= 5 AND a.n >= 1.5::DOUBLE * greatest(b.n, 1) THEN a.lang END AS lang FROM r a JOIN r b ON a.doc_id = b.doc_id WHERE a.i = 1 AND b.i = 2)"""
 
 
-def _digraphs(column: str) -> str:
-    for a, b in T.DIGRAPHS:
+def _rewritten(column: str) -> str:
+    for a, b in T.REWRITES:
         column = f"replace({column}, '{a}', '{b}')"
-    return column
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        column = f"regexp_replace({column}, '{c}+', '{c}', 'g')"
+    return f"regexp_replace({column}, 'h$', '')"
 
 
 _SETS = "(SELECT source, lang FROM documents WHERE lang = 'en') {op} (SELECT source, lang FROM documents WHERE n_chars > 4000)"
@@ -397,15 +411,18 @@ SELECT CASE WHEN source IN ('src1', 'src10', 'src11') THEN 'group-a' WHEN source
     "vote_share": """
 SELECT o_custkey, o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS share FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5""",
-    "lang_vote": f"WITH {_VOTE} SELECT doc_id, coalesce(lang, '?') AS detected FROM v",
+    "lang_vote": f"WITH {VOTE} SELECT doc_id, coalesce(lang, '?') AS detected FROM v",
     "lang_vote_by_source": f"""
-WITH {_VOTE}, c AS (SELECT source, lang, count(*) AS n FROM v WHERE lang IS NOT NULL GROUP BY source, lang), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share FROM c)
+WITH {VOTE}, c AS (SELECT source, lang, count(*) AS n FROM v WHERE lang IS NOT NULL GROUP BY source, lang), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share FROM c)
 SELECT source, lang, round(share, 6) AS share FROM s WHERE share >= 0.6""",
     "running_headers": r"""
 SELECT source, header_key, count(DISTINCT doc_id) AS n FROM (SELECT source, doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[0-9\s]+', ' ', 'g')) AS header_key FROM documents)
 WHERE header_key <> '' GROUP BY source, header_key HAVING count(DISTINCT doc_id) >= 2""",
     "hash_duplicates": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY md5(text) HAVING count(*) > 1",
-    "author_merge": "SELECT regexp_extract(c_name, '([0-9]{2})$', 1) AS key, min(c_name) AS name, count(*) AS n FROM customer GROUP BY 1",
+    "author_merge": """
+WITH p AS (SELECT c_custkey % 3 AS k, upper(left(split_part(c_mktsegment, ' ', 1), 1)) || lower(substr(split_part(c_mktsegment, ' ', 1), 2)) AS l, regexp_replace(n_name, '[^A-Za-z]', '', 'g') AS g FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT CASE k WHEN 0 THEN upper(l) || ', ' || g WHEN 1 THEN g || ' ' || l ELSE g || ' ' || lower(l) END AS name, lower(l) || '|' || lower(g) AS key, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT key, CAST(sum(n) AS BIGINT) AS n, count(*) AS forms, first(name ORDER BY contains(name, ','), n DESC, name) AS name FROM f GROUP BY key""",
     "macro_means": """
 WITH d AS (SELECT lang, n_chars, quality, CASE WHEN quality = 1 THEN toxic END AS t FROM documents LEFT JOIN labels USING (doc_id)),
 m AS (SELECT lang, 'quality' AS metric, CAST(quality AS DOUBLE) AS v FROM d UNION ALL SELECT lang, 'toxic_if_good', t FROM d UNION ALL SELECT lang, 'n_chars', n_chars FROM d)
@@ -430,14 +447,17 @@ SELECT o_orderkey, last_value(CASE WHEN o_totalprice > 300000 THEN o_orderkey EN
     "fold_accents": r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ \n.,|]+')) AS word FROM documents)
 SELECT strip_accents(word) AS folded, count(*) AS n, count(DISTINCT word) AS forms FROM w WHERE regexp_matches(word, '[à-ÿ]') GROUP BY 1""",
-    "canonical_translit": f"SELECT DISTINCT word, {_digraphs('word')} AS key FROM (SELECT unnest({_WORDS}) AS word FROM documents)",
-    "clean_text": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n]+', ' ', 'g'))) AS text_md5 FROM documents",
+    "canonical_translit": f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ \\n.,|]+')) AS word FROM documents)
+SELECT word, {_rewritten("regexp_replace(strip_accents(word), '[^a-z]', '', 'g')")} AS key FROM w""",
+    "clean_text": r"""
+WITH b AS (SELECT doc_id, regexp_replace(text, '([a-z]{4})([a-z]{4} )', '\1-' || chr(10) || '\2 ' || chr(9), 'g') AS t FROM documents),
+j AS (SELECT doc_id, regexp_replace(t, '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS t FROM b)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS text_md5 FROM j""",
     "quote_exact": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "citation_markers": "SELECT event_id, 'P' || event_id % 9 || ' P' || event_id % 4 || ' ' || user_id AS markers FROM events",
-    "fuzzy_dedup": """
-SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS distance FROM supplier a JOIN supplier b
-ON a.s_suppkey < b.s_suppkey AND left(a.s_name, length(a.s_name) - 2) = left(b.s_name, length(b.s_name) - 2)
-WHERE levenshtein(a.s_name, b.s_name) <= 0.05::DOUBLE * greatest(length(a.s_name), length(b.s_name))""",
+    "citation_markers": """
+SELECT event_id, array_to_string(refs, ' ') || ' ' || user_id || ' A7' AS markers
+FROM (SELECT event_id, user_id, list_prepend('P' || event_id % 9, list_filter(['P' || event_id % 4, 'P' || (event_id % 4 + 1), 'P' || (event_id % 4 + 2)], lambda x: x <> 'P' || event_id % 9)) AS refs FROM events)""",
     "license_rules": """
 SELECT CASE doc_id % 5 WHEN 0 THEN 'CC BY-NC-ND' WHEN 1 THEN 'CC BY-SA' WHEN 2 THEN 'CC0' WHEN 3 THEN 'public domain' ELSE 'none' END AS label, doc_id % 5 IN (1, 2, 3) AS allowed, count(*) AS n FROM documents GROUP BY 1, 2""",
     "noise_rules": """
@@ -451,7 +471,8 @@ WITH g AS (SELECT user_id, ts, event_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGI
 s AS (SELECT user_id, sum(CASE WHEN gap > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM s GROUP BY user_id, session""",
     "revision_guard": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY user_id, event_type",
-    "export_bibtex": "SELECT p_partkey, printf('@book{part%d, title={%s}, publisher={%s}, year={%d}}', p_partkey, p_name, p_brand, p_size + 1950) AS entry FROM part",
+    "export_bibtex": r"""
+SELECT p_partkey, '@book{part' || p_partkey || ',' || chr(10) || '  title = {' || p_name || '},' || chr(10) || '  publisher = {\{' || p_brand || '\}},' || chr(10) || '  year = {' || (p_size + 1950) || '}' || chr(10) || '}' AS entry FROM part""",
     "pricing_summary": """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions import query
 from glossa.functions import text as T
 from glossa.operators import search, windows
 from glossa.tables import table
@@ -104,8 +105,8 @@ def near_search(spark, sf_dir):
 
 
 def bool_not(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.filter(search.matches(F.col("text"), ["the", "with"], ["of the"], ["from"])).select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", T.words(F.col("text")).alias("w"))
+    return docs.filter(query.condition(query.parse('the with "of the" -from'), F.col("w"))).select("doc_id", "lang")
 
 
 def term_mentions(spark, sf_dir):
@@ -220,7 +221,9 @@ SELECT a.doc_id, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.po
 WITH t AS (SELECT doc_id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS pos FROM documents)
 SELECT a.doc_id, CAST(min(abs(a.pos - b.pos) - 1) AS BIGINT) AS distance FROM t a JOIN t b ON a.doc_id = b.doc_id
 WHERE a.word = 'with' AND b.word = 'from' GROUP BY a.doc_id HAVING min(abs(a.pos - b.pos) - 1) <= 3""",
-    "bool_not": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with') AND contains(lower(text), 'of the') AND NOT contains(lower(text), 'from')",
+    "bool_not": f"""
+WITH d AS (SELECT doc_id, lang, {WORDS} AS w FROM documents)
+SELECT doc_id, lang FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'with') AND contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'from')""",
     "term_mentions": f"""
 SELECT source, doc_id, n_chars FROM documents WHERE list_contains({WORDS}, 'with') QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) = 1""",
     "paged_search": "SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'with') ORDER BY n_chars, doc_id LIMIT 15 OFFSET 20",

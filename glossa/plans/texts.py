@@ -7,30 +7,25 @@ import uuid
 from pyspark.sql import functions as F
 
 from glossa.functions import references
+from glossa.functions import text as T
 from glossa.operators import windows
 from glossa.sources import readers
 from glossa.streaming import events as streams
 from glossa.tables import table
 
-#: Texts with references, and what they are to give.
-SAMPLES = [
-    (1, "See Mt 5,3-12 and also J 3,16.", [(47005003, 47005012), (50003016, 50003016)]),
-    (2, "Rdz 1; 2,4n", [(1001000, 1001999), (1002004, 1002005)]),
-    (3, "Ps 23 is no Psx 4", [(19023000, 19023999)]),
-    (4, "1 Kor 13,4nn. Gen 1:1-2:3", [(53013004, 53013999), (1001001, 1002003)]),
-    (5, "Mk 4,3.5.7-9", [(48004003, 48004003), (48004005, 48004005), (48004007, 48004009)]),
-    (6, "Mt 9,8-3 goes back", []),
-    (7, "Wj 3-4", [(2003000, 2004999)]),
-]
-
-
 def extract_refs(spark, sf_dir):
-    texts = spark.createDataFrame([(i, t) for i, t, _ in SAMPLES], "id long, text string")
-    return references.extract_references(texts).select("id", "start", "end")
+    """References in documents into which one was written: a verse range, a chapter or a list, by doc_id."""
+    i = F.col("doc_id")
+    c, v = (i % 20 + 1).cast("string"), (i % 15 + 1).cast("string")
+    ref = F.when(i % 3 == 0, F.concat(F.lit(" See Mt "), c, F.lit(","), v, F.lit("-"), (i % 15 + 4).cast("string"), F.lit(". "))).when(
+        i % 3 == 1, F.concat(F.lit(" (Rdz "), c, F.lit(") "))).otherwise(F.concat(F.lit(" J 3,"), v, F.lit(".30; 4,2n. ")))
+    docs = table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(ref, F.coalesce("text", F.lit(""))).alias("text"))
+    return references.extract_references(docs).filter("pos < 8").select("id", "start", "end")
 
 
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(readers.html_text(F.col("html"))).alias("text_md5"), F.length(readers.html_text(F.col("html"))).alias("n_chars"))
+    pages = table(spark, sf_dir, "pages").select("page_id", T.let(readers.html_text(F.col("html")), lambda t: F.struct(F.md5(t).alias("text_md5"), F.length(t).alias("n_chars"))).alias("t"))
+    return pages.select("page_id", "t.text_md5", "t.n_chars")
 
 
 def chunking(spark, sf_dir):
@@ -56,10 +51,67 @@ def stream_hourly_requests(spark, sf_dir):
     return counts.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "user_id", "n")
 
 
-QUERIES = {f.__name__: f for f in (extract_refs, html_to_text, chunking, stream_hourly_requests)}
+def stream_sliding_counts(spark, sf_dir):
+    counts = _drained(streams.sliding_counts(_event_stream(spark, sf_dir)), "complete")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of users, by gaps of six hours, of the event stream read to its end."""
+    counts = _drained(streams.session_counts(_event_stream(spark, sf_dir)), "complete")
+    return counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def stream_new_entries(spark, sf_dir):
+    """Users' first event of each kind, as entries of a manifest that come again and again."""
+    manifest = _event_stream(spark, sf_dir).select(F.col("ts").alias("seen_at"), F.col("event_type").alias("source"), F.col("user_id").alias("source_id"))
+    return _drained(streams.new_entries(manifest, "60 days"), "append").select("source", "source_id")
+
+
+def stream_status(spark, sf_dir):
+    """Results of revisions that come in any order, those of old ones marked stale."""
+    results = _event_stream(spark, sf_dir).select(F.col("user_id").alias("doc_id"), (F.col("event_id") * 7 % 11).alias("revision"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+    return _drained(streams.current_status(results, None), "append").groupBy("doc_id", "stale").agg(F.count("*").alias("n"), F.max("revision").alias("newest"))
+
+
+def stream_without_tag(spark, sf_dir):
+    """Turns of conversations as deltas that cut a tag anywhere; what stands in it is gone at the end."""
+    schema = table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    payload = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" <thi"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("nk>"), "text", F.lit("</th"))).otherwise(F.concat(F.lit("ink> "), "text"))
+    deltas = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), payload.alias("payload"), (F.col("turn") == 7).alias("last"))
+    out = _drained(streams.without_tag(deltas, forget=None), "append")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("stream_id").agg(F.md5(text).alias("text_md5"), F.count("*").alias("deltas"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (extract_refs, html_to_text, chunking, stream_hourly_requests, stream_sliding_counts, stream_sessions, stream_new_entries, stream_status, stream_without_tag)
+}
 
-_ROWS = ", ".join(f"({i}, {a}, {b})" for i, _, found in SAMPLES for a, b in found)
 ORACLE_SQL = {
-    "extract_refs": f"SELECT id, start, \"end\" FROM (VALUES {_ROWS}) AS t(id, start, \"end\")",
+    "extract_refs": """
+WITH d AS (SELECT doc_id AS id, doc_id % 3 AS k, doc_id % 20 + 1 AS c, doc_id % 15 AS m FROM documents)
+SELECT id, 47000000 + c * 1000 + m + 1 AS start, 47000000 + c * 1000 + m + 4 AS "end" FROM d WHERE k = 0
+UNION ALL SELECT id, 1000000 + c * 1000, 1000000 + c * 1000 + 999 FROM d WHERE k = 1
+UNION ALL SELECT id, 50003000 + m + 1, 50003000 + m + 1 FROM d WHERE k = 2 UNION ALL SELECT id, 50003030, 50003030 FROM d WHERE k = 2 UNION ALL SELECT id, 50004002, 50004003 FROM d WHERE k = 2""",
     "stream_hourly_requests": "SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_sliding_counts": """
+WITH e AS (SELECT event_type, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '2000-01-01') AS b FROM events)
+SELECT start, event_type, count(*) AS n FROM (SELECT b AS start, event_type FROM e UNION ALL SELECT b - INTERVAL '3 hours', event_type FROM e) GROUP BY 1, 2""",
+    "stream_sessions": """
+WITH g AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN gap > INTERVAL '6 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
+    "stream_new_entries": "SELECT DISTINCT event_type AS source, user_id AS source_id FROM events",
+    "stream_status": """
+WITH r AS (SELECT user_id AS doc_id, event_id * 7 % 11 AS revision, event_id FROM events),
+m AS (SELECT *, coalesce(revision < max(revision) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM r)
+SELECT doc_id, stale, count(*) AS n, max(revision) AS newest FROM m GROUP BY 1, 2""",
+    "stream_without_tag": r"""
+WITH d AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || ' <thi' WHEN 1 THEN 'nk>' || text || '</th' ELSE 'ink> ' || text END AS p FROM conversations),
+w AS (SELECT conv_id, string_agg(p, '' ORDER BY turn) AS t, count(*) AS deltas, max(turn) = 7 AS ended FROM d GROUP BY conv_id),
+c AS (SELECT *, regexp_replace(t, '(?s)<think>.*?(?:</think>|\z)', '', 'g') AS kept FROM w)
+SELECT CAST(conv_id AS VARCHAR) AS stream_id, md5(CASE WHEN ended THEN kept ELSE regexp_replace(kept, ' <thi\z', ' ') END) AS text_md5, deltas FROM c""",
 }

@@ -29,53 +29,70 @@ def new_entries(manifest: DataFrame, late: str = "30 days") -> DataFrame:
     return manifest.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["source", "source_id"])
 
 
-def current_status(results: DataFrame) -> DataFrame:
+#: How long a document or a text stream without news keeps its state, in milliseconds.
+FORGET = 3_600_000
+
+
+def _timeout(forget: int | None) -> str:
+    """With a timeout a query runs on without new data, to look for what has timed out; one that is to end by itself takes None."""
+    return GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+
+
+def current_status(results: DataFrame, forget: int | None = FORGET) -> DataFrame:
     """doc_id, revision, status, stale of a stream of index results: one of an older revision than a document's newest is
-    stale and puts nothing in its place."""
+    stale and puts nothing in its place. Results of a trigger count in order of ``seq``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         newest = state.get[0] if state.exists else -1
-        for pdf in batches:
-            pdf = pdf.sort_values("seq", kind="stable")
-            rows = []
-            for revision, status in zip(pdf["revision"], pdf["status"], strict=True):
-                rows.append((key[0], int(revision), status, bool(revision < newest)))
-                newest = max(newest, int(revision))
-            yield pd.DataFrame(rows, columns=["doc_id", "revision", "status", "stale"])
-        state.update((newest,))
+        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        before = pdf["revision"].cummax().shift(fill_value=newest).clip(lower=newest)
+        state.update((max(newest, int(pdf["revision"].max())),))
+        if forget:
+            state.setTimeoutDuration(forget)
+        yield pd.DataFrame({"doc_id": key[0], "revision": pdf["revision"], "status": pdf["status"], "stale": pdf["revision"] < before})
 
     return results.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id long, revision long, status string, stale boolean", "newest long", "append", GroupStateTimeout.NoTimeout
+        step, "doc_id long, revision long, status string, stale boolean", "newest long", "append", _timeout(forget)
     )
 
 
-def without_tag(deltas: DataFrame, tag: str = "think") -> DataFrame:
-    """stream_id, seq, text of text deltas with what stands between the tags left out, wherever deltas cut them.
+def without_tag(deltas: DataFrame, tag: str = "think", forget: int | None = FORGET) -> DataFrame:
+    """stream_id, seq, text of text deltas (stream_id, seq, payload, last) with what stands between the tags left out, wherever
+    deltas cut them.
 
-    State is whether a stream is inside the tag and the few characters that may begin one.
+    State is whether a stream is inside the tag and the few characters that may begin one. They are given out with the delta
+    marked ``last``, or by themselves (seq null) when a stream goes without news for an hour; inside a tag they are dropped.
     """
     marks = (f"<{tag}>", f"</{tag}>")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inside, held = state.get if state.exists else (False, "")
-        for pdf in batches:
-            rows = []
-            for seq, payload in sorted(zip(pdf["seq"], pdf["payload"], strict=True)):
-                held += payload
-                out = ""
-                while True:
-                    mark = marks[inside]
-                    at = held.find(mark)
-                    if at < 0:
-                        keep = next((n for n in range(min(len(mark) - 1, len(held)), 0, -1) if mark.startswith(held[-n:])), 0)
-                        if not inside:
-                            out += held[: len(held) - keep]
-                        held = held[len(held) - keep :]
-                        break
-                    out += "" if inside else held[:at]
-                    held, inside = held[at + len(mark) :], not inside
-                rows.append((key[0], int(seq), out))
-            yield pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
-        state.update((bool(inside), held))
-
-    return deltas.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "inside boolean, held string", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"stream_id": [key[0]], "seq": pd.array([None], "Int64"), "text": ["" if inside else held]})
+            return
+        rows, ended = [], False
+        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        for seq, payload, last in zip(pdf["seq"], pdf["payload"], pdf["last"], strict=True):
+            held += payload
+            out = ""
+            while (at := held.find(marks[inside])) >= 0:
+                out += "" if inside else held[:at]
+                held, inside = held[at + len(marks[inside]) :], not inside
+            mark = marks[inside]
+            keep = 0 if last else next((n for n in range(min(len(mark) - 1, len(held)), 0, -1) if mark.startswith(held[-n:])), 0)
+            out += "" if inside else held[: len(held) - keep]
+            held, ended = held[len(held) - keep :], ended or bool(last)
+            rows.append((key[0], int(seq), out))
+        if ended:
+            state.remove()
+        else:
+            state.update((bool(inside), held))
+            if forget:
+                state.setTimeoutDuration(forget)
+        yield pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
+
+    return deltas.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "inside boolean, held string", "append", _timeout(forget))
