@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpora, editorial, relations, retrieval, texts
+from glossa.plans import corpora, editorial, library, relations, retrieval, texts
 
-MODULES = (retrieval, relations, corpora, texts, editorial)
+MODULES = (retrieval, relations, corpora, texts, editorial, library)
 
 
 def queries():

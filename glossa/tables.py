@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which all executors see; where that is unset, as in tests, in a local folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = tempfile.mkdtemp(prefix="glossa-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = "file://" + local
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "glossa", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings that results depend on (UTC) and adaptive execution."""
     return (
