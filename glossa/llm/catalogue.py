@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.llm import alignment, decontamination, fingerprints, html_text, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_output, toxicity
+from glossa.llm import alignment, decontamination, fingerprints, html_text, line_dedup, mixing, prefix_trie, quality, simhash, suffix_dedup, token_counts, token_output, toxicity
 
-MODULES = (mixing, fingerprints, decontamination, token_counts, simhash, suffix_dedup, line_dedup, toxicity, token_output, html_text, alignment, quality)
+MODULES = (mixing, fingerprints, decontamination, token_counts, simhash, suffix_dedup, line_dedup, toxicity, token_output, html_text, prefix_trie, alignment, quality)
 
 
 def queries():
