@@ -9,8 +9,9 @@ aggregation joins the salts of a key, so a line that a third of all documents ho
 back to a document is a bitmap of kept lines (63 to a long, none for documents that keep everything), not text.
 
 Defined cases: a null or empty text is one empty line and stays so (kept text empty); a line repeated inside the keeping
-document stays there each time; documents with equal ids count as one holder and share one verdict; an empty table
-gives an empty result; further input columns are not looked at.
+document stays there each time; documents with equal ids count as one holder and keep a line together, but each text loses its own
+lines only (bitmaps belong to doc_id and a hash of the text); rows without an id count as one holder, of the smallest id; an
+empty table gives an empty result; further input columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,15 +42,20 @@ def line_hash(stripped: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, key of every line long enough."""
+    """doc_id, t (a hash of the text), pos, a, b (the key) of every line long enough."""
     # the code point test comes first, so that short lines are neither folded nor hashed
     stripped = F.transform(lines(F.col("text")), _stripped)
     kept = F.filter(
         F.transform(stripped, lambda x, i: F.when(F.char_length(x) >= min_chars, F.struct(i.alias("pos"), line_hash(x).alias("key")))),
         lambda x: x.isNotNull(),
     )
-    return docs.select("doc_id", F.explode(kept).alias("l")).select("doc_id", F.col("l.pos").alias("pos"), F.col("l.key.a").alias("a"), F.col("l.key.b").alias("b"))
+    each = docs.select("doc_id", text_hash(), F.explode(kept).alias("l"))
+    return each.select("doc_id", "t", F.col("l.pos").alias("pos"), F.col("l.key.a").alias("a"), F.col("l.key.b").alias("b"))
 
 
 def verdicts(occ: DataFrame, min_docs: int, partitions: int) -> DataFrame:
@@ -57,7 +63,8 @@ def verdicts(occ: DataFrame, min_docs: int, partitions: int) -> DataFrame:
     salted = occ.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     ranged = salted.repartitionByRange(partitions, "a", "b", "salt").sortWithinPartitions("a", "b", "salt", F.desc("doc_id"), "pos")
     group = Window.partitionBy("a", "b", "salt").orderBy(F.desc("doc_id"), "pos")
-    fresh = ranged.select("a", "b", "doc_id", (F.coalesce(F.lag("doc_id").over(group) != F.col("doc_id"), F.lit(True))).alias("first"))
+    another = (F.row_number().over(group) == 1) | ~F.lag("doc_id").over(group).eqNullSafe(F.col("doc_id"))
+    fresh = ranged.select("a", "b", "doc_id", another.alias("first"))
     return (
         fresh.filter("first")
         .groupBy("a", "b")
@@ -68,13 +75,13 @@ def verdicts(occ: DataFrame, min_docs: int, partitions: int) -> DataFrame:
 
 
 def drop_bitmaps(occ: DataFrame, bad: DataFrame) -> DataFrame:
-    """doc_id, keep: array of (word, bits), the words of the keep bitmap that have a cleared bit."""
+    """doc_id, t, keep: array of (word, bits), the words of the keep bitmap that have a cleared bit."""
     side = F.broadcast(bad) if small(bad) else bad
-    gone = occ.join(side, ["a", "b"]).filter(F.col("doc_id") != F.col("keeper"))
+    gone = occ.join(side, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     word = F.floor(F.col("pos") / BITS).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % BITS).cast("int"))
-    words = gone.groupBy("doc_id", word.alias("word")).agg(F.bit_or(bit).alias("drop"))
-    return words.groupBy("doc_id").agg(
+    words = gone.groupBy("doc_id", "t", word.alias("word")).agg(F.bit_or(bit).alias("drop"))
+    return words.groupBy("doc_id", "t").agg(
         F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not(F.col("drop")).bitwiseAND(F.lit(2**BITS - 1)).alias("keep")))).alias("keep")
     )
 
@@ -86,8 +93,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     occ = staged(occurrences(docs, min_chars), "line-hashes")
     bad = staged(verdicts(occ, min_docs, partitions), "line-verdicts")
     # always by shuffle: the bitmaps grow with the documents
-    maps = staged(drop_bitmaps(occ, bad), "line-bitmaps").withColumnRenamed("doc_id", "_id").hint("merge")
-    joined = docs.select("doc_id", "text").join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", lines(F.col("text")))
+    maps = staged(drop_bitmaps(occ, bad), "line-bitmaps").withColumnsRenamed({"doc_id": "_id", "t": "_t"}).hint("merge")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    joined = docs.select("doc_id", "text", text_hash()).join(maps, own, "left").withColumn("_lines", lines(F.col("text")))
     whole = F.lit(2**BITS - 1)
 
     def stays(_, i: Column) -> Column:
