@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions import text as T
+from glossa.operators import seeds
+from glossa.tables import few, written
+
 #: Ratios from which a quotation counts as verbatim and as altered.
 VERBATIM, ALTERED = 0.92, 0.65
 
@@ -62,86 +66,69 @@ def markers(answer: Column) -> Column:
 def exact_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, item_id of quotations (item_id, text) that a document holds verbatim.
 
-    Quotations and documents meet by hashes of a quotation's inner words, five or as many as it has; quotations of one or two
-    words, which need not end where words end, by their first three characters or fewer. Only such pairs are compared in full.
-    An empty quotation is in every document that is not null.
+    Quotations meet the documents that hold their rarest inner word (the first and the last may be parts of longer ones), and all other
+    inner words; those pairs are compared in full. Quotations of one or two words have no inner word: they meet documents by their first three
+    characters or fewer. An empty quotation is in every document that is not null.
     """
-
-    def heads(parts: Column, n: int) -> Column:
-        # shifted copies zipped, as a slice taken inside a lambda would split the text anew for every word
-        zipped = F.arrays_zip(*(F.slice(parts, i + 1, F.size(parts)).alias(f"w{i}") for i in range(n)))
-        return F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{i}"] for i in range(n))))))
-
-    def words(c: str) -> Column:
-        return F.split(c, r"\s+")
-
-    quoted = quotes.select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
-    by_words = F.size(words("quote")) >= 3
-    kinds = quoted.select(by_words.alias("by_words"), F.when(by_words, F.least(F.lit(5), F.size(words("quote")) - 2)).otherwise(F.least(F.lit(3), F.length("quote"))).alias("n")).distinct()
-    found = []
-    for r in kinds.collect():  # at most nine rows
-        if r.n == 0:
-            found.append(docs.filter("text IS NOT NULL").select("doc_id").crossJoin(quoted.filter("quote = ''").select("item_id")))
+    quoted = quotes.select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL").distinct()
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    inner = T.let(seeds.tokens(F.col("quote")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    keyed = written(quoted.withColumn("words", F.array_distinct(inner)).withColumn("quote_id", F.xxhash64("item_id", "quote")), "quoted")
+    asked = keyed.filter(F.size("words") > 0)
+    pairs = seeds.rare_word_pairs(asked.select("quote_id", "words", F.lit(0).alias("may_lose")), texts.select("doc_id", seeds.tokens(F.col("text")).alias("words")))
+    said = asked.select("quote_id", "item_id", "quote")
+    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(texts, "doc_id")
+    found = met.filter(F.contains("text", "quote")).select("doc_id", "item_id")
+    short = keyed.filter(F.size("words") == 0).select("item_id", "quote")
+    for n in sorted(r.n for r in short.select(F.least(F.lit(3), F.length("quote")).alias("n")).distinct().collect()):  # at most four numbers
+        those = short.filter(F.length("quote") >= 3 if n == 3 else F.length("quote") == n)
+        if n == 0:
+            found = found.unionByName(texts.select("doc_id").crossJoin(F.broadcast(those.select("item_id").distinct())))
             continue
-        if r.by_words:
-            size = F.size(words("quote"))
-            those, parts = quoted.filter(size >= 7 if r.n == 5 else size == r.n + 2), words
-            head = F.slice(words("quote"), 2, r.n)
-        else:
-            length = F.length("quote")
-            those, parts = quoted.filter(~by_words & (length >= 3 if r.n == 3 else length == r.n)), lambda c: F.split(c, "")
-            head = F.slice(F.split("quote", ""), 1, r.n)
-        wanted = those.withColumn("_h", F.xxhash64(F.concat_ws(" ", head)))
-        # hashes alone are taken apart and joined; the texts of what meets come after
-        met = docs.select("doc_id", F.explode(heads(parts("text"), r.n)).alias("_h")).join(wanted, "_h").select("doc_id", "item_id", "quote").distinct()
-        found.append(docs.select("doc_id", "text").join(met, "doc_id").filter(F.contains("text", "quote")).select("doc_id", "item_id"))
-    if not found:
-        return docs.select("doc_id").crossJoin(quoted.select("item_id")).limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        letters = F.split("text", "")
+        zipped = F.arrays_zip(*(F.slice(letters, i + 1, F.size(letters)).alias(f"c{i}") for i in range(n)))
+        heads = F.array_distinct(F.transform(zipped, lambda z: F.concat_ws("", *(z[f"c{i}"] for i in range(n)))))
+        by_head = texts.select("doc_id", F.explode(heads).alias("head")).join(those.withColumn("head", F.left("quote", F.lit(n))), "head")
+        found = found.unionByName(texts.join(by_head.select("doc_id", "item_id", "quote").distinct(), "doc_id").filter(F.contains("text", "quote")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def best_window(quote: str, text: str) -> float:
-    """The best ratio of ``quote`` with a window of its length in ``text``; cheap upper bounds skip most windows."""
+    """The best ratio of ``quote`` with windows of ``text`` a quarter longer than it, taken at every quarter of its length; cheap upper bounds skip windows."""
     n, best = len(quote), 0.0
-    step = max(n // 4, 8)
-    matcher = difflib.SequenceMatcher(None, "", quote, autojunk=False)
-    for at in range(0, max(len(text) - n, 0) + step, step):
-        matcher.set_seq1(text[at : at + n])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > max(best, ALTERED):
+    for at in range(0, max(len(text) - n, 0) + 1, max(n // 4, 8)):
+        matcher = difflib.SequenceMatcher(None, quote, text[at : at + n + n // 4])
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
             best = max(best, matcher.ratio())
     return best
 
 
-def quote_sources(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """quote_id, quote, doc_id, source of the (quote_id, quote) and (doc_id, source) that share three words in a row, or all where a quotation has fewer.
+def similarity(quote: str, text: str) -> float:
+    """1 where ``text`` holds ``quote``; else their ratio, or that of the best window where the text is over twice as long."""
+    if quote in text:
+        return 1.0
+    return difflib.SequenceMatcher(None, quote, text).ratio() if len(text) <= 2 * len(quote) else best_window(quote, text)
 
-    Case and punctuation do not count. A quotation with no three words in a row left as they were does not meet its source.
-    """
 
-    def words(c: str) -> Column:
-        return F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+#: Share of a quotation's distinct words that a source must have to be compared with it.
+KEEP = 0.65
 
-    def keys(parts: Column, n: int) -> Column:
-        zipped = F.arrays_zip(*(F.slice(parts, i + 1, F.greatest(F.size(parts) - n + 1, F.lit(0))).alias(f"w{i}") for i in range(n)))
-        return F.explode(F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[f"w{i}"] for i in range(n)))))))
 
-    size = F.least(F.lit(3), F.size(words("quote")))
-    asked = quotes.filter("quote IS NOT NULL")
-    pairs = None
-    for n in sorted(r.n for r in asked.select(size.alias("n")).distinct().collect()):  # at most three numbers
-        left = asked.filter(size == n).select("quote_id", keys(words("quote"), n).alias("_k"))
-        met = left.join(docs.select("doc_id", keys(words("source"), n).alias("_k")), "_k").select("quote_id", "doc_id")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        pairs = quotes.select("quote_id").crossJoin(docs.select("doc_id")).limit(0)
-    return pairs.distinct().join(quotes.distinct(), "quote_id").join(docs, "doc_id").select("quote_id", "quote", "doc_id", "source")
+def quote_sources(quotes: DataFrame, docs: DataFrame, keep: float = KEEP) -> DataFrame:
+    """quote_id, quote, doc_id, source of the (quote_id, quote) and (doc_id, source) where the source has that share of the quotation's distinct words.
+
+    Case and punctuation do not count. No source that has them is lost, and common words pair nothing: quotations meet sources by their rarest words.
+    """
+    asked = quotes.filter("quote IS NOT NULL").distinct().withColumn("words", F.array_distinct(seeds.tokens(F.col("quote"))))
+    lose = F.size("words") - F.ceil(F.size("words") * F.lit(float(keep)) - 1e-9).cast("int")
+    asked = written(asked.filter(F.size("words") > 0).withColumn("may_lose", lose), "asked")
+    pairs = seeds.rare_word_pairs(asked, docs.select("doc_id", seeds.tokens(F.col("source")).alias("words"))).distinct()
+    said = asked.select("quote_id", "quote")
+    return pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(docs, "doc_id").select("quote_id", "quote", "doc_id", "source")
 
 
 def check_all_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """quote_id, doc_id, ratio, status of every quotation in every source it shares words with; missing, without doc_id, where there is none."""
+    """quote_id, doc_id, ratio, status of every quotation in every source that ``quote_sources`` pairs it with; missing, without doc_id, where there is none."""
     pairs = quote_sources(quotes, docs)
     alone = quotes.select("quote_id").distinct().join(pairs.select("quote_id"), "quote_id", "left_anti")
     return check_quotes(pairs).unionByName(alone.select("quote_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("ratio"), F.lit("missing").alias("status")))
@@ -153,7 +140,7 @@ def check_quotes(pairs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ratio = [1.0 if q in s else best_window(q, s) for q, s in zip(pdf["quote"], pdf["source"], strict=True)]
+            ratio = [similarity(q, s) for q, s in zip(pdf["quote"], pdf["source"], strict=True)]
             status = ["ok" if r >= VERBATIM else "altered" if r >= ALTERED else "missing" for r in ratio]
             yield pd.DataFrame({c: pdf[c] for c in ids} | {"ratio": [round(r, 4) for r in ratio], "status": status})
 

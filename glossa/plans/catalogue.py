@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpora, editorial, library, relations, retrieval, texts
+from glossa.plans import corpora, editorial, library, quotations, relations, retrieval, texts
 
-MODULES = (retrieval, relations, corpora, texts, editorial, library)
+MODULES = (retrieval, relations, corpora, texts, editorial, library, quotations)
 
 
 def queries():

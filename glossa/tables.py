@@ -36,3 +36,15 @@ def session(name: str = "glossa", cores: str = "*", shuffle_partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below ``scratch`` and read again: cuts lineage, survives lost executors, and gives joins a plain side."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a written table has at most ``rows`` rows, so that it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows

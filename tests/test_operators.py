@@ -95,7 +95,7 @@ def test_quotes_are_checked_in_every_source(spark):
     quotes = [said, "zebras never cross quiet frozen lakes", "Nothing of"]
     docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
     found = {(r.quote_id, r.doc_id): r.status for r in verify.check_all_quotes(spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), docs).collect()}
-    ratios = {(i, d): 1.0 if q in s else verify.best_window(q, s) for i, q in enumerate(quotes) for d, s in enumerate(sources) if s}
+    ratios = {(i, d): verify.similarity(q, s) for i, q in enumerate(quotes) for d, s in enumerate(sources) if s}
     wanted = {k: "ok" if r >= verify.VERBATIM else "altered" for k, r in ratios.items() if r >= verify.ALTERED}
     assert {k: s for k, s in found.items() if s != "missing"} == wanted
     assert found[0, 2] == "altered"
