@@ -276,9 +276,10 @@ def located(quotes: DataFrame, docs: DataFrame, keep: float = 1.0) -> DataFrame:
     asked = quotes.filter("quote IS NOT NULL").select("quote_id", "quote", F.array_distinct(F.flatten(cut)).alias("words"))
     asked = written(asked.withColumn("may_lose", F.size("words") - F.ceil(F.size("words") * F.lit(float(keep)) - 1e-9).cast("int")), "quotations")
     texts = docs.filter("text IS NOT NULL")
-    pairs = seeds.rare_word_pairs(asked.filter(F.size("words") > 0), texts.select("doc_id", seeds.tokens(F.col("text")).alias("words")))
+    pairs = written(seeds.rare_word_pairs(asked.filter(F.size("words") > 0), texts), "quote-pairs")
     said = asked.select("quote_id", "quote")
-    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(texts.select("doc_id", "text"), "doc_id").select("quote_id", "quote", "doc_id", "text")
+    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id")
+    met = met.join(seeds.met_only(texts.select("doc_id", "text"), pairs), "doc_id").select("quote_id", "quote", "doc_id", "text")
     short = asked.filter(F.size("words") == 0).select("quote_id", "quote")
     kinds = {f.name: f.dataType.simpleString() for f in (quotes.schema["quote_id"], docs.schema["doc_id"])}
 

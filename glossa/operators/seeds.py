@@ -8,7 +8,7 @@ stands in front, so only words that are wanted (and one in some thousands beside
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +64,15 @@ def wanted_hashes(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     return met.join(F.broadcast(hashes) if few(hashes) else hashes, "h", "left_semi")
 
 
-def rare_word_pairs(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """quote_id, doc_id: ``docs`` (doc_id, words) that hold at least all but ``may_lose`` distinct words of ``asked`` (quote_id, words, may_lose).
+def rare_word_pairs(asked: DataFrame, docs: DataFrame, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """quote_id, doc_id: ``docs`` (doc_id, text) that hold at least all but ``may_lose`` distinct words of ``asked`` (quote_id, words, may_lose).
 
     Exactly those: candidates come from the rarest words, and all words are counted then. A word that no document holds counts as
     lost. Both ids tell rows apart; texts without words meet nothing.
     """
     own = written(asked.select("quote_id", "may_lose", F.explode(word_hashes(F.col("words"))).alias("h")), "asked-words")
-    hashed = docs.select("doc_id", word_hashes(F.col("words")).alias("hashes"))
+    hashes = word_hashes(words(F.col("text"))).alias("hashes")
+    hashed = docs.select("doc_id", hashes)
     held = written(wanted_hashes(hashed, own.select("h").distinct()).groupBy("h").agg(F.count("*").alias("df")), "word-counts")
     counted = own.join(held, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("quote_id").orderBy("df", "h"))  # a quotation's own words
@@ -81,7 +82,13 @@ def rare_word_pairs(asked: DataFrame, docs: DataFrame) -> DataFrame:
     found = wanted_hashes(hashed, seeds.select("h").distinct())
     pairs = found.join(F.broadcast(seeds) if few(seeds) else seeds, "h").select("quote_id", "doc_id", "n", "may_lose").distinct()
     pairs = written(pairs, "seed-pairs")
-    # all words of a quotation in one row, against those of the document
+    # all words of a quotation in one row, against those of the documents that it met
     whole = own.groupBy("quote_id").agg(F.collect_list("h").alias("all"))
-    some = pairs.join(F.broadcast(whole) if few(whole, 10_000) else whole, "quote_id").join(hashed, "doc_id")
+    some = pairs.join(F.broadcast(whole) if few(whole, 10_000) else whole, "quote_id").join(met_only(docs, pairs).select("doc_id", hashes), "doc_id")
     return some.filter(F.size(F.array_intersect("all", "hashes")) >= F.col("n") - F.col("may_lose")).select("quote_id", "doc_id")
+
+
+def met_only(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with a doc_id among ``pairs``; they alone move."""
+    ids = pairs.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if few(ids, 1_000_000) else ids, "doc_id", "left_semi")

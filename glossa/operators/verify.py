@@ -75,9 +75,9 @@ def exact_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     inner = T.let(seeds.tokens(F.col("quote")), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
     keyed = written(quoted.withColumn("words", F.array_distinct(inner)).withColumn("quote_id", F.xxhash64("item_id", "quote")), "quoted")
     asked = keyed.filter(F.size("words") > 0)
-    pairs = seeds.rare_word_pairs(asked.select("quote_id", "words", F.lit(0).alias("may_lose")), texts.select("doc_id", seeds.tokens(F.col("text")).alias("words")))
+    pairs = written(seeds.rare_word_pairs(asked.select("quote_id", "words", F.lit(0).alias("may_lose")), texts), "quote-pairs")
     said = asked.select("quote_id", "item_id", "quote")
-    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(texts, "doc_id")
+    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(seeds.met_only(texts, pairs), "doc_id")
     found = met.filter(F.contains("text", "quote")).select("doc_id", "item_id")
     short = keyed.filter(F.size("words") == 0).select("item_id", "quote")
     for n in sorted(r.n for r in short.select(F.least(F.lit(3), F.length("quote")).alias("n")).distinct().collect()):  # at most four numbers
@@ -122,9 +122,10 @@ def quote_sources(quotes: DataFrame, docs: DataFrame, keep: float = KEEP) -> Dat
     asked = quotes.filter("quote IS NOT NULL").distinct().withColumn("words", F.array_distinct(seeds.tokens(F.col("quote"))))
     lose = F.size("words") - F.ceil(F.size("words") * F.lit(float(keep)) - 1e-9).cast("int")
     asked = written(asked.filter(F.size("words") > 0).withColumn("may_lose", lose), "asked")
-    pairs = seeds.rare_word_pairs(asked, docs.select("doc_id", seeds.tokens(F.col("source")).alias("words"))).distinct()
+    pairs = written(seeds.rare_word_pairs(asked, docs.select("doc_id", F.col("source").alias("text"))).distinct(), "quote-pairs")
     said = asked.select("quote_id", "quote")
-    return pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(docs, "doc_id").select("quote_id", "quote", "doc_id", "source")
+    met = pairs.join(F.broadcast(said) if few(said, 10_000) else said, "quote_id").join(seeds.met_only(docs, pairs), "doc_id")
+    return met.select("quote_id", "quote", "doc_id", "source")
 
 
 def check_all_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]'
 _SAID = "lower(translate(regexp_replace({}, '\\s+', ' ', 'g'), '„”“«»’‘–—', '\"\"\"\"\"''''--'))"
 ORACLE_SQL = {
     "quoted_passages": f"""
-WITH {_TURNS} SELECT t.answer_id, t.ord, md5(trim(said)) AS quote_md5, coalesce(CAST(cited AS VARCHAR), '') AS refs,
+WITH {_TURNS} SELECT t.answer_id, t.ord, md5(regexp_replace(said, '^\\s+|\\s+$', '', 'g')) AS quote_md5, coalesce(CAST(cited AS VARCHAR), '') AS refs,
        CASE WHEN cited IS NOT NULL AND NOT EXISTS (SELECT 1 FROM turns o WHERE o.answer_id = t.answer_id AND o.turn + 1 = t.cited) THEN 'missing_source' END AS reason
 FROM turns t""",
     "quote_verdicts": f"""

@@ -60,7 +60,7 @@ def test_rare_words_lose_no_pair(spark, seed):
     docs = [(d, rng.choices(pool, weights, k=rng.randrange(0, 30))) for d in range(60)]
     asked = [(q, rng.choices(pool, weights, k=rng.randrange(1, 12)), rng.randrange(0, 4)) for q in range(30)] + [(30, ["nowhere", "w1"], 0), (31, ["nowhere", "w1"], 1)]
     wanted = {(q, d) for q, w, lose in asked for d, held in docs if len(set(w) & set(held)) >= max(len(set(w)) - lose, 0) and (set(w) & set(held))}
-    pairs = seeds.rare_word_pairs(spark.createDataFrame(asked, "quote_id long, words array<string>, may_lose int"), spark.createDataFrame(docs, "doc_id long, words array<string>"))
+    pairs = seeds.rare_word_pairs(spark.createDataFrame(asked, "quote_id long, words array<string>, may_lose int"), spark.createDataFrame(docs, "doc_id long, text array<string>"), lambda words: words)
     found = {(r.quote_id, r.doc_id) for r in pairs.collect()}
     # texts that may lose all their words would be in every document: pairs without a common word are left out
     assert found == {(q, d) for q, d in wanted}
