@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def document_access(level: Column, owner: Column, levels: Sequence[str] | None, user: str | None, personal_only: bool = False) -> Column:
-    """An allowed level other than personal, or the user's own document; ``None`` levels means open only, [] none."""
+    """An allowed level other than personal, or the user's own document, which ``personal_only`` is all of; ``None`` levels means open only, [] none."""
     allowed = [x for x in (["open"] if levels is None else levels) if x != "personal"]
     own = (owner == user) if user is not None else F.lit(False)
-    return own & (level == "personal") if personal_only else level.isin(allowed) | own if allowed else own
+    if personal_only:
+        return own
+    return level.isin(allowed) | own if allowed else own
 
 
 def work_access(level: Column, code: Column, levels: Sequence[str] | None) -> Column:

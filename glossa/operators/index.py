@@ -9,8 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators import corpus, windows
+from glossa.operators import bitmaps, corpus, windows
 from glossa.operators.search import K1, B
+from glossa.tables import few
 
 #: Folders of the index; a search reads those of its terms only.
 BUCKETS = 64
@@ -31,41 +32,131 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or none with files
             return None
         raise
 
 
-def index_words(docs: DataFrame, path: str) -> None:
-    """Add to the index at ``path`` those of ``docs`` (doc_id, text) that it does not hold.
+class Words:
+    """A word index below ``path``: postings, documents, tombstones, and the runs that wrote them. One writer at a time.
 
-    Postings are dealt by ranges of (bucket, term, doc_id), so one word that every document has is written by many tasks, and the terms
-    of a file lie together. A row of totals, written last, makes a run's rows count: what a lost run left is never read.
+    Every change is a run of its own number. Its postings are dealt by ranges of (bucket, term, doc_id), so one word that every
+    document has is written by many tasks, and the terms of a file lie together. A tombstone says that a document's rows of all earlier
+    runs are dead, so replacing one is a run with its tombstone and its new rows. A row of totals, written last, makes a run count: what
+    a lost run left is never read. ``compact`` writes all live rows as one run, after which the runs before it are not read.
     """
-    spark, run = docs.sparkSession, uuid.uuid4().hex
-    new = docs.select("doc_id", "text")
-    if (runs := _read(spark, f"{path}/runs")) is not None:
-        held = spark.read.parquet(f"{path}/documents").join(F.broadcast(runs), "run", "left_semi")
-        new = new.join(held, "doc_id", "left_anti")
-    order = ["bucket", "term", "doc_id"]
-    rows = postings(new).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.lit(run))
-    rows.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"))
-    new.select("doc_id", length.alias("len"), F.lit(run).alias("run")).write.mode("append").parquet(f"{path}/documents")
-    added = spark.read.parquet(f"{path}/documents").filter(F.col("run") == run)
-    added.groupBy("run").agg(F.count("*").alias("n"), F.sum("len").alias("words")).write.mode("append").parquet(f"{path}/runs")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def runs(self) -> DataFrame | None:
+        """run, seq, kind, n, words, dead_n, dead_words of the runs that count: a row a change."""
+        every = _read(self.spark, f"{self.path}/runs")
+        if every is None:
+            return None
+        base = every.agg(F.coalesce(F.max(F.when(F.col("kind") == "compact", F.col("seq"))), F.lit(0)).alias("base"))
+        return every.join(F.broadcast(base), F.col("seq") >= F.col("base")).drop("base")
+
+    def _of_runs(self, table: str) -> DataFrame | None:
+        rows, runs = _read(self.spark, f"{self.path}/{table}"), self.runs()
+        return None if rows is None or runs is None else rows.join(F.broadcast(runs.select("run", "seq")), "run")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` (doc_id, seq, ..) that no later run's tombstone kills."""
+        dead = self._of_runs("tombstones")
+        if dead is None:
+            return rows
+        dead = dead.groupBy("doc_id").agg(F.max("seq").alias("dead"))
+        return rows.join(F.broadcast(dead) if few(dead) else dead, "doc_id", "left").filter("dead IS NULL OR dead <= seq").drop("dead")
+
+    def documents(self) -> DataFrame | None:
+        """doc_id, len, run, seq of the documents that the index holds."""
+        rows = self._of_runs("documents")
+        return None if rows is None else self._live(rows)
+
+    def _commit(self, kind: str, run: str, new: DataFrame | None, dead: DataFrame | None) -> None:
+        """``new`` (bucket, term, doc_id, tf, len) and documents are written; ``dead`` are the ids whose earlier rows go."""
+        held, runs = self.documents(), self.runs()
+        lost = held.join(dead, "doc_id", "left_semi") if dead is not None and held is not None else None
+        totals = (lost.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first() if lost is not None else None) or {"n": 0, "words": 0}
+        if dead is not None:
+            dead.select("doc_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/tombstones")
+        if new is not None:
+            order = ["bucket", "term", "doc_id"]
+            new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.lit(run)).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        seq = (runs.agg(F.max("seq")).first()[0] if runs is not None else 0) + 1
+        added = _read(self.spark, f"{self.path}/documents")
+        size = (F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("words"))
+        got = added.filter(F.col("run") == run).agg(*size).first() if added is not None else {"n": 0, "words": 0}
+        row = [(run, seq, kind, got["n"], got["words"], totals["n"], totals["words"])]
+        done = self.spark.createDataFrame(row, "run string, seq long, kind string, n long, words long, dead_n long, dead_words long")
+        done.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+
+    def _write_documents(self, docs: DataFrame, run: str) -> None:
+        length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"))
+        docs.select("doc_id", length.alias("len"), F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/documents")
+
+    def add(self, docs: DataFrame) -> None:
+        """Those of ``docs`` (doc_id, text) that the index does not hold."""
+        run, new, held = uuid.uuid4().hex, docs.select("doc_id", "text"), self.documents()
+        if held is not None:
+            new = new.join(held, "doc_id", "left_anti")
+        # documents are written last, as what is new is told by them
+        postings(new).withColumn("run", F.lit(run)).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self._write_documents(new, run)
+        self._commit("add", run, None, None)
+
+    def replace(self, docs: DataFrame) -> None:
+        """``docs`` (doc_id, text) in place of what the index holds of these ids, and new ones besides."""
+        run, new = uuid.uuid4().hex, docs.select("doc_id", "text")
+        self._write_documents(new, run)
+        self._commit("add", run, postings(new), new.select("doc_id").distinct())
+
+    def delete(self, ids: DataFrame) -> None:
+        """The documents of ``ids`` (doc_id) are held no more."""
+        self._commit("delete", uuid.uuid4().hex, None, ids.select("doc_id").distinct())
+
+    def compact(self) -> None:
+        """All live rows as one run, sorted anew; no text is needed. What they were merged from stays on disk until it is removed."""
+        rows, held = self._of_runs("postings"), self.documents()
+        if rows is None or held is None:
+            return
+        run = uuid.uuid4().hex
+        live = self._live(rows).select("bucket", "term", "doc_id", "tf", "len")
+        held.select("doc_id", "len", F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/documents")
+        self._commit("compact", run, live, None)
+
+    def missing(self, stored: DataFrame) -> DataFrame:
+        """doc_id, stored, indexed: documents of ``stored`` (doc_id, stored words) whose words in the index are not as many; 0 where it has none."""
+        held = self.documents()
+        indexed = self.spark.createDataFrame([], "doc_id long, indexed long") if held is None else held.select("doc_id", F.col("len").cast("long").alias("indexed"))
+        both = stored.join(indexed, "doc_id", "left").withColumn("indexed", F.col("indexed"))
+        return both.filter(~F.col("stored").eqNullSafe(F.col("indexed"))).select("doc_id", "stored", F.coalesce("indexed", F.lit(0)).alias("indexed"))
+
+    def bm25(self, terms: list[str], allowed: DataFrame | None = None) -> DataFrame:
+        """doc_id, bm25 of the documents that hold any of ``terms``; only folders of these terms are read.
+
+        ``allowed`` (``bitmaps.allowed``) keeps other documents out before anything is scored; how rare a word is goes by all documents.
+        """
+        totals = self.runs().agg((F.sum("n") - F.sum("dead_n")).alias("n"), ((F.sum("words") - F.sum("dead_words")) / (F.sum("n") - F.sum("dead_n"))).alias("avg"))
+        asked = self._of_runs("postings").filter(F.col("bucket").isin([bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms))
+        found = self._live(asked)
+        df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("df")))  # a row a term
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        if allowed is not None:
+            found = bitmaps.keep(found, allowed)
+        return found.join(df, "term").join(F.broadcast(totals)).groupBy("doc_id").agg(F.sum(score).alias("bm25"))
+
+
+def index_words(docs: DataFrame, path: str) -> None:
+    """Add to the index at ``path`` those of ``docs`` (doc_id, text) that it does not hold."""
+    Words(docs.sparkSession, path).add(docs)
 
 
 def bm25_indexed(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """doc_id, bm25 of the documents of the index that hold any of ``terms``; only folders of these terms are read."""
-    runs = spark.read.parquet(f"{path}/runs")
-    totals = runs.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg"))
-    asked = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms))
-    found = asked.join(F.broadcast(runs.select("run")), "run", "left_semi")  # a row a run
-    df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("df")))  # a row a term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return found.join(df, "term").join(F.broadcast(totals)).groupBy("doc_id").agg(F.sum(score).alias("bm25"))
+    """doc_id, bm25 of the documents of the index that hold any of ``terms``."""
+    return Words(spark, path).bm25(terms)
 
 
 def retrieve(channels: list[DataFrame], documents: DataFrame, allowed: Column, k: int, pool: int, score: Column | None = None) -> DataFrame:

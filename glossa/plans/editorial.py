@@ -114,13 +114,6 @@ def access_recheck(spark, sf_dir):
     return windows.ranked(hits.join(now, "doc_id"), [F.desc("score"), "doc_id"], 20).select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
-def index_missing(spark, sf_dir):
-    """Documents whose chunks in the index are not as many as they have lines."""
-    stored = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("stored"))
-    indexed = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1).cast("long").alias("indexed"))
-    return stored.join(indexed, "doc_id", "left").filter(F.coalesce("indexed", F.lit(0)) != F.col("stored")).select("doc_id", "stored", F.coalesce("indexed", F.lit(0)).cast("long").alias("indexed"))
-
-
 def unknown_labels(spark, sf_dir):
     """Labels whose document is not in the open corpus."""
     is_open = table(spark, sf_dir, "documents").filter("lang = 'en'")
@@ -222,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         greek_morphology, hebrew_morphology, lexicon_pos, original_terms, question_triggers, heading_lines, time_marks, metric_names, stable_case_id, citation_strings, author_identity,
-        text_direction, osis_ranges, roman_numerals, citation_checks, access_recheck, index_missing, unknown_labels, with_notes, curation_counts, language_changes, reassembled,
+        text_direction, osis_ranges, roman_numerals, citation_checks, access_recheck, unknown_labels, with_notes, curation_counts, language_changes, reassembled,
         lexicon_profile, occurrence_sample, interlinear, answer_metrics, channels_union, merged_names, quota, consent_state,
     )
 }
@@ -284,9 +277,6 @@ SELECT * FROM p""",
     "access_recheck": """
 WITH h AS (SELECT vec_id AS doc_id, vec_id * 7919 % 1009 AS score FROM embeddings)
 SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM h JOIN documents USING (doc_id) WHERE lang <> 'de' AND n_chars > 0 QUALIFY rank <= 20""",
-    "index_missing": """
-SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS stored, CAST(coalesce(quality + 1, 0) AS BIGINT) AS indexed FROM documents LEFT JOIN labels USING (doc_id)
-WHERE coalesce(quality + 1, 0) <> len(string_split(coalesce(text, ''), chr(10)))""",
     "unknown_labels": "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "with_notes": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'closed' WHEN quality = 1 THEN 'reviewed' ELSE 'plain' END AS note FROM documents d LEFT JOIN labels l USING (doc_id)",
     "curation_counts": """
