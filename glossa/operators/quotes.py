@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.functions.references import BOOKS, Grammar
+from glossa.functions.references import BOOKS, Canon
 from glossa.operators import seeds, verify
 from glossa.tables import few, written
 
@@ -39,9 +39,9 @@ SAME = str.maketrans("„”“«»’‘–—", "\"\"\"\"\"''--")
 class Reader:
     """Reads one answer after another."""
 
-    def __init__(self, books: list[tuple[int, str, list[str]]]) -> None:
-        reference = re.sub(r"\(\?P<\w+>", "(?:", Grammar(books).reference.pattern)
-        self.line = re.compile(rf"(?i:{reference}){WORK}\s*:\s*(?P<text>[^\n]+?)(?=\s+(?i:{reference}){WORK}\s*:|\n|$)")
+    def __init__(self, books: list[tuple]) -> None:
+        reference = Canon(books).pattern()
+        self.line = re.compile(rf"(?:{reference}){WORK}\s*:\s*(?P<text>[^\n]+?)(?=\s+(?:{reference}){WORK}\s*:|\n|$)")
         word = rf"[{ORIGINAL}][{ORIGINAL}’'’]*"
         self.run = re.compile(rf"{word}(?:[\s,;·.:]+{word}){{{RUN - 1},}}")
 
@@ -94,7 +94,7 @@ def attached(text: str, places: list[tuple[int, int]], markers: list[tuple[int,
     return out
 
 
-def extracted(answers: DataFrame, books: list[tuple[int, str, list[str]]] = BOOKS) -> DataFrame:
+def extracted(answers: DataFrame, books: list[tuple] = BOOKS) -> DataFrame:
     """answer_id, ord, quote, start, end, refs, reason, tradition of all quotations in ``answers`` (answer_id, text, available).
 
     ``available`` are the labels that a citation may name. refs are the labels of the markers tied to the quotation, reason why

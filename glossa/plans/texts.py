@@ -13,14 +13,46 @@ from glossa.sources import readers
 from glossa.streaming import events as streams
 from glossa.tables import table
 
-def extract_refs(spark, sf_dir):
-    """References in documents into which one was written: a verse range, a chapter or a list, by doc_id."""
+def _referring(spark, sf_dir):
+    """Documents with references before, in and behind their text: verse ranges, chapters, lists, and what only looks like references."""
     i = F.col("doc_id")
     c, v = (i % 20 + 1).cast("string"), (i % 15 + 1).cast("string")
-    ref = F.when(i % 3 == 0, F.concat(F.lit(" See Mt "), c, F.lit(","), v, F.lit("-"), (i % 15 + 4).cast("string"), F.lit(". "))).when(
-        i % 3 == 1, F.concat(F.lit(" (Rdz "), c, F.lit(") "))).otherwise(F.concat(F.lit(" J 3,"), v, F.lit(".30; 4,2n. ")))
-    docs = table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(ref, F.coalesce("text", F.lit(""))).alias("text"))
-    return references.extract_references(docs).filter("pos < 8").select("id", "start", "end")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    before = F.when(i % 3 == 0, F.concat(F.lit("See Mt "), c, F.lit(","), v, F.lit("-"), (i % 15 + 4).cast("string"), F.lit(". "))).when(
+        i % 3 == 1, F.concat(F.lit("(Rdz "), c, F.lit(") "))).otherwise(F.concat(F.lit("J 3,"), v, F.lit(".30; 4,2n. ")))
+    inside = F.concat(F.lit(" [1 Kor 13,"), v, F.lit("nn; Ja mam 3, Ps "), (i % 200 + 1).cast("string"), F.lit("] "))
+    behind = F.concat(F.lit(" Ap 9–"), c, F.lit(", Mt 5,9-3 and Łk 1,1–2,"), v)
+    return table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(before, F.left(text, half), inside, F.substr(text, half + 1, F.lit(2_000_000_000)), behind).alias("text"))
+
+
+def extract_refs(spark, sf_dir):
+    """All references in the documents, each range once."""
+    return references.extract_references(_referring(spark, sf_dir)).select("id", "start", "end")
+
+
+def refs_lateral(spark, sf_dir):
+    """References by book, of a table function in SQL."""
+    references.register(spark)
+    _referring(spark, sf_dir).createOrReplaceTempView("referring")
+    return spark.sql("SELECT CAST(floor(r.start / 1000000) AS BIGINT) AS book, count(*) AS n, count(DISTINCT d.id) AS texts, max(r.`end`) AS last FROM referring d, LATERAL extract_refs(d.text) r GROUP BY 1")
+
+
+def known_refs(spark, sf_dir):
+    """References of the documents, and whether any order, taken as a verse, lies in them."""
+    verses = table(spark, sf_dir, "orders").select((F.lit(47_000_000) + F.col("o_orderkey") % 60 * 1_000 + F.col("o_custkey") % 20).cast("long").alias("ordinal"))
+    found = references.verified_references(_referring(spark, sf_dir), verses)
+    return found.groupBy("start", "end", "known").agg(F.count("*").alias("n"))
+
+
+def spoken_refs(spark, sf_dir):
+    """Conversations that speak of a chapter and a verse, with the canonical form behind."""
+    c, v = (F.col("conv_id") % 50 + 1).cast("string"), (F.col("turn") % 30 + 1).cast("string")
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("piąta Księga Mojżeszowa "), c, F.lit(" wers "), v, F.lit(" do "), (F.col("turn") % 30 + 3).cast("string"))).when(
+        F.col("turn") % 4 == 1, F.concat(F.lit("pierwszy list do Koryntian "), c, F.lit(" "), v)).when(
+        F.col("turn") % 4 == 2, F.concat(F.lit("w Ewangelii Marka rozdział "), c, F.lit(" werset "), v)).otherwise(F.concat(F.lit("miał "), c, F.lit(" lata i "), v, F.lit(" dzieci")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.left("text", F.lit(40)), said, F.lit("i dalej")).alias("text"))
+    return turns.select("conv_id", "turn", references.with_spoken(F.col("text")).alias("text"))
 
 
 def html_to_text(spark, sf_dir):
@@ -87,15 +119,32 @@ def stream_without_tag(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (extract_refs, html_to_text, chunking, stream_hourly_requests, stream_sliding_counts, stream_sessions, stream_new_entries, stream_status, stream_without_tag)
+    for f in (extract_refs, refs_lateral, known_refs, spoken_refs, html_to_text, chunking, stream_hourly_requests, stream_sliding_counts, stream_sessions, stream_new_entries, stream_status, stream_without_tag)
 }
 
-ORACLE_SQL = {
-    "extract_refs": """
-WITH d AS (SELECT doc_id AS id, doc_id % 3 AS k, doc_id % 20 + 1 AS c, doc_id % 15 AS m FROM documents)
-SELECT id, 47000000 + c * 1000 + m + 1 AS start, 47000000 + c * 1000 + m + 4 AS "end" FROM d WHERE k = 0
+#: What stands in the documents by ``_referring``; a text's own words hold no reference of these books.
+_REFS = """d AS (SELECT doc_id AS id, doc_id % 3 AS k, doc_id % 20 + 1 AS c, doc_id % 15 AS m, doc_id % 200 + 1 AS p FROM documents),
+r AS (SELECT id, 47000000 + c * 1000 + m + 1 AS start, 47000000 + c * 1000 + m + 4 AS "end" FROM d WHERE k = 0
 UNION ALL SELECT id, 1000000 + c * 1000, 1000000 + c * 1000 + 999 FROM d WHERE k = 1
-UNION ALL SELECT id, 50003000 + m + 1, 50003000 + m + 1 FROM d WHERE k = 2 UNION ALL SELECT id, 50003030, 50003030 FROM d WHERE k = 2 UNION ALL SELECT id, 50004002, 50004003 FROM d WHERE k = 2""",
+UNION ALL SELECT id, 50003000 + m + 1, 50003000 + m + 1 FROM d WHERE k = 2 UNION ALL SELECT id, 50003030, 50003030 FROM d WHERE k = 2 UNION ALL SELECT id, 50004002, 50004003 FROM d WHERE k = 2
+UNION ALL SELECT id, 53013000 + m + 1, 53013999 FROM d
+UNION ALL SELECT id, 23000000 + p * 1000, 23000000 + p * 1000 + 999 FROM d WHERE p <= 150
+UNION ALL SELECT id, 73009000, 73000000 + c * 1000 + 999 FROM d WHERE c >= 9
+UNION ALL SELECT id, 49001001, 49002000 + m + 1 FROM d)"""
+
+ORACLE_SQL = {
+    "extract_refs": f'WITH {_REFS} SELECT DISTINCT id, start, "end" FROM r',
+    "refs_lateral": f'WITH {_REFS}, o AS (SELECT DISTINCT id, start, "end" FROM r) SELECT start // 1000000 AS book, count(*) AS n, count(DISTINCT id) AS texts, max("end") AS last FROM o GROUP BY 1',
+    "known_refs": f"""
+WITH {_REFS}, v AS (SELECT DISTINCT 47000000 + o_orderkey % 60 * 1000 + o_custkey % 20 AS ordinal FROM orders), o AS (SELECT DISTINCT id, start, "end" FROM r)
+SELECT start, "end", EXISTS (SELECT 1 FROM v WHERE ordinal BETWEEN start AND "end") AS known, count(*) AS n FROM o GROUP BY 1, 2""",
+    "spoken_refs": """
+WITH t AS (SELECT conv_id, turn, left(text, 40) AS text, conv_id % 50 + 1 AS c, turn % 30 + 1 AS v, turn % 30 + 3 AS w FROM conversations)
+SELECT conv_id, turn, concat_ws(' ', text, CASE turn % 4
+  WHEN 0 THEN format('piąta Księga Mojżeszowa {} wers {} do {} (Pwt {},{}-{})', c, v, w, c, v, w)
+  WHEN 1 THEN format('pierwszy list do Koryntian {} {} (1 Kor {},{})', c, v, c, v)
+  WHEN 2 THEN format('w Ewangelii Marka rozdział {} werset {} (Mk {},{})', c, v, c, v)
+  ELSE format('miał {} lata i {} dzieci', c, v) END, 'i dalej') AS text FROM t""",
     "stream_hourly_requests": "SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sliding_counts": """
 WITH e AS (SELECT event_type, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '2000-01-01') AS b FROM events)

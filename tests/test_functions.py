@@ -68,12 +68,12 @@ def test_translation_needs_a_free_licence(spark):
 def test_ranges_are_written_as_read(spark, start, end, wanted):
     df = spark.createDataFrame([("Mt", start, end)], "n string, a long, b long")
     assert df.select(references.format_range(F.col("n"), F.col("a"), F.col("b")).alias("v")).first().v == wanted
-    assert references.Grammar(references.BOOKS).find(wanted)[0][1:3] == (start, end)
+    assert references.Canon(references.BOOKS).extract(wanted)[0][1:3] == (start, end)
 
 
 def test_reference_grammar_rejects():
-    grammar = references.Grammar(references.BOOKS)
-    assert grammar.find("Mt 9,8-3") == [] and grammar.find("Mt 151") == [] and grammar.find("Mtx 5") == [] and grammar.find(None) == []
+    canon = references.Canon(references.BOOKS)
+    assert canon.extract("Mt 9,8-3") == [] and canon.extract("Mt 151") == [] and canon.extract("Mtx 5") == [] and canon.extract(None) == []
 
 
 def test_query_language():
