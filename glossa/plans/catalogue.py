@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpora, editorial, library, quotations, relations, retrieval, texts
+from glossa.plans import corpora, editorial, library, quotations, relations, retrieval, sources, texts
 
-MODULES = (retrieval, relations, corpora, texts, editorial, library, quotations)
+MODULES = (retrieval, relations, corpora, texts, editorial, library, quotations, sources)
 
 
 def queries():

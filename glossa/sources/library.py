@@ -70,8 +70,9 @@ def excerpt(text: Column, start: str = "", end: str = "", strict: bool = True) -
 
 
 def bare(text: Column) -> Column:
-    """``text`` without tags, with single blanks; what verses are compared by."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+    """``text`` without notes and tags, with single blanks; what verses are compared by."""
+    unnoted = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<RF(?:\s+q=[^>]*)?>.*?<Rf>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(unnoted, "<[^>]*>", " "), r"\s+", " "))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
