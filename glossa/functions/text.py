@@ -83,9 +83,13 @@ def canonical_translit(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(rewritten, r"(.)\1+", "$1"), "h$", "")
 
 
-def translit_stem(key: Column, endings: tuple[str, ...] = ("ami", "ach", "om", "em", "ie", "a", "e", "i", "o", "u"), keep: int = 6) -> Column:
-    """``key`` without the first matching ending if ``keep`` letters remain."""
-    stem = key
+# Endings that a stem loses, in order (fixed values), and letters that it keeps.
+STEM_ENDINGS, STEM = ("os", "on", "ou", "es", "is", "as", "a", "e", "o", "u", "y", "i"), 6
+
+
+def translit_stem(key: Column, endings: tuple[str, ...] = STEM_ENDINGS, keep: int = STEM) -> Column:
+    """``key`` without the first ending that leaves ``keep`` letters, or as it is; empty if it has fewer."""
+    stem = F.when(F.length(key) >= keep, key).otherwise("")
     for end in reversed(endings):
         stem = F.when(key.endswith(end) & (F.length(key) - len(end) >= keep), F.left(key, F.length(key) - len(end))).otherwise(stem)
     return stem
@@ -122,9 +126,10 @@ def detect_language(text: Column, ratio: float = 1.5, least: int = LEAST_HITS) -
 
 
 def clean_text(text: Column) -> Column:
-    """Words split at line ends joined, spaces collapsed, at most one empty line, trimmed."""
-    joined = F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "[ \t]+", " "), " ?\n ?", "\n"), "\n{3,}", "\n\n"))
+    """Words split at line ends joined, footnote numbers behind words left out (not those of references), blanks collapsed, at most one empty line, trimmed."""
+    joined = F.regexp_replace(text, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    unmarked = F.regexp_replace(joined, r"(?<=[a-ząćęłńóśźż.)\]])[0-9]{1,3}(?=\s|$)", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(unmarked, "[ \t]+", " "), "\n{3,}", "\n\n"), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def snippet(text: Column, term: str, width: int = 220) -> Column:

@@ -51,14 +51,20 @@ def named_in(words: DataFrame, names: DataFrame, suffix: int = 3, least: int = 4
 
 
 def by_transliteration(words: DataFrame, lexemes: DataFrame, limit: int) -> DataFrame:
-    """id, word, strong: lexemes whose canonical transliteration is the word's, or begins with its stem; exact ones first."""
-    keyed = words.withColumn("key", T.canonical_translit(F.col("word"))).withColumn("stem", T.translit_stem(F.col("key")))
+    """id, word, strong, how: lexemes whose canonical transliteration is the word's (how = 0), two at most, and others that begin with its
+    stem (1), shortest first: one beside an exact one, else two; ``limit`` a word in all.
+    """
+    key = T.canonical_translit(F.col("word"))
+    keyed = words.select("id", "word").distinct().withColumn("key", key).filter(F.length("key") >= 3).withColumn("stem", T.translit_stem(F.col("key")))
     lex = lexemes.select("strong", T.canonical_translit(F.col("transliteration")).alias("lkey"))
-    exact = keyed.join(lex, F.col("key") == F.col("lkey")).withColumn("how", F.lit(0))
-    head = F.left("stem", F.lit(4))
-    by_stem = keyed.filter(F.length("stem") >= 4).join(lex, head == F.left("lkey", F.lit(4))).filter(F.startswith("lkey", "stem") & (F.col("key") != F.col("lkey"))).withColumn("how", F.lit(1))
-    order = Window.partitionBy("id", "word").orderBy("how", F.length("lkey"), "strong")
-    return exact.unionByName(by_stem).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).select("id", "word", "strong", "how")
+    order = Window.partitionBy("id", "word").orderBy(F.length("lkey"), "strong")
+    exact = keyed.join(lex, F.col("key") == F.col("lkey")).withColumn("n", F.row_number().over(order)).filter("n <= 2").select("id", "word", "strong", F.lit(0).alias("how"), "n")
+    by_stem = keyed.filter("stem <> ''").join(lex, F.left("stem", F.lit(4)) == F.left("lkey", F.lit(4))).filter(F.startswith("lkey", "stem"))
+    more = by_stem.join(exact.select("id", "word", "strong"), ["id", "word", "strong"], "left_anti").withColumn("n", F.row_number().over(order))
+    has = exact.select("id", "word", F.lit(True).alias("has")).distinct()
+    more = more.join(has, ["id", "word"], "left").filter(F.col("n") <= F.when(F.col("has"), 1).otherwise(2)).select("id", "word", "strong", F.lit(1).alias("how"), "n")
+    rank = Window.partitionBy("id", "word").orderBy("how", "n")
+    return exact.unionByName(more).withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= limit).select("id", "word", "strong", "how")
 
 
 def working_translation(chunks: DataFrame, translations: DataFrame, allowed: Column) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.text import header_key
+from glossa.tables import few, written
+
 
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value, n for each of ``columns`` in one pass over ``df``."""
@@ -33,3 +36,32 @@ def macro_means(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
 def running_headers(lines: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Header keys that stand at the top of at least ``least`` documents of a group."""
     return lines.filter("header_key <> ''").groupBy(*keys, "header_key").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= least)
+
+
+# Lines at each end of a page that may be headers, letters that a header's key has, and pages and share of pages that carry it.
+ENDS, KEY, LEAST_PAGES, SHARE = 3, 4, 4, 0.25
+
+
+def without_headers(pages: DataFrame) -> DataFrame:
+    """``pages`` (document_id, page, text) without running headers: lines whose key, digits and blanks aside, stands among the first or
+    last three of enough pages of their document, wherever they are, and lines that are a page number. Documents of few pages stay as they are.
+
+    Only the keys of those few lines are counted; what comes back to a document's pages is its list of headers.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    said = F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))), lambda x: x != "")
+    ends = F.array_union(F.slice(said, 1, ENDS), F.slice(said, F.greatest(F.size(said) - ENDS + 1, F.lit(1)), ENDS))
+    keys = F.array_distinct(F.filter(F.transform(ends, header_key), lambda k: F.length(k) >= KEY))
+    sizes = pages.groupBy("document_id").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= LEAST_PAGES)
+    counts = pages.select("document_id", F.explode(keys).alias("key")).groupBy("document_id", "key").agg(F.count("*").alias("n"))
+    often = counts.join(sizes, "document_id").filter(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.floor(F.col("_pages") * SHARE)))
+    # at most 24 keys a document: each stands on a quarter of pages with six lines
+    headers = written(often.groupBy("document_id").agg(F.collect_set("key").alias("_headers")), "headers")
+    joined = pages.join(F.broadcast(headers) if few(headers) else headers, "document_id", "left")
+
+    def goes(line: Column) -> Column:
+        bare = F.btrim(line, F.lit(" \t\x0b\x0c\r"))
+        return (bare != "") & (F.array_contains("_headers", header_key(bare)) | bare.rlike("^[0-9]{1,4}$"))
+
+    kept = F.array_join(F.filter(lines, lambda x: ~goes(x)), "\n")
+    return joined.withColumn("text", F.when(F.col("_headers").isNull(), F.col("text")).otherwise(kept)).drop("_headers")

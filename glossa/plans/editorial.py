@@ -138,13 +138,6 @@ def language_changes(spark, sf_dir):
     return told.filter("new IS NOT NULL").groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
-def reassembled(spark, sf_dir):
-    """Lines that went out as pieces come back in order."""
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "piece"))
-    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "piece"))).alias("p"))
-    return whole.select("doc_id", F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), "\n")).alias("text_md5"))
-
-
 def lexicon_profile(spark, sf_dir):
     """A word's uses by source and by language, with its share in each, and its commonest forms: facets in one pass."""
     words = table(spark, sf_dir, "documents").select("source", "lang", F.explode(T.words(F.col("text"), "[A-Za-z]+")).alias("form")).filter(F.col("form").startswith("wh"))
@@ -215,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         greek_morphology, hebrew_morphology, lexicon_pos, original_terms, question_triggers, heading_lines, time_marks, metric_names, stable_case_id, citation_strings, author_identity,
-        text_direction, osis_ranges, roman_numerals, citation_checks, access_recheck, unknown_labels, with_notes, curation_counts, language_changes, reassembled,
+        text_direction, osis_ranges, roman_numerals, citation_checks, access_recheck, unknown_labels, with_notes, curation_counts, language_changes,
         lexicon_profile, occurrence_sample, interlinear, answer_metrics, channels_union, merged_names, quota, consent_state,
     )
 }
@@ -282,7 +275,6 @@ SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) AS rank F
     "curation_counts": """
 SELECT source, CASE WHEN toxic = 1 THEN 'private' WHEN quality = 0 THEN 'licensed' WHEN quality = 1 THEN 'open' ELSE 'undecided' END AS access, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2""",
     "language_changes": f"WITH {VOTE} SELECT d.lang AS old, v.lang AS new, count(*) AS n FROM v JOIN documents d USING (doc_id) WHERE v.lang IS NOT NULL GROUP BY 1, 2",
-    "reassembled": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "lexicon_profile": """
 WITH w AS (SELECT source, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z]+')) AS form FROM documents), f AS (SELECT * FROM w WHERE starts_with(form, 'wh')),
 c AS (SELECT 'source' AS facet, source AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'lang', lang, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'form', form, count(*) FROM f GROUP BY 2)

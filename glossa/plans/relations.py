@@ -452,8 +452,8 @@ WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')),
 SELECT word, {_rewritten("regexp_replace(strip_accents(word), '[^a-z]', '', 'g')")} AS key FROM w""",
     "clean_text": r"""
 WITH b AS (SELECT doc_id, regexp_replace(text, '([a-z]{4})([a-z]{4} )', '\1-' || chr(10) || '\2 ' || chr(9), 'g') AS t FROM documents),
-j AS (SELECT doc_id, regexp_replace(t, '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS t FROM b)
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS text_md5 FROM j""",
+j AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '([a-ząćęłńóśźż.)\]])[0-9]{1,3}(\s|$)', '\1\2', 'g') AS t FROM b)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM j""",
     "quote_exact": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "citation_markers": """
 SELECT event_id, array_to_string(refs, ' ') || ' ' || user_id || ' A7' AS markers

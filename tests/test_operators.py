@@ -207,10 +207,10 @@ def test_lexeme_fallback(spark):
 def test_transliteration_join(spark):
     from glossa.operators import corpus
 
-    words = spark.createDataFrame([(1, "shalom"), (1, "berezitami"), (2, "none")], "id int, word string")
-    lexemes = spark.createDataFrame([("H7965", "szalom"), ("H7225", "berezit"), ("H1", "ab")], "strong string, transliteration string")
+    words = spark.createDataFrame([(1, "shalom"), (1, "tartaros"), (2, "none"), (2, "tartar"), (3, "ab")], "id int, word string")
+    lexemes = spark.createDataFrame([("H7965", "szalom"), ("G5020", "tartaroo"), ("G9", "tartar"), ("G8", "tartar"), ("G7", "tartar"), ("G6", "tartarismos"), ("H1", "ab")], "strong string, transliteration string")
     found = {(r.word, r.strong) for r in corpus.by_transliteration(words, lexemes, 3).collect()}
-    assert found == {("shalom", "H7965"), ("berezitami", "H7225")}
+    assert found == {("shalom", "H7965"), ("tartaros", "G7"), ("tartaros", "G8"), ("tartar", "G7"), ("tartar", "G8"), ("tartar", "G9")}
 
 
 @pytest.mark.parametrize(("word", "wanted"), [("λόγος", "logos"), ("ἄγγελος", "angelos"), ("Ἑλλάς", "Hellas"), ("οὐρανός", "ouranos"), ("υἱός", "huios"), ("ῥῆμα", "rhēma"), ("ψυχή", "psychē"), ("αἱ", "hai"), ("Αἱ", "Hai"), ("εὑρίσκω", "heuriskō"), ("εὐαγγέλιον", "euangelion"), ("Ἰησοῦ", "Iēsou"), ("ἁρπαγμὸν", "harpagmon"), ("λόγῳ", "logōi"), ("ᾅδης", "haidēs"), ("ἀΰπνος", "aypnos"), ("Ῥώμη", "Rhōmē"), ("ὁ", "ho")])
