@@ -1,15 +1,16 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes a sequence of text blocks. The log-odds of a logistic classifier (length, links, punctuation, kind of element)
-are the capacities between a block and the two terminals, content and boilerplate; enclosing elements, class and id words that
-name either are added to them. Neighbouring blocks and blocks near in the DOM are joined by edges whose strength is the log-odds
+A page becomes a sequence of text blocks. The log-odds of a logistic classifier (length, links, punctuation, kind of element, and,
+with little weight, what enclosing elements, class and id words name) are the capacities between a block and the two terminals, content and
+boilerplate. Neighbouring blocks and blocks near in the DOM are joined by edges whose strength is the log-odds
 that two blocks so many steps apart have one label. The maximum flow from one terminal to the other gives the labelling of least
 cost; the blocks still reached from the content terminal are the main text.
 
 Weights of the classifier and strengths of the edges are fitted on at most ``SAMPLE`` pages and ``BLOCKS`` blocks of each (rows
-of the least hashes; blocks at equal steps), labelled where the pages' own names (article, nav, ..) tell; the classifier does not
-see these names, so it serves pages whose names say nothing. ``WEIGHTS`` and ``TIES`` are the prior, and all there is where no
-page of the sample tells.
+of the least hashes; blocks at equal steps), labelled where the pages' own names (article, nav, ..) tell. As the names are the labels, their
+own weights are held near the prior, one unit of log-odds, and the others are fitted on blocks without them too: content and
+neighbours decide, also on pages whose names say nothing or mislead. ``WEIGHTS`` and ``TIES`` are the prior, and all there is where
+no page of the sample tells.
 
 Defined cases: a null or empty page, or one without content, has the empty text; unclosed and stray tags are repaired as
 browsers do, and however deep they nest, time grows with the page's length; character references are decoded once; runs of
@@ -63,22 +64,24 @@ AWAY_WORDS = frozenset(
 #: Class words that send a block away even beside a home word, and those that do so outside an article only.
 ALWAYS = frozenset("comments comment commentlist disqus ad ads advert advertisement sponsored cookie consent newsletter share sharing related nav menu sidebar footer".split())
 TOP = frozenset("header masthead banner".split())
+#: Class words of what reads like the main text but is the readers' own.
+READERS = frozenset("comments comment commentlist disqus reply replies respond".split())
 
 #: Prior weights of the classifier by feature, and prior strength of edges by steps apart in the DOM (the last one: so many or more).
-WEIGHTS = {"always": -2.5, "log of words": 1.0, "share of links": -6.0, "ends a sentence": 1.5, "commas a word": 1.0, "heading": 1.0, "item or cell": -1.0, "paragraph": 1.0, "legal mark": -3.0}
+WEIGHTS = {"always": -2.5, "log of words": 1.0, "share of links": -6.0, "ends a sentence": 1.5, "commas a word": 1.0, "heading": 1.0, "item or cell": -1.0, "paragraph": 1.0, "legal mark": -3.0,
+           "named content": 1.0, "named boilerplate": -1.0, "outside of the article": -1.0, "named against its place": -60.0}
 TIES = (3.0, 2.0, 1.5, 0.6, 0.4, 0.2, 0.1, 0.1, 0.0)
 FAR = len(TIES) - 1
-KIND = slice(5, 8)
-#: Strength of both priors (L2 penalty; rows), log-odds of blocks that the page's names call content, boilerplate, or leave out of its article.
-PENALTY, TIE_ROWS = 1.0, 20
-HOME, AWAY, OUTSIDE = 20.0, 60.0, 12.0
+KIND, NAMES = slice(5, 8), slice(9, 13)
+#: Strength of the priors (L2 penalty of weights, and of those of names; rows).
+PENALTY, NAMES_PENALTY, TIE_ROWS = 1.0, 10_000.0, 20
 #: Capacity of one unit of log-odds; pages of the fit, and blocks of each.
 UNIT, SAMPLE, BLOCKS = 16, 400, 1_000
 
 
-def _kind(tag: str, attributes: str, home: bool) -> tuple[bool, bool]:
-    """(away, home) of an element by itself; ``home``: whether it lies in an article."""
-    away, here = tag in AWAY_TAGS or (tag == "header" and not home), tag in HOME_TAGS
+def _kind(tag: str, attributes: str, home: bool) -> tuple[int, bool]:
+    """(away, home) of an element by itself, away 2 for what is hidden or the readers'; ``home``: whether it lies in an article."""
+    away, here, apart = tag in AWAY_TAGS or (tag == "header" and not home), tag in HOME_TAGS, False
     if attributes and tag not in ("html", "body"):
         words: set[str] = set()
         for name, *values in ATTRIBUTE.findall(attributes):
@@ -90,12 +93,13 @@ def _kind(tag: str, attributes: str, home: bool) -> tuple[bool, bool]:
             elif name == "itemprop":
                 here = here or value.lower() == "articlebody"
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                away = True
+                away = apart = True
         if words:
             named = bool(words & HOME_WORDS)
+            apart = apart or bool(words & READERS)
             away = away or bool(words & (ALWAYS if named else AWAY_WORDS)) or bool(not named and not home and words & TOP)
             here = here or (named and not away)
-    return away, here
+    return away + (away and apart), here
 
 
 class Page:
@@ -106,9 +110,9 @@ class Page:
     """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, int, str, bool, bool, int]] = []
+        self.blocks: list[tuple[str, int, str, int, bool, int]] = []
         self.parent, self.depth = [0], [0]
-        self.stack: list[tuple[str, int, str, bool, bool, bool]] = [("", 0, "", False, False, False)]
+        self.stack: list[tuple[str, int, str, int, bool, bool]] = [("", 0, "", 0, False, False)]
         self.levels: list[tuple[str, int, Counter]] = [("", 0, Counter())]
         self.open: Counter = Counter()
         self.parts: list[str] = []
@@ -147,7 +151,7 @@ class Page:
         _, node, block, away, home, link = self.stack[-1]
         if not inline:
             own_away, own_home = _kind(tag, attributes, home)
-            away, home, block = away or own_away, home or own_home, tag
+            away, home, block = max(away, own_away), home or own_home, tag
             self.parent.append(node)
             self.depth.append(self.depth[node] + 1)
             node = len(self.parent) - 1
@@ -255,10 +259,11 @@ class Page:
         return found
 
 
-def features(blocks: list[tuple]) -> np.ndarray:
-    """A row for each block of what it is by itself, names of elements that enclose it aside: see WEIGHTS."""
-    rows = np.zeros((len(blocks), len(WEIGHTS)))
-    for row, (text, _, tag, _, _, linked) in zip(rows, blocks, strict=True):
+def features(page: Page) -> np.ndarray:
+    """A row for each block of a page: see WEIGHTS."""
+    has_home = page.has_home()
+    rows = np.zeros((len(page.blocks), len(WEIGHTS)))
+    for row, (text, _, tag, away, home, linked) in zip(rows, page.blocks, strict=True):
         words = text.count(" ") + 1
         row[0] = 1
         row[1] = np.log1p(words)
@@ -269,28 +274,33 @@ def features(blocks: list[tuple]) -> np.ndarray:
         row[6] = tag in ("li", "dt", "dd", "td", "th")
         row[7] = tag in ("p", "blockquote", "pre")
         row[8] = text[0] in "©®™"
+        row[9] = home and not away
+        row[10] = away > 0
+        row[11] = has_home and not home and not away
+        row[12] = (away and home) or away > 1
     return rows
 
 
 def fitted_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights of most posterior probability, WEIGHTS being the mean of a normal prior, by Newton's method.
 
-    Every block counts twice, once without its kind of element, so that length and links are weighed for pages of plain divisions.
+    Every block counts twice, once without its kind of element and its names, so that length and links are weighed for pages of plain divisions.
     """
     plain = x.copy()
-    plain[:, KIND] = 0
+    plain[:, KIND] = plain[:, NAMES] = 0
     x, y = np.concatenate([x, plain]), np.concatenate([y, y])
-    prior = np.array(list(WEIGHTS.values()))
+    prior, penalty = np.array(list(WEIGHTS.values())), np.full(len(WEIGHTS), PENALTY)
+    penalty[NAMES] = NAMES_PENALTY
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.sum(np.logaddexp(0, z) - y * z) + PENALTY / 2 * np.sum((w - prior) ** 2))
+        return float(np.sum(np.logaddexp(0, z) - y * z) + np.sum(penalty * (w - prior) ** 2) / 2)
 
     w = prior.copy()
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + PENALTY * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(w)), slope)
+        slope = x.T @ (p - y) + penalty * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), slope)
         before, size = loss(w), 1.0
         while loss(w - size * step) > before and size > 1e-9:  # a whole step may go too far
             size /= 2
@@ -316,10 +326,8 @@ UNFITTED = Model(np.array(list(WEIGHTS.values())), np.array(TIES, float))
 
 
 def costs(page: Page, model: Model = UNFITTED) -> list[tuple[int, int]]:
-    """(cost of not taking, cost of taking) of every block: the classifier's log-odds and what the page's names say."""
-    has_home = page.has_home()
-    named = [-AWAY if away else HOME if home else -OUTSIDE if has_home else 0.0 for _, _, _, away, home, _ in page.blocks]
-    score = np.rint((features(page.blocks) @ model.weights + named) * UNIT).astype(int)
+    """(cost of not taking, cost of taking) of every block: the classifier's log-odds."""
+    score = np.rint(features(page) @ model.weights * UNIT).astype(int)
     return list(zip(np.maximum(score, 0).tolist(), np.maximum(-score, 0).tolist(), strict=True))
 
 
@@ -406,7 +414,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, most: int = BLOCKS) -> Model:
                 ties = [(steps, seeds[i] != seeds[j]) for i, j, steps in page.edges() if seeds[i] is not None and seeds[j] is not None]
                 steps = np.array([t[0] for t in ties], np.int64)
                 same = np.bincount(steps, minlength=FAR + 1), np.bincount(steps, weights=[t[1] for t in ties], minlength=FAR + 1)
-                rows.append((features([page.blocks[i] for i in told]).ravel().tolist(), [seeds[i] for i in told], *(s.astype(float).tolist() for s in same)))
+                rows.append((features(page)[told].ravel().tolist(), [seeds[i] for i in told], *(s.astype(float).tolist() for s in same)))
             kinds = [pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["x", "y", "near", "differ"])
 

@@ -364,7 +364,7 @@ def test_the_cut_is_better_than_the_classifier_alone():
     for _ in range(150):
         source, gold = bare_page(rng, word)
         page = html_text.Page(source)
-        x.append(html_text.features(page.blocks))
+        x.append(html_text.features(page))
         y += gold
         for i, j, steps in page.edges():
             near[steps] += 1
@@ -389,7 +389,7 @@ def test_fit_on_a_table(spark):
     for _, _, source in made:
         page = html_text.Page(source)
         seeds = page.seeds()
-        x.append(html_text.features(page.blocks))
+        x.append(html_text.features(page))
         y += seeds
         for i, j, steps in page.edges():
             near[steps] += 1
