@@ -256,11 +256,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     before = None
     while True:
+        # the least neighbours are written before they are joined, so that a node with very many neighbours has two plain sides and is split
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "star-least")
         small_step = large.join(least, "u").select("v", "m").filter("v != m").toDF("u", "v").unionByName(least.toDF("u", "v"))
         edges = staged(small_step.distinct(), "star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -445,6 +446,41 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("key", "node", "parts", "text").mapInArrow(scan, "key long, node long, parts int, shingles binary")
 
 
+def verified_links(read: DataFrame, groups: DataFrame, size: int, similarity: float, partitions: int) -> DataFrame:
+    """u, v: links of the pairs in ``groups`` (key, node, id, t, parts) that are as similar as that, with the components of all such pairs.
+
+    A group of several ``parts`` is linked inside each part first. Then one member of each of these linked sets stands for it; the members of
+    sets that are still apart are compared in pairs of parts, all of them. So a large group of copies of one text is compared
+    once, and only a large group of texts that are not alike takes as many comparisons as it has pairs.
+    """
+
+    def compared(rows: DataFrame) -> DataFrame:
+        texts = read.join(F.broadcast(rows) if small(rows) else rows, ["id", "t"])
+        return chunk_pairs(shingle_sets(texts, size)).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_verified(similarity), "u long, v long")
+
+    large = groups.filter("parts > 1")
+    if large.isEmpty():
+        return compared(groups)
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    split = large.select(_hashed("key", part).alias("key"), "node", "id", "t", F.lit(1).alias("parts"))
+    edges = staged(compared(staged(groups.filter("parts = 1").select(split.columns).unionByName(split), "sketch-parts")), "part-links")
+
+    def apart(found: DataFrame) -> DataFrame:
+        """key, node, id, t, parts, root of the members of large groups that are in several linked sets."""
+        placed = large.join(_rooted(found).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
+        placed = staged(placed, "group-roots")
+        several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+        return staged(placed.join(several, "key", "left_semi"), "groups-apart")
+
+    left = apart(edges)
+    if left.isEmpty():
+        return edges
+    first = left.groupBy("key", "root").agg(F.min(F.struct("node", "id", "t")).alias("m"), F.first("parts").alias("parts"))
+    edges = staged(edges.unionByName(compared(staged(first.select("key", "m.*", "parts"), "group-first"))), "part-links")
+    left = apart(edges)
+    return edges if left.isEmpty() else edges.unionByName(compared(left.drop("root")))
+
+
 #: Stands for a null doc_id inside.
 NO_ID = -(2**63)
 
@@ -479,9 +515,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot:
     groups = nodes.join(_rooted(edges).withColumnRenamed("root", "key"), "node").select("key", "node", "id", "t", "n")
     parts = groups.groupBy("key").agg(F.ceil(2 * F.sum("n") / group).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
     groups = staged(groups.join(parts, "key").select("key", "node", "id", "t", "parts"), "sketch-groups")
-    held = shingle_sets(read.join(F.broadcast(groups) if small(groups) else groups, ["id", "t"]), size)
-    edges = chunk_pairs(held).repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_verified(similarity), "u long, v long")
-    roots = _rooted(edges)
+    roots = _rooted(verified_links(read, groups, size, similarity, partitions))
     placed = nodes.join(roots, "node", "left").filter("root IS NOT NULL OR rows > 1").select("node", F.struct("id", "t").alias("k"), F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "sketch-placed")
     least = placed.groupBy("root").agg(F.min("k").alias("least"))

@@ -172,3 +172,30 @@ def test_deep_and_broken_pages_take_linear_time():
 def test_hashes_are_of_the_whole_text(docs):
     found = {r.doc_id: r for r in suffix_dedup.dedup_substrings(docs).collect()}
     assert hashlib.sha256(bytes(found[0].kept)).hexdigest() == hashlib.sha256(b"One two three four five six seven.").hexdigest()
+
+
+def test_components_of_one_star(spark):
+    """One node with 100,000 neighbours, in a chain with others."""
+    edges = spark.range(100_000).selectExpr("id + 10 AS u", "5L AS v").unionByName(spark.createDataFrame([(5, 3), (3, 1), (200_000, 200_001), (7, 7)], "u long, v long"))
+    found = simhash.components(edges)
+    assert found.groupBy("root").count().orderBy("root").collect() == [(1, 100_002), (200_000, 1)]
+
+
+def test_a_large_group_is_compared_by_its_parts(spark):
+    """Copies of one text in a group of many parts are linked, and what is apart in the same group stays apart."""
+    words = [f"w{i}" for i in range(300)]
+    made = [(i, " ".join([*words[: 250 + i % 3], f"own{i}"]), None) for i in range(120)] + [(500 + i, " ".join(f"x{i}y{k}" for k in range(300)), None) for i in range(3)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    small = simhash.similar_groups(docs, group=1_000)
+    assert kept == [0, 500, 501, 502]
+    assert small.select("component_id").distinct().collect() == [(0,)] and small.count() == 120
+
+
+def test_equal_prints_of_different_texts_are_told_apart(spark, monkeypatch):
+    """With a digest of one letter, rows of null and equal ids keep one row each and different texts different fingerprints."""
+    monkeypatch.setattr(fingerprints, "digest", lambda form: form[:1])
+    df = spark.createDataFrame([(None, "ab"), (1, "ac"), (1, "xy"), (2, "AB "), (3, "zz")], "doc_id long, text string")
+    found = spark.createDataFrame([(None, "a"), (1, "a"), (1, "x"), (2, "a"), (3, "z")], "doc_id long, fingerprint string")
+    forms = fingerprints.compared(df, found).collect()
+    assert len(forms) == 5
