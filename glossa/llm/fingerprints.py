@@ -113,11 +113,12 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
             yield edge("tail", *held)
 
     first = staged(ranged.mapInArrow(inside, f"doc_id {kind}, {RESULT}, part int, role string, text string"), "fingerprints")
-    heads = first.filter("role = 'head'").select("part", "text")
-    # one row per partition
+    heads = first.filter("role = 'head'")
+    # one number per partition; texts come by a join
     everyone, by_part = Window.partitionBy(), Window.orderBy("part")
-    following = heads.select("part", F.coalesce(F.lead("text").over(by_part), F.min_by("text", "part").over(everyone)).alias("following"))
-    ends = first.filter("role = 'tail'").select("part", "doc_id", "text").join(following, "part").select("doc_id", "text", "following")
+    order = heads.select("part").select("part", F.coalesce(F.lead("part").over(by_part), F.min("part").over(everyone)).alias("next"))
+    following = heads.select(F.col("part").alias("next"), F.col("text").alias("following"))
+    ends = first.filter("role = 'tail'").select("part", "doc_id", "text").join(order, "part").join(following, "next").select("doc_id", "text", "following")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +143,7 @@ def compared(docs: DataFrame, found: DataFrame) -> DataFrame:
     several = staged(found.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "fingerprint-several")
     members = staged(found.join(several, "fingerprint", "left_semi").select(F.col("doc_id").alias("_id")), "fingerprint-buckets")
     side = F.broadcast(members) if small(members, MEMBERS) else members
-    shared = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id") == F.col("_id"), "left_semi")
+    shared = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     forms = shared.mapInArrow(_forms, f"doc_id {kind}, fingerprint string, form string")
     # grouping by the form compares its bytes; copies of one text meet before the shuffle
     classes = forms.groupBy("fingerprint", "form").count()
@@ -151,8 +152,9 @@ def compared(docs: DataFrame, found: DataFrame) -> DataFrame:
         return found
     clash = forms.join(unequal, "fingerprint", "left_semi")
     ranks = clash.select("fingerprint", "form").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy("form")))
-    of = clash.join(ranks, ["fingerprint", "form"]).select(F.col("doc_id").alias("_id"), "rank").distinct()
-    return found.join(of, F.col("doc_id") == F.col("_id"), "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "rank")).drop("_id", "rank")
+    of = clash.join(ranks, ["fingerprint", "form"]).groupBy(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_f")).agg(F.min("rank").alias("rank"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fingerprint") == F.col("_f"))
+    return found.join(of, same, "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "rank")).drop("_id", "_f", "rank")
 
 
 def op2_fingerprints(spark, sf_dir):
