@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import fresh, slices, staged, table
@@ -47,7 +47,10 @@ UNITS = frozenset(
 # Number words, and words that are no names where they begin a sentence (fixed values).
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend dutzend "
+    "deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille douzaine "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil docena".split()
 )
 FUNCTION_WORDS = frozenset(
     "a an the this that these those i you he she it we they his her its our their my your who whom whose what which when where why how is are was were be do does "
@@ -233,6 +236,10 @@ def key_windows(known: DataFrame, found: DataFrame, similarity: float) -> DataFr
     return known.join(counts, "h").groupBy("item_id", "n_item").applyInPandas(keys, f"item_id {kind}, n_item int, h long")
 
 
+#: Windows that one task puts into a partial filter.
+FILTER_ROWS = 1_000_000
+
+
 def _bloom_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(BLOOM - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) * MIX & mask).astype(np.int64)
@@ -248,15 +255,20 @@ def bloom(windows: DataFrame) -> bytes:
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
 
-    partials = windows.select("h").distinct().repartition(4).mapInArrow(part, "bits binary").toLocalIterator()
+    tasks = max(4, min(64, windows.count() // FILTER_ROWS))  # a partial filter each, which reach the driver one by one
+    partials = windows.select("h").distinct().repartition(tasks).mapInArrow(part, "bits binary").toLocalIterator()
     total = np.zeros(BLOOM // 8, np.uint8)
     for row in partials:
         total |= np.frombuffer(row.bits, np.uint8)
     return total.tobytes()
 
 
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
-    """doc_id, h, doc_pos, doc_slots of the windows that may be a benchmark's."""
+    """doc_id, t (a hash of the text), h, doc_pos, doc_slots of the windows that may be a benchmark's."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -282,10 +294,11 @@ def document_windows(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFram
                     hs.append(h[hit].view(np.int64))
                     ps.append(at - begin[of[at]])
                     ss += [_slots(value, slot, i, n) for i in at.tolist()]
-            ids = batch.column("doc_id").take(pa.array(np.concatenate(rows)))
-            yield pa.record_batch([ids, pa.array(np.concatenate(hs)), pa.array(np.concatenate(ps)), pa.array(ss, pa.list_(pa.int64()))], names=["doc_id", "h", "doc_pos", "doc_slots"])
+            of_row = pa.array(np.concatenate(rows))
+            ids = [batch.column(c).take(of_row) for c in ("doc_id", "t")]
+            yield pa.record_batch([*ids, pa.array(np.concatenate(hs)), pa.array(np.concatenate(ps)), pa.array(ss, pa.list_(pa.int64()))], names=["doc_id", "t", "h", "doc_pos", "doc_slots"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, h long, doc_pos long, doc_slots array<long>")
+    return docs.select("doc_id", _text_hash(docs).alias("t"), "text").mapInArrow(scan, f"doc_id {kind}, t long, h long, doc_pos long, doc_slots array<long>")
 
 
 def _covered(n_item: int, matches: list[dict]) -> float:
@@ -310,7 +323,12 @@ STRETCH = 512
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, coverage of every benchmark item found in a document."""
+    """doc_id, item_id, coverage of every benchmark item found in a document; the best of rows of one doc_id, each judged by its own text."""
+    return found_items(docs, items, window, similarity).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+
+
+def found_items(docs: DataFrame, items: DataFrame, window: int, similarity: float) -> DataFrame:
+    """doc_id, t, item_id, coverage of every benchmark item found in a text."""
     known = staged(item_windows(items, window), "benchmark-windows")
     sizes = sorted(r.n for r in known.select("n").distinct().collect())  # at most ``window`` numbers
     found = staged(document_windows(docs, bloom(known), sizes), "document-windows")
@@ -320,34 +338,34 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, simila
     # regions of 2.5 items' length, one starting at every 1.25: wherever an item lies, one region holds it whole
     step = F.ceil(F.col("n_item") * 1.25)
     region = F.floor(F.col("doc_pos") / step)
-    met = found.select("doc_id", "h", "doc_pos").join(keys, "h").select("doc_id", "item_id", "n_item", F.explode(F.array(region, region - 1)).alias("region"))
+    met = found.select("doc_id", "t", "h", "doc_pos").join(keys, "h").select("doc_id", "t", "item_id", "n_item", F.explode(F.array(region, region - 1)).alias("region"))
     places = staged(met.distinct(), "benchmark-places")
     first, last = F.col("region") * step, (F.col("region") + 2) * step - 1
     stretches = F.sequence(F.floor(F.greatest(first, F.lit(0)) / STRETCH), F.floor(last / STRETCH))
-    asked = places.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("n_item").alias("m"), "region", first.alias("first"), last.alias("last"), F.explode(stretches).alias("s"))
+    asked = places.select(F.col("doc_id").alias("d"), F.col("t").alias("own"), F.col("item_id").alias("i"), F.col("n_item").alias("m"), "region", first.alias("first"), last.alias("last"), F.explode(stretches).alias("s"))
     wanted = asked.join(known, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("m") == F.col("n_item"))).withColumnRenamed("h", "wanted")
-    there = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("wanted") == F.col("h")) & (F.col("s") == F.floor(F.col("doc_pos") / STRETCH))
+    there = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("t")) & (F.col("wanted") == F.col("h")) & (F.col("s") == F.floor(F.col("doc_pos") / STRETCH))
     pairs = wanted.join(found, there & F.col("doc_pos").between(F.col("first"), F.col("last"))).filter(F.size("doc_slots") == F.size("item_slots"))
     match = F.struct("places", "n", "item_slots", "doc_slots")
-    groups = pairs.groupBy("doc_id", "item_id", "n_item", "region").agg(F.collect_set(match).alias("matches"))
+    groups = pairs.groupBy("doc_id", "t", "item_id", "n_item", "region").agg(F.collect_set(match).alias("matches"))
     most = F.size(F.array_distinct(F.flatten("matches.places"))) * F.element_at("matches.n", 1)
     likely = groups.filter(most >= similarity * F.col("n_item"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = [_covered(r["n_item"], r["matches"]) for r in batch.to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("item_id"), pa.array(part, pa.float64())], names=["doc_id", "item_id", "coverage"])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "t", "item_id")), pa.array(part, pa.float64())], names=["doc_id", "t", "item_id", "coverage"])
 
-    checked = likely.mapInArrow(verify, f"doc_id {doc_kind}, item_id {item_kind}, coverage double")
-    return checked.filter(F.col("coverage") >= similarity).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+    checked = likely.mapInArrow(verify, f"doc_id {doc_kind}, t long, item_id {item_kind}, coverage double")
+    return checked.filter(F.col("coverage") >= similarity).groupBy("doc_id", "t", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that contain a benchmark item; rows of one doc_id share one verdict."""
-    own = fresh(docs, "_gone")
-    gone = contaminated(docs, items, window, similarity).select(F.col("doc_id").alias(own)).distinct()
+    """``docs`` without those that contain a benchmark item; rows of one doc_id are judged by their texts."""
+    own, text = fresh(docs, "_gone"), fresh(docs, "_text")
+    gone = found_items(docs, items, window, similarity).select(F.col("doc_id").alias(own), F.col("t").alias(text)).distinct()
     # by shuffle at every size: what is found grows with the documents
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)) & (_text_hash(docs) == F.col(text)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir):

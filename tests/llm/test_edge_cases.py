@@ -199,3 +199,22 @@ def test_equal_prints_of_different_texts_are_told_apart(spark, monkeypatch):
     found = spark.createDataFrame([(None, "a"), (1, "a"), (1, "x"), (2, "a"), (3, "z")], "doc_id long, fingerprint string")
     forms = fingerprints.compared(df, found).collect()
     assert len(forms) == 5
+
+
+def test_benchmark_items_are_found_by_row(spark):
+    """Of two texts of one doc_id each is judged by itself, and windows of both never make one item together."""
+    words = [f"word{i}" for i in range(30)]
+    item = " ".join(words)
+    made = [(1, f"before {item} after"), (1, "a clean text of the same id"), (2, " ".join(words[:16])), (2, " ".join(words[14:])), (None, item), (None, "clean")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, 7), (None, 7)}
+    kept = sorted((str(r.doc_id), r.text) for r in decontamination.without_benchmark(docs, items).collect())
+    assert kept == sorted([("1", made[1][1]), ("2", made[2][1]), ("2", made[3][1]), ("None", "clean")])
+
+
+def test_number_words_of_other_languages(spark):
+    said = "Anna hat {} Äpfel im Korb und kauft noch {} Birnen auf dem Markt bevor sie nach Hause geht und alles zählt"
+    docs = spark.createDataFrame([(1, said.format("drei", "sieben"))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, said.format("vier", "neun"))], "item_id long, text string")
+    assert decontamination.contaminated(docs, items).count() == 1
