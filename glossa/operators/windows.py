@@ -81,47 +81,3 @@ def diversify(hits: DataFrame, keys: list[str], per_group: int, k: int) -> DataF
 
 def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
-
-
-def pack_paragraphs(texts: DataFrame, most: int = 1400, least: int = 300, overlap: int = 2) -> DataFrame:
-    """doc_id, ord, chunk: lines packed in order up to ``most`` characters.
-
-    A line over ``most`` is cut into sentences, ``overlap`` of which are repeated at the start of the next chunk; a last
-    chunk under ``least`` joins the one before it.
-    """
-    import re
-
-    sentence = re.compile(r"(?<=[.!?])\s+")
-
-    def pieces(text: str) -> Iterator[tuple[str, bool]]:
-        for line in text.split("\n"):
-            line = line.strip()
-            if len(line) <= most:
-                if line:
-                    yield line, False
-                continue
-            held: list[str] = []
-            for part in sentence.split(line):
-                if held and sum(map(len, held)) + len(held) + len(part) > most:
-                    yield " ".join(held), True
-                    held = held[-overlap:] if sum(map(len, held[-overlap:])) < most // 2 else []
-                held.append(part)
-            yield " ".join(held), True
-
-    def chunks(text: str | None) -> list[str]:
-        out: list[str] = []
-        for piece, alone in pieces(text or ""):
-            if out and not alone and len(out[-1]) + 1 + len(piece) <= most:
-                out[-1] += "\n" + piece
-            else:
-                out.append(piece)
-        if len(out) > 1 and len(out[-1]) < least:
-            out[-2:] = ["\n".join(out[-2:])]
-        return out
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, c in enumerate(chunks(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "chunk"])
-
-    return texts.select("doc_id", "text").mapInPandas(scan, "doc_id long, ord long, chunk string")

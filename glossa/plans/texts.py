@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from glossa.functions import references
 from glossa.functions import text as T
-from glossa.operators import windows
+from glossa.operators import chunks
 from glossa.sources import readers
 from glossa.streaming import events as streams
-from glossa.tables import table
+from glossa.tables import scratch, table
 
 def _referring(spark, sf_dir):
     """Documents with references before, in and behind their text: verse ranges, chapters, lists, and what only looks like references."""
@@ -61,15 +59,31 @@ def html_to_text(spark, sf_dir):
 
 
 def chunking(spark, sf_dir):
-    chunks = windows.pack_paragraphs(table(spark, sf_dir, "documents"))
-    return chunks.select("doc_id", "ord", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+    docs = table(spark, sf_dir, "documents")
+    packed = chunks.packed(docs, paragraph=r"\n")
+    return packed.select("doc_id", "ord", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+def document_chunks(spark, sf_dir):
+    """Documents of two pages, the second under a heading, in chunks with the references that each has."""
+    texts = _referring(spark, sf_dir)
+    half = F.floor(F.length("text") / 2).cast("int")
+    first = texts.select(F.col("id").alias("document_id"), F.lit(1).alias("page"), F.left("text", half).alias("text"))
+    second = texts.select(F.col("id").alias("document_id"), F.lit(2).alias("page"), F.concat(F.lit("# Part two of "), F.col("id").cast("string"), F.lit("\n\n"), F.substr("text", half + 1, F.lit(2_000_000_000))).alias("text"))
+    found = chunks.with_references(chunks.document_chunks(first.unionByName(second)))
+    return found.select("document_id", "ord", "section", "page_from", "page_to", F.md5("text").alias("text_md5"), F.size("refs").cast("long").alias("n_refs"))
+
+
+def changed_refs(spark, sf_dir):
+    """Chunks whose stored references, those of all but some texts, are not what is read in them now."""
+    now = chunks.with_references(_referring(spark, sf_dir).select(F.lit(0).alias("document_id"), F.col("id").alias("ord"), "text"))
+    held = now.withColumn("refs", F.when(F.col("ord") % 9 == 4, F.slice("refs", 2, 99)).otherwise(F.col("refs")))
+    return chunks.changed_references(held).select(F.col("ord").alias("doc_id"), F.size("refs").cast("long").alias("n_refs"))
 
 
 def _drained(df, mode):
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """A stream run to the end of its input, its output written where all executors see it."""
+    return streams.drained(df, mode, scratch(df.sparkSession, "stream"))
 
 
 def _event_stream(spark, sf_dir):
@@ -119,7 +133,7 @@ def stream_without_tag(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (extract_refs, refs_lateral, known_refs, spoken_refs, html_to_text, chunking, stream_hourly_requests, stream_sliding_counts, stream_sessions, stream_new_entries, stream_status, stream_without_tag)
+    for f in (extract_refs, refs_lateral, known_refs, spoken_refs, document_chunks, changed_refs, html_to_text, chunking, stream_hourly_requests, stream_sliding_counts, stream_sessions, stream_new_entries, stream_status, stream_without_tag)
 }
 
 #: What stands in the documents by ``_referring``; a text's own words hold no reference of these books.
@@ -138,6 +152,7 @@ ORACLE_SQL = {
     "known_refs": f"""
 WITH {_REFS}, v AS (SELECT DISTINCT 47000000 + o_orderkey % 60 * 1000 + o_custkey % 20 AS ordinal FROM orders), o AS (SELECT DISTINCT id, start, "end" FROM r)
 SELECT start, "end", EXISTS (SELECT 1 FROM v WHERE ordinal BETWEEN start AND "end") AS known, count(*) AS n FROM o GROUP BY 1, 2""",
+    "changed_refs": f'WITH {_REFS}, o AS (SELECT DISTINCT id, start, "end" FROM r) SELECT id AS doc_id, count(*) AS n_refs FROM o WHERE id % 9 = 4 GROUP BY 1',
     "spoken_refs": """
 WITH t AS (SELECT conv_id, turn, left(text, 40) AS text, conv_id % 50 + 1 AS c, turn % 30 + 1 AS v, turn % 30 + 3 AS w FROM conversations)
 SELECT conv_id, turn, concat_ws(' ', text, CASE turn % 4
