@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.text import normalize_greek, normalize_hebrew
+from glossa.functions.text import fold_accents, normalize_greek, normalize_hebrew
 
 # Codes of Greek morphology, place by place: person, tense, voice, mood, case, number, gender, degree (fixed values).
 GREEK_PLACES = [
@@ -141,3 +141,73 @@ def roman(text: Column) -> Column:
     value = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: named(c, {"i": "1", "v": "5", "x": "10", "l": "50", "c": "100", "d": "500", "m": "1000"}).cast("long"))
     total = F.aggregate(F.reverse(value), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("last")), lambda s, v: F.struct((s["sum"] + F.when(v < s["last"], -v).otherwise(v)).alias("sum"), v.alias("last")))
     return F.when(text.rlike("(?i)^[ivxlcdm]+$"), total["sum"])
+
+
+# Words of titles that a citation key leaves out, number words of volumes and parts, and what names stand for others (fixed values).
+KEY_STOP = ("the", "and", "von", "der", "die", "das", "with", "from", "oraz", "jako")
+PART = r"\b(?:czesc|cz|tom|vol|volume|part|ksiega|zeszyt)\.?\s*([ivxlc]+|[0-9]+)\b|\b([0-9]+)\b"
+VARIANTS = ((r"(?i)\bmaryj\w*", "Maria Marii"),)
+
+
+def slug(text: Column) -> Column:
+    """Letters and digits of the folded text between hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(fold_accents(F.translate(F.coalesce(text, F.lit("")), "łŁ", "lL"))), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def part_markers(title: Column) -> Column:
+    """Numbers of volumes and parts that a title names, each once; titles that differ in them are different works."""
+    folded = F.lower(fold_accents(F.translate(title, "łŁ", "lL")))
+    found = [F.regexp_extract_all(folded, F.lit(PART), F.lit(i)) for i in (1, 2)]
+    return F.array_sort(F.array_distinct(F.transform(F.arrays_zip(found[0].alias("a"), found[1].alias("b")), lambda z: F.when(z["a"] != "", z["a"]).otherwise(z["b"]))))
+
+
+def canonical_name(name: Column) -> Column:
+    """``Last, First`` of ``First Last`` or of a name already so; one word stays."""
+    one = F.trim(F.regexp_replace(name, r"\s+", " "))
+    last, first = F.trim(F.regexp_extract(one, "^([^,]*),", 1)), F.trim(F.regexp_extract(one, "^[^,]*,(.*)$", 1))
+    tail = F.substring_index(one, " ", -1)
+    given = F.trim(F.left(one, F.length(one) - F.length(tail)))
+    joined = F.when(F.contains(one, F.lit(",")), F.struct(last.alias("l"), first.alias("f"))).otherwise(F.struct(tail.alias("l"), given.alias("f")))
+    return F.when(joined["f"] != "", F.concat_ws(", ", joined["l"], joined["f"])).otherwise(joined["l"])
+
+
+def citation_key(surname: Column, year: Column, title: Column) -> Column:
+    """Letters of the surname (or ``anon``), the year, and the title's first word of four letters or more that says something (or ``work``)."""
+    plain = lambda c: F.lower(fold_accents(F.translate(F.coalesce(c, F.lit("")), "łŁ", "lL")))
+    words = F.filter(F.regexp_extract_all(plain(title), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(*KEY_STOP))
+    name = F.regexp_replace(plain(surname), "[^a-z]", "")
+    return F.concat(F.when(name == "", "anon").otherwise(name), F.coalesce(year.cast("string"), F.lit("")), F.coalesce(F.get(words, F.lit(0)), F.lit("work")))
+
+
+def name_variants(question: Column) -> Column:
+    """``question`` with what stands for names it has, once each."""
+    return F.concat_ws(" ", question, *[F.when(question.rlike(pattern), F.lit(more)) for pattern, more in VARIANTS])
+
+
+def clean_translation(text: Column, source: Column) -> Column:
+    """A translation without a model's preface (a first line that ends in a colon and speaks of a translation) and, where the source has none, without stars of emphasis."""
+    bare = F.regexp_replace(text, r"(?is)\A\s*(?:here is|below is|oto|poniżej)[^\n]*?(?:translation|przekład|tłumaczenie)[^\n]*:\s*\n+", "")
+    plain = F.regexp_replace(bare, r"\*{1,2}([^*\n]+)\*{1,2}", "$1")
+    return F.btrim(F.when(F.contains(F.coalesce(source, F.lit("")), F.lit("*")), bare).otherwise(plain), F.lit(" \t\n\r"))
+
+
+# Rules of titles, in order (fixed values).
+NOISE = r"(?i)sprawozdan|report from|konferencj|conference|walne zebranie|recenzje i sprawozdania|kościół w czasie pandemii|od redakcji|editorial|^wstęp$"
+REVIEW = r"(?i)^(?:recenzja|review of|rec\.)|\(rec\.\)|\[review\]"
+
+
+def rule_decision(title: Column, access: Column, duplicate_of: Column) -> Column:
+    """(access, kind, reason) of an entry by the first rule that holds: left out already, a duplicate, a report by its title, a review by its title; else it keeps its access."""
+    t = F.coalesce(title, F.lit(""))
+
+    def decided(a: Column, kind: str | None, reason: Column) -> Column:
+        return F.struct(a.alias("access"), F.lit(kind).cast("string").alias("kind"), reason.alias("reason"))
+
+    skip = F.lit("skip")
+    return (
+        F.when(access == "skip", decided(skip, None, F.lit("left out")))
+        .when(duplicate_of.isNotNull(), decided(skip, None, F.concat(F.lit("duplicate of "), duplicate_of.cast("string"))))
+        .when(t.rlike(NOISE), decided(skip, "report", F.lit("title of a report")))
+        .when(t.rlike(REVIEW), decided(access, "review", F.lit("title of a review")))
+        .otherwise(decided(access, None, F.lit(None).cast("string")))
+    )

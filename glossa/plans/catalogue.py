@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glossa.plans import answers, corpora, editorial, library, quotations, relations, retrieval, sources, texts
+from glossa.plans import answers, corpora, editorial, library, quotations, relations, retrieval, serving, sources, texts
 
-MODULES = (retrieval, relations, corpora, texts, editorial, library, quotations, sources, answers)
+MODULES = (retrieval, relations, corpora, texts, editorial, library, quotations, sources, answers, serving)
 
 
 def queries():
