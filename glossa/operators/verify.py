@@ -148,8 +148,8 @@ def check_quotes(pairs: DataFrame) -> DataFrame:
     return pairs.select(*ids, "quote", "source").mapInPandas(scan, ", ".join(f"{c} long" for c in ids) + ", ratio double, status string")
 
 
-def near_names(names: DataFrame, least: float = 0.9) -> DataFrame:
-    """a, b, ratio: pairs a < b of the different ``name`` whose sequence ratio is at least ``least``.
+def near_names(names: DataFrame, least: float = 0.9, back: bool = False) -> DataFrame:
+    """a, b, ratio: pairs a < b of the different ``name`` whose sequence ratio is at least ``least``; with ``back``, b's ratio to a beside a's to b, where either is.
 
     A ratio of r leaves at most (1 - r) times both lengths of unmatched letters, d. Of d + 1 pieces of the shorter name one at least
     is whole in the other, at most d places off; so names meet by piece, and no pair is lost. Only pairs that meet are compared.
@@ -169,10 +169,16 @@ def near_names(names: DataFrame, least: float = 0.9) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             matcher = difflib.SequenceMatcher(autojunk=False)
-            ratio = []
+            ratio, other = [], []
             for a, b in zip(pdf["a"], pdf["b"], strict=True):
                 matcher.set_seqs(a, b)
-                ratio.append(matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0)
-            yield pdf.assign(ratio=ratio)
-
+                likely = matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least
+                ratio.append(matcher.ratio() if likely else 0.0)
+                if back:
+                    matcher.set_seqs(b, a)
+                    other.append(matcher.ratio() if likely else 0.0)
+            yield pdf.assign(ratio=ratio, **({"back": other} if back else {}))
+
+    if back:
+        return met.mapInPandas(compare, "a string, b string, ratio double, back double").filter((F.col("ratio") >= least) | (F.col("back") >= least))
     return met.mapInPandas(compare, "a string, b string, ratio double").filter(F.col("ratio") >= least)

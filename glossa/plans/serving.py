@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.functions import editorial as E
+from glossa.operators import maintenance
 from glossa.operators import serving as S
 from glossa.sources import harvest
 from glossa.tables import table
@@ -67,9 +68,30 @@ def rights_labels(spark, sf_dir):
     return found.select("doc_id", "r.license", "r.access")
 
 
-QUERIES = {f.__name__: f for f in (rule_decisions, citation_keys, answer_event_counts, report_metrics, map_json, rights_labels)}
+def evaluated_sources(spark, sf_dir):
+    """Sources as cases whose relevant documents are the first good ones by label, and rankings by length: mean metrics at 10."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id")
+    good = good.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")
+    relevant = good.groupBy("source").agg(F.sort_array(F.collect_list(F.concat_ws(":", (F.col("doc_id") / 10).cast("long"), F.col("doc_id") % 10))).alias("relevant"))  # five a source
+    cases = relevant.select(F.col("source").alias("id"), F.regexp_extract("source", "([0-9])$", 1).alias("type"), "relevant")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    hits = docs.select(F.col("source").alias("id"), (F.col("doc_id") / 10).cast("long").alias("document"), (F.col("doc_id") % 10).alias("ord"), rank.alias("rank"))
+    return maintenance.evaluated(cases, hits, 10).select("type", "metric", F.round("mean", 9).alias("mean"), "n")
+
+
+QUERIES = {f.__name__: f for f in (evaluated_sources, rule_decisions, citation_keys, answer_event_counts, report_metrics, map_json, rights_labels)}
 _PLAIN = "lower(strip_accents(translate(coalesce({}, ''), 'łŁ', 'lL')))"
 ORACLE_SQL = {
+    "evaluated_sources": """
+WITH g AS (SELECT source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5),
+h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE source IS NOT NULL QUALIFY rank <= 10),
+m AS (SELECT g.source, count(DISTINCT h.doc_id) / count(DISTINCT g.doc_id) AS recall_at_k, min(h.rank) AS first,
+             max(CASE WHEN EXISTS (SELECT 1 FROM h x WHERE x.source = g.source AND x.doc_id // 10 = g.doc_id // 10 AND abs(x.doc_id - g.doc_id) <= 1) THEN 1.0 ELSE 0.0 END) AS near_at_k
+      FROM g LEFT JOIN h ON h.source = g.source AND h.doc_id = g.doc_id GROUP BY g.source),
+u AS (SELECT regexp_extract(source, '([0-9])$', 1) AS type, unnest(['recall_at_k', 'near_at_k', 'mrr_at_k', 'hit_at_1']) AS metric, unnest([recall_at_k, near_at_k, coalesce(1.0 / first, 0), CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END]) AS v FROM m),
+a AS (SELECT * FROM u UNION ALL SELECT 'all', metric, v FROM u)
+SELECT type, metric, round(avg(CAST(v AS DOUBLE)), 9) AS mean, count(*) AS n FROM a GROUP BY type, metric""",
     "rule_decisions": """
 WITH d AS (SELECT doc_id, ['Report from ', 'Review of ', '', 'Wstęp', 'On '][doc_id % 5 + 1] || CASE WHEN doc_id % 5 = 3 THEN '' ELSE left(coalesce(text, ''), 40) END AS title,
              CASE WHEN doc_id % 13 = 0 THEN 'skip' ELSE 'licensed' END AS access, min(doc_id) OVER (PARTITION BY text) AS first, text FROM documents),
