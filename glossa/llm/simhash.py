@@ -526,7 +526,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot:
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the least doc_id, a null one counting as least.
 
-    Rows of one doc_id with different texts are different documents; rows equal in both are copies, and one stays.
+    Rows of one doc_id with different texts are different documents; rows equal in both are copies, and one stays. Ids are whole numbers or null.
     """
     found = staged(similar_groups(docs, size, similarity), "near-groups")
     own_id, own_text = _keyed(docs)

@@ -16,7 +16,8 @@ different contexts is split by distance, with the bytes that all strings of a ra
 and once more down to single strings; so no group is unbounded, and nothing is dropped.
 
 Defined cases: null is the empty text; texts shorter than ``length`` keep everything; overlaps within a document count;
-equal documents lose all of their bytes; rows of one doc_id with different texts are different documents; an empty table gives an empty result.
+equal documents lose all of their bytes; rows of one doc_id with different texts are different documents; ids are whole numbers or null; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence:
 
 
 def read_tokens(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; ``id_type`` is the kind of doc_id that was written."""
     base = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
     placed = manifest.withColumn("base", F.coalesce(base, F.lit(0)))
 
@@ -170,7 +170,7 @@ def op9_token_output(spark, sf_dir):
     """``documents`` as byte_bpe_50k.json ids with end id 2, written to Arrow stream files and read back."""
     docs = table(spark, sf_dir, "documents")
     manifest = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, new_path(spark, "tokens"))
-    return read_tokens(manifest)
+    return read_tokens(manifest, docs.schema["doc_id"].dataType.simpleString())
 
 
 QUERIES = {"op9_token_output": op9_token_output}

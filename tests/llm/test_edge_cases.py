@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import decontamination, fingerprints, html_text, line_dedup, mixing, simhash, suffix_dedup, token_counts, token_output, toxicity
 from glossa.llm.shared import new_path
@@ -218,3 +219,12 @@ def test_number_words_of_other_languages(spark):
     docs = spark.createDataFrame([(1, said.format("drei", "sieben"))], "doc_id long, text string")
     items = spark.createDataFrame([(1, said.format("vier", "neun"))], "item_id long, text string")
     assert decontamination.contaminated(docs, items).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_token_files_of_any_kind_of_id(spark, tmp_path, kind):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "three")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = token_output.op9_token_output(spark, str(tmp_path)).orderBy("start")
+    assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert [(str(r.doc_id), r.n_tokens) for r in found.collect()] == [("1", 3), ("2", 1), ("3", 2)]
