@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.operators import lemmas
+from glossa.operators import interlinear, lemmas
 from glossa.sources import markup, tagged, volumes
 from glossa.tables import table
 
@@ -56,6 +56,43 @@ def tagged_psalms(spark, sf_dir):
 _LETTERS = ("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπθρστυωχζςϋ")
 
 
+def _interlinear(spark, sf_dir):
+    """Orders as verses of three originals and two translations, their lines as words, parts as a lexicon, customers' orders as requests."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    ordinal = (F.lit(47_000_000) + F.floor(F.col("o_orderkey") / 50) * 1_000 + F.col("o_orderkey") % 50).cast("long")
+    word = F.struct(
+        F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("surface"), F.lit("").alias("lemma"), F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("n"), F.col("l_partkey") % 50)).otherwise("").alias("lemma_norm"),
+        F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("G"), F.col("l_partkey") % 200, F.when(F.col("l_partkey") % 3 == 2, "a").otherwise(""))).otherwise("").alias("strong"), F.col("l_linestatus").alias("morph"), F.lit("").alias("pos"),
+        F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("own"), F.col("l_suppkey"))).alias("gloss"),
+    )
+    tokens = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(word)).alias("tokens"))
+    verses = orders.join(tokens, "o_orderkey", "left").withColumn("ordinal", ordinal)
+    texts = verses.select("ordinal", F.explode(F.array(F.lit("GNT"), F.lit("BG"), F.when(F.col("o_orderkey") % 5 == 0, "LXX"))).alias("work"), F.col("o_orderpriority").alias("text"), "tokens").filter("work IS NOT NULL")
+    texts = texts.withColumn("tokens", F.when(F.col("work") != "BG", F.col("tokens")))
+    works = spark.createDataFrame([("GNT", "lat", "open"), ("LXX", "lat", "open"), ("WLC", "hbo", "open"), ("BG", "pl", "open"), ("SNP", "pl", "private")], "code string, language string, access string")
+    books = spark.createDataFrame([(47, "NT")], "order long, part string")
+    lexemes = table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 180").select(F.concat(F.lit("G"), "p_partkey").alias("strong"), F.col("p_brand").alias("lemma"), F.concat(F.lit("n"), F.col("p_partkey") % 50).alias("lemma_norm"), F.replace("p_name", F.lit(" "), F.lit(", ")).alias("gloss"))
+    asked = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+    start = (F.lit(47_000_000) + F.col("c_custkey") % 290 * 1_000 + F.col("c_nationkey")).cast("long")
+    requests = asked.select(F.col("c_custkey").alias("request_id"), F.lit(0).alias("place"), start.alias("start"), (start + F.col("c_custkey") % 7).alias("end"), F.when(F.col("c_custkey") % 30 == 0, "lxx").alias("asked"), F.lit("snp").alias("translation"))
+    return requests, texts, works, lexemes, books, {"NT": "GNT", "OT": "WLC", "DC": "LXX"}
+
+
+def interlinear_verses(spark, sf_dir):
+    """What each request shows: verses of the base text with their words' glosses, from the text or the lexicon, and the translation."""
+    found = interlinear.interlinear(*_interlinear(spark, sf_dir), ["SNP", "BG"])
+    words = F.coalesce("words", F.array().cast(found.schema["words"].dataType))
+    glosses = F.array_join(F.transform(words, lambda w: F.concat_ws("/", w["surface"], w["strong"], w["gloss"], w["from_dictionary"].cast("string"), w["morph"], w["lemma"])), " ")
+    return found.select("request_id", F.col("ord").cast("long").alias("ord"), "ordinal", "base", F.md5(glosses).alias("words_md5"), "translation")
+
+
+def interlinear_around(spark, sf_dir):
+    """Other originals of each request's verses, and the chapters before and after."""
+    requests, texts, works, _, books, originals = _interlinear(spark, sf_dir)
+    others = interlinear.alternatives(requests, texts, works, books, originals).groupBy("request_id").agg(F.min("code").alias("other"))
+    return interlinear.chapters_around(requests, texts).join(others, "request_id", "left").select("request_id", "before", "after", "other")
+
+
 def lemma_numbers(spark, sf_dir):
     """Words of documents in Greek letters with one of several endings, against a lexicon of some of them with another ending."""
     words = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
@@ -66,9 +103,27 @@ def lemma_numbers(spark, sf_dir):
     return lemmas.lemma_numbers(asked, held).groupBy("how").agg(F.count("*").alias("n"), F.count("strong").alias("found"), F.min("strong").alias("least"), F.max("norm").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (module_verses, definitions, volume_passages, tagged_psalms, lemma_numbers)}
+QUERIES = {f.__name__: f for f in (interlinear_verses, interlinear_around, module_verses, definitions, volume_passages, tagged_psalms, lemma_numbers)}
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_ORDINAL = "47000000 + o_orderkey // 50 * 1000 + o_orderkey % 50"
+_REQUESTS = "q AS (SELECT c_custkey AS request_id, 47000000 + c_custkey % 290 * 1000 + c_nationkey AS s, c_custkey % 7 AS more, CASE WHEN c_custkey % 30 = 0 THEN 'LXX' ELSE 'GNT' END AS base FROM customer WHERE c_custkey % 10 = 0)"
 ORACLE_SQL = {
+    "interlinear_verses": f"""
+WITH {_REQUESTS}, o AS (SELECT *, {_ORDINAL} AS ordinal FROM orders),
+v AS (SELECT request_id, base, ordinal, o_orderkey, o_orderpriority FROM q JOIN o ON ordinal BETWEEN s AND s + more WHERE base = 'GNT' OR o_orderkey % 5 = 0),
+x AS (SELECT 'G' || p_partkey AS strong, p_partkey AS k, p_brand AS lemma, 'n' || p_partkey % 50 AS norm, split_part(p_name, ' ', 1) AS gloss FROM part WHERE p_partkey BETWEEN 1 AND 180),
+m AS (SELECT norm, min(strong) AS strong FROM x GROUP BY norm),
+w AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey % 3 AS kind, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 > 0 THEN 'G' || l_partkey % 200 ELSE m.strong END AS number,
+             CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'G' || l_partkey % 200 || CASE WHEN l_partkey % 3 = 2 THEN 'a' ELSE '' END END AS raw,
+             CASE WHEN l_suppkey % 4 = 0 THEN 'own' || l_suppkey END AS own FROM lineitem LEFT JOIN m ON l_partkey % 3 = 0 AND m.norm = 'n' || l_partkey % 50),
+t AS (SELECT w.*, x.strong AS found, x.lemma, concat_ws('/', l_returnflag, coalesce(x.strong, raw), coalesce(own, x.gloss, ''), CASE WHEN own IS NULL AND x.gloss IS NOT NULL THEN 'true' ELSE 'false' END, l_linestatus, coalesce(x.lemma, '')) AS word,
+             CASE WHEN l_partkey % 3 = 0 THEN 'n' || l_partkey % 50 ELSE '' END AS norm FROM w LEFT JOIN x ON x.strong = w.number),
+g AS (SELECT l_orderkey, md5(string_agg(word, ' ' ORDER BY l_linenumber, l_returnflag, coalesce(found, raw), word)) AS words_md5 FROM t GROUP BY l_orderkey)
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY ordinal) AS ord, ordinal, base, coalesce(words_md5, md5('')) AS words_md5, o_orderpriority AS translation FROM v LEFT JOIN g ON l_orderkey = o_orderkey""",
+    "interlinear_around": f"""
+WITH {_REQUESTS}, o AS (SELECT o_orderkey, {_ORDINAL} AS ordinal FROM orders), c AS (SELECT DISTINCT ordinal - ordinal % 1000 AS c FROM o)
+SELECT request_id, (SELECT max(c) FROM c WHERE c < s - s % 1000) AS before, (SELECT min(c) FROM c WHERE c > s + more - (s + more) % 1000) AS after,
+  CASE WHEN base = 'LXX' AND EXISTS (SELECT 1 FROM o WHERE ordinal BETWEEN s AND s + more) THEN 'GNT' WHEN base = 'GNT' AND EXISTS (SELECT 1 FROM o WHERE ordinal BETWEEN s AND s + more AND o_orderkey % 5 = 0) THEN 'LXX' END AS other FROM q""",
     "module_verses": f"""
 WITH d AS (SELECT doc_id AS verse, coalesce(text, '') AS t FROM documents),
 v AS (SELECT verse, {_CLEAN.format("substr(t, 21, 60) || ' ' || ' ' || substr(t, 121, 50) || ' ' || substr(t, 171)")} AS text, {_CLEAN.format('substr(t, 81, 40)')} AS note FROM d)
