@@ -141,6 +141,62 @@ def snippet(text: Column, term: str, width: int = 220) -> Column:
     return F.when(at > 0, marked)
 
 
+# Words of the original scripts (fixed values).
+SCRIPT_WORDS = {"grc": "[Ͱ-Ͽἀ-῿]+", "hbo": "[֑-ת]+"}
+
+
+@functools.cache
+def _same_length_map() -> tuple[str, str]:
+    """Small letters without marks for every letter that decomposes or has a small one, one for one."""
+    pairs = []
+    for code in range(0x41, 0x2000):
+        plain = (unicodedata.normalize("NFKD", chr(code))[:1] or chr(code)).lower()
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold_in_place(text: Column) -> Column:
+    """``text`` in small letters without accents, each at its place."""
+    return F.translate(text, *_same_length_map())
+
+
+def hit_place(text: Column, targets: list[str], language: str, translits: list[str] = ()) -> Column:
+    """Place (from 0) of the first word of ``language``'s script whose fold is among ``targets``, else of the first of ``translits`` in the text's fold, else null."""
+    pattern = SCRIPT_WORDS[language]
+    words, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    fold = normalize_greek if language == "grc" else normalize_hebrew
+    hits = F.transform(words, lambda w: fold(w).isin(list(targets)))
+
+    def length(parts: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda total, p: total + F.length(p))
+
+    at = let(F.array_position(hits, True).cast("int"), lambda i: F.when(i > 0, length(gaps, i) + length(words, i - 1)))
+    low = fold_in_place(text)
+    found = [F.nullif(F.locate(t.lower(), low), F.lit(0)) - 1 for t in translits]
+    return F.coalesce(at, *found)
+
+
+def snippet_at(text: Column, place: Column, width: int = 220) -> Column:
+    """Half of ``width`` before a place and ``width`` behind it, trimmed, with ellipses where cut; the beginning where the place is null."""
+
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(at - width // 2, F.lit(0)), F.least(F.length(text), at + width)
+        part = F.btrim(F.substr(text, start + 1, end - start), F.lit(" \t\n\x0b\x0c\r"))
+        return F.concat(F.when(start > 0, "… ").otherwise(""), part, F.when(end < F.length(text), " …").otherwise(""))
+
+    return let(F.coalesce(place, F.lit(0)).cast("int"), cut)
+
+
+def highlight_words(text: Column, words: list[str]) -> Column:
+    """Escaped text with every match of each of ``words`` marked, one after the other."""
+    shown = escape_html(text)
+    for word in filter(None, words):
+        escaped = word.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        shown = F.regexp_replace(shown, f"(?i)({re.escape(escaped)})", "<mark>$1</mark>")
+    return shown
+
+
 def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.tables import written
 
 
 def parallel(verses: DataFrame, texts: DataFrame, works: list[str]) -> DataFrame:
@@ -105,11 +106,23 @@ def fan_back(df: DataFrame, column: str, work: Callable[[DataFrame], DataFrame])
 
 
 def fingerprint(df: DataFrame, key: str, columns: list[str], width: int = 1000) -> DataFrame:
-    """One sha256 of all rows: of the digests of buckets of ``width`` keys in order, so that no task holds all rows."""
+    """One sha256 of all rows, a tree of digests: of buckets of ``width`` keys in order, then of as many buckets, until there is one.
+
+    Keys are whole numbers, each of a row or few, so no task holds more than ``width`` digests.
+    """
     row = F.struct(F.col(key).alias("k"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
     buckets = df.groupBy(F.floor(F.col(key) / width).alias("b")).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count("*").alias("n"))
-    digests = buckets.select("b", "n", F.sha2(F.array_join(F.transform("rows", lambda r: r["h"]), ","), 256).alias("h"))
-    return digests.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), ","), 256).alias("sha256"), F.sum("n").alias("n"))
+
+    def joined(rows: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), ","), 256)
+
+    digests = written(buckets.select("b", "n", joined(F.col("rows")).alias("h")), "digests")
+    ends = digests.agg(F.min("b"), F.max("b")).first()
+    while ends[0] is not None and ends[1] - ends[0] >= width:
+        up = digests.groupBy(F.floor(F.col("b") / width).alias("b")).agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("rows"), F.sum("n").alias("n"))
+        digests = written(up.select("b", "n", joined(F.col("rows")).alias("h")), "digests")
+        ends = digests.agg(F.min("b"), F.max("b")).first()
+    return digests.groupBy().agg(joined(F.array_sort(F.collect_list(F.struct("b", "h")))).alias("sha256"), F.sum("n").alias("n"))
 
 
 def merged_names(current: Column, new: Column, exclude: Column, most: int = 12) -> Column:

@@ -160,10 +160,11 @@ def near_names(names: DataFrame, least: float = 0.9, back: bool = False) -> Data
     lengths = once.select("n").distinct()
     pairs = lengths.join(lengths.withColumnRenamed("n", "m"), F.col("m").between(F.col("n"), F.ceil(F.col("n") * (2 / least - 1)))).withColumn("d", most)
     place = F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: F.struct(k.alias("k"), F.floor(k * F.col("n") / (F.col("d") + 1)).cast("int").alias("at"), F.floor((k + 1) * F.col("n") / (F.col("d") + 1)).cast("int").alias("end")))
-    cut = pairs.select("n", "m", "d", F.explode(place).alias("p")).select("n", "m", "d", "p.*")
-    left = once.join(F.broadcast(cut), "n").select(F.col("name").alias("x"), "n", "m", "k", F.substr("name", F.col("at") + 1, F.col("end") - F.col("at")).alias("piece"))
+    cut = written(pairs.select("n", "m", "d", F.explode(place).alias("p")).select("n", "m", "d", "p.*"), "name-cuts")
+    left = once.join(F.broadcast(cut) if few(cut) else cut, "n").select(F.col("name").alias("x"), "n", "m", "k", F.substr("name", F.col("at") + 1, F.col("end") - F.col("at")).alias("piece"))
     offs = F.explode(F.sequence(F.greatest(F.col("at") - F.col("d"), F.lit(0)), F.least(F.col("at") + F.col("d"), F.col("m") - (F.col("end") - F.col("at")))))
-    right = once.withColumnRenamed("n", "m").join(F.broadcast(cut.withColumn("off", offs)), "m").select(F.col("name").alias("y"), "n", "m", "k", F.substr("name", F.col("off") + 1, F.col("end") - F.col("at")).alias("piece"))
+    shifted = written(cut.withColumn("off", offs), "name-shifts")  # grows with the square of lengths, not with names
+    right = once.withColumnRenamed("n", "m").join(F.broadcast(shifted) if few(shifted) else shifted, "m").select(F.col("name").alias("y"), "n", "m", "k", F.substr("name", F.col("off") + 1, F.col("end") - F.col("at")).alias("piece"))
     met = left.join(right.distinct(), ["n", "m", "k", "piece"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -49,9 +49,10 @@ def within_budget(df: DataFrame, keys: list[str], order: list, cost: Column, bud
 
 def replace_last(base: DataFrame, extra: DataFrame, order: list, size: int, channel: int) -> DataFrame:
     """``size`` rows of a ranking (rank): up to ``channel`` rows of ``extra`` take the places of the last ones."""
-    extra = extra.limit(channel)
-    room = size - extra.count()
-    return base.filter(F.col("rank") <= room).unionByName(extra.withColumn("rank", F.lit(room) + F.row_number().over(Window.orderBy(*order))))
+    extra = extra.limit(channel).withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # as many as the channel
+    room = F.broadcast(extra.agg((F.lit(size) - F.count("*")).alias("_room")))
+    placed = extra.crossJoin(room).withColumn("rank", F.col("_room") + F.col("_n")).drop("_n", "_room")
+    return base.crossJoin(room).filter(F.col("rank") <= F.col("_room")).drop("_room").unionByName(placed)
 
 
 def diversify(hits: DataFrame, keys: list[str], per_group: int, k: int) -> DataFrame:

@@ -126,3 +126,36 @@ def test_canonical_transliteration(spark, word, key):
     from glossa.functions import text as T
 
     assert spark.createDataFrame([(word,)], "w string").select(T.canonical_translit(F.col("w")).alias("k")).first().k == key
+
+
+def test_snippets_at_the_first_hit(spark):
+    text = "W początku " * 12 + "był λόγος i Λόγον potem " + "dalszy ciąg tekstu " * 30
+    place = lambda *a: value(spark, T.hit_place(F.col("t"), *a), t=text)
+    assert place(["λογον"], "grc") == text.index("Λόγον") and place(["λογοσ", "λογον"], "grc") == text.index("λόγος")
+    assert place(["θεοσ"], "grc") is None and place(["θεοσ"], "grc", ["absent", "POCZATKU"]) == text.index("początku")
+    at = text.index("λόγος")
+    assert value(spark, T.snippet_at(F.col("t"), F.lit(at), 100), t=text) == "… " + text[at - 50 : at + 100].strip() + " …"
+    assert value(spark, T.snippet_at(F.col("t"), F.lit(None).cast("int"), 40), t="short") == "short"
+    assert value(spark, T.highlight_words(F.col("t"), ["ala", "", "<b>"]), t="Ala <B> x") == "<mark>Ala</mark> <mark>&lt;B&gt;</mark> x"
+    hebrew = "בְּרֵאשִׁ֖ית בָּרָ֣א אֱלֹהִ֑ים"
+    assert value(spark, T.hit_place(F.col("t"), ["ברא"], "hbo"), t=hebrew) == hebrew.index("בָּרָ֣א")
+
+
+def test_a_fingerprint_is_a_tree(spark):
+    from glossa.operators import corpus
+
+    rows = [(i, f"t{i}") for i in range(130)]
+    import hashlib
+    import json
+
+    level = [(i, hashlib.sha256(json.dumps({"k": k, "t": t}, separators=(",", ":")).encode()).hexdigest()) for i, (k, t) in enumerate(rows)]
+    first = True
+    while first or level[-1][0] - level[0][0] >= 5:
+        groups = {}
+        for b, h in level:
+            groups.setdefault(b // 5, []).append(h)
+        level = [(b, hashlib.sha256(",".join(hs).encode()).hexdigest()) for b, hs in sorted(groups.items())]
+        first = False
+    wanted = hashlib.sha256(",".join(h for _, h in level).encode()).hexdigest()
+    got = corpus.fingerprint(spark.createDataFrame(rows, "k long, t string").repartition(4), "k", ["k", "t"], 5).first()
+    assert (got.sha256, got.n) == (wanted, 130)
