@@ -29,12 +29,26 @@ LEXICON_POS = {"N": "noun", "V": "verb", "A": "adjective", "Adv": "adverb", "Pre
 GENDER = {"M": "masculine", "F": "feminine", "N": "neuter", "B": "common"}
 # Hebrew codes: part of speech, then its kind, then person, gender, number and state (fixed values).
 HEBREW_POS = {"V": "verb", "N": "noun", "A": "adjective", "P": "pronoun", "S": "suffix", "T": "particle", "R": "preposition", "C": "conjunction", "D": "adverb"}
-HEBREW_STEMS = {"q": "qal", "N": "niphal", "p": "piel", "P": "pual", "h": "hiphil", "H": "hophal", "t": "hithpael"}
+HEBREW_STEMS = {
+    "q": "qal", "N": "niphal", "p": "piel", "P": "pual", "h": "hiphil", "H": "hophal", "t": "hithpael", "o": "polel", "O": "polal", "r": "hithpolel", "m": "poel", "M": "poal",
+    "k": "palel", "K": "pulal", "Q": "qal passive", "l": "pilpel", "L": "polpal", "f": "hithpalpel", "D": "nithpael", "j": "pealal", "i": "pilel", "u": "hothpaal", "c": "tiphil",
+    "v": "hishtaphel", "w": "nithpalel", "y": "nithpoel", "z": "hithpoel",
+}
+ARAMAIC_STEMS = {
+    "q": "peal", "Q": "peil", "u": "hithpeel", "p": "pael", "P": "ithpaal", "M": "hithpaal", "a": "aphel", "h": "haphel", "s": "saphel", "e": "shaphel", "H": "hophal", "i": "ithpeel",
+    "t": "hishtaphel", "v": "ishtaphel", "w": "hithaphel", "o": "polel", "z": "ithpoel", "r": "hithpolel", "f": "hithpalpel", "b": "hephal", "c": "tiphel", "m": "poel", "l": "palpel",
+    "L": "ithpalpel", "O": "ithpolel", "G": "ittaphal",
+}
 HEBREW_VERBS = {
     "p": "perfect", "q": "sequential perfect", "i": "imperfect", "w": "sequential imperfect", "h": "cohortative", "j": "jussive", "v": "imperative",
     "r": "active participle", "s": "passive participle", "a": "infinitive absolute", "c": "infinitive construct",
 }
-HEBREW_KINDS = {"Nc": "common", "Ng": "gentilic", "Np": "proper", "Ac": "cardinal", "Ao": "ordinal", "Pd": "demonstrative", "Pi": "interrogative", "Pp": "personal", "Pr": "relative"}
+HEBREW_KINDS = {
+    "Nc": "common", "Ng": "gentilic", "Np": "proper", "Ac": "cardinal", "Ag": "gentilic", "Ao": "ordinal", "Pd": "demonstrative", "Pf": "indefinite", "Pi": "interrogative", "Pp": "personal", "Pr": "relative",
+    "Sd": "directional he", "Sh": "paragogic he", "Sn": "paragogic nun", "Sp": "pronominal", "Ta": "affirmation", "Td": "definite article", "Te": "exhortation", "Ti": "interrogative", "Tj": "interjection",
+    "Tm": "demonstrative", "Tn": "negative", "To": "direct object marker", "Tr": "relative", "Rd": "with article",
+}
+PROPER_KINDS = {"m": "man", "f": "woman", "l": "place", "t": "title"}
 HEBREW_PERSON, HEBREW_GENDER = {"1": "1st person", "2": "2nd person", "3": "3rd person"}, {"m": "masculine", "f": "feminine", "b": "common", "c": "common"}
 HEBREW_NUMBER, HEBREW_STATE = {"s": "singular", "p": "plural", "d": "dual"}, {"a": "absolute", "c": "construct", "d": "determined"}
 
@@ -54,6 +68,7 @@ def greek_morphology(pos: Column, code: Column) -> Column:
 def hebrew_morphology(code: Column) -> Column:
     """Segments of a Hebrew or Aramaic code by " + ", what each says by commas; the first letter tells the language."""
     body = F.regexp_replace(F.coalesce(code, F.lit("")), "^[HA]", "")
+    aramaic = F.coalesce(code, F.lit("")).startswith("A")
 
     def segment(s: Column) -> Column:
         pos, kind = F.substr(s, F.lit(1), F.lit(1)), F.substr(s, F.lit(2), F.lit(1))
@@ -61,7 +76,10 @@ def hebrew_morphology(code: Column) -> Column:
         proper = s.startswith("Np")
         tail = F.when(verb, F.substr(s, F.lit(4))).when(pos.isin("N", "A", "P", "S"), F.substr(s, F.lit(3))).otherwise("")
         at = [F.regexp_extract(F.when(proper, "").otherwise(tail), "^([123]?)([mfbc]?)([spd]?)([acd]?)", i) for i in range(1, 5)]
-        kinds = F.when(verb, F.concat_ws(", ", named(kind, HEBREW_STEMS), named(F.substr(s, F.lit(3), F.lit(1)), HEBREW_VERBS))).otherwise(named(F.concat(pos, kind), HEBREW_KINDS))
+        stem = F.when(aramaic, named(kind, ARAMAIC_STEMS)).otherwise(named(kind, HEBREW_STEMS))
+        third = F.substr(s, F.lit(3), F.lit(1))
+        told = named(F.concat(pos, kind), HEBREW_KINDS)
+        kinds = F.when(verb, F.concat_ws(", ", stem, named(third, HEBREW_VERBS))).when(proper, F.concat_ws(", ", told, named(third, PROPER_KINDS))).otherwise(told)
         return F.concat_ws(", ", named(pos, HEBREW_POS), F.nullif(kinds, F.lit("")), *(named(a, t) for a, t in zip(at, (HEBREW_PERSON, HEBREW_GENDER, HEBREW_NUMBER, HEBREW_STATE), strict=True)))
 
     told = F.array_join(F.filter(F.transform(F.split(body, "/"), segment), lambda x: x != ""), " + ")

@@ -13,7 +13,6 @@ from glossa.tables import table
 
 GREEK = ["V-", "N-", "A-", "RA", "C-", "??"]
 CODES = ["3AAI-S--", "----NSM-", "----DPFC", "--------", "-PAPNSM-", None]
-HEBREW = ["HC/Vqw3ms", "HR/Ncmsa", "HNp", "HTd/Aafpd", "ANcmsd", "HVhc", "HPp3ms", ""]
 LEXICON = ["G:N-M", "H:V", "N-L", "H:N-F-P", "G:Adv", "G:X-M", "H:A-N"]
 
 
@@ -27,8 +26,21 @@ def greek_morphology(spark, sf_dir):
     return rows.groupBy(E.greek_morphology(F.col("pos"), F.col("code")).alias("told")).agg(F.count("*").alias("n"))
 
 
+def _of_keys(names, column: str):
+    """One of the keys of a table of codes, by a column's number."""
+    return F.element_at(F.array(*map(F.lit, names)), (F.col(column) % len(names) + 1).cast("int"))
+
+
 def hebrew_morphology(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(_pick("l_partkey", HEBREW).alias("code"))
+    """Codes of all kinds, stems and forms that numbers of lines make, with prefixes, told in words."""
+    aramaic = F.col("l_linenumber") % 2 == 0
+    stem = F.when(aramaic, _of_keys(E.ARAMAIC_STEMS, "l_suppkey")).otherwise(_of_keys(E.HEBREW_STEMS, "l_suppkey"))
+    form = F.concat(_of_keys(E.HEBREW_PERSON, "l_suppkey"), _of_keys(E.HEBREW_GENDER, "l_partkey"), _of_keys(E.HEBREW_NUMBER, "l_orderkey"), _of_keys(E.HEBREW_STATE, "l_suppkey"))
+    kind = _of_keys(E.HEBREW_KINDS, "l_partkey")
+    proper = F.concat(kind, _of_keys(E.PROPER_KINDS, "l_suppkey"))
+    body = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("V"), stem, _of_keys(E.HEBREW_VERBS, "l_partkey"), form)).when(kind == "Np", proper).when(F.substr(kind, F.lit(1), F.lit(1)).isin("T", "R"), kind).otherwise(F.concat(kind, form))
+    code = F.concat(F.when(aramaic, "A").otherwise("H"), F.when(F.col("l_orderkey") % 4 == 1, "C/").otherwise(""), F.when(F.col("l_orderkey") % 5 == 2, "R/").otherwise(""), body)
+    rows = table(spark, sf_dir, "lineitem").select(code.alias("code"))
     return rows.groupBy("code", E.hebrew_morphology(F.col("code")).alias("told")).agg(F.count("*").alias("n"))
 
 
@@ -93,9 +105,22 @@ def osis_ranges(spark, sf_dir):
     return rows.select("o_orderkey", found.alias("r")).select("o_orderkey", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
+#: Signs of a numeral's units, tens and hundreds by their digit, from 0 on.
+_UNITS = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
+
+
+def _place(digit, one: str, five: str, ten: str):
+    signs = F.element_at(F.array(*map(F.lit, _UNITS)), (digit + 1).cast("int"))
+    return F.translate(signs, "ivx", one + five + ten)
+
+
 def roman_numerals(spark, sf_dir):
-    numerals = ["i", "iv", "IX", "xl", "MCMXC", "xiv", "abc", "CDXLIV"]
-    return table(spark, sf_dir, "part").select(_pick("p_partkey", numerals).alias("numeral")).groupBy("numeral", E.roman(F.col("numeral")).alias("value")).agg(F.count("*").alias("n"))
+    """Keys of parts written as numerals, in capitals or not, and read again; others are no numerals."""
+    n = F.col("p_partkey") % 3999 + 1
+    digit = lambda d: F.floor(n / d) % 10
+    written_ = F.concat(F.repeat(F.lit("m"), (n / 1000).cast("int")), _place(digit(100), "c", "d", "m"), _place(digit(10), "x", "l", "c"), _place(digit(1), "i", "v", "x"))
+    numeral = F.when(F.col("p_partkey") % 7 == 3, F.concat(written_, F.lit("?"))).when(F.col("p_partkey") % 2 == 0, F.upper(written_)).otherwise(written_)
+    return table(spark, sf_dir, "part").select("p_partkey", E.roman(numeral).alias("value"))
 
 
 def citation_checks(spark, sf_dir):
@@ -220,23 +245,32 @@ def _of(column: str, values: list) -> str:
     return f"[{listed}][CAST({column} % {len(values)} + 1 AS INT)]"
 
 
+def _key_of(names, column: str) -> str:
+    return _of(column, list(names))
+
+
 def _case(of: str, names: dict[str, str]) -> str:
     return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
-_HEBREW_TOLD = {
-    "HC/Vqw3ms": "conjunction + verb, qal, sequential imperfect, 3rd person, masculine, singular", "HR/Ncmsa": "preposition + noun, common, masculine, singular, absolute", "HNp": "noun, proper",
-    "HTd/Aafpd": "particle + adjective, feminine, plural, determined", "ANcmsd": "Aramaic: noun, common, masculine, singular, determined", "HVhc": "verb, hiphil, infinitive construct",
-    "HPp3ms": "pronoun, personal, 3rd person, masculine, singular", "": "",
-}
+  # fmt: skip
 _LEXICON_TOLD = {"G:N-M": "noun, masculine", "H:V": "verb", "N-L": "place name", "H:N-F-P": "proper name", "G:Adv": "adverb", "G:X-M": "masculine", "H:A-N": "adjective, neuter"}
 
 ORACLE_SQL = {
     "greek_morphology": f"""
 WITH r AS (SELECT {_of('l_partkey', GREEK)} AS pos, rpad(coalesce({_of('l_suppkey', CODES)}, ''), 8, '-') AS c FROM lineitem)
 SELECT concat_ws(', ', {_case('pos', E.GREEK_POS)}, {', '.join(_case(f'substr(c, {i + 1}, 1)', E.GREEK_PLACES[i]) for i in E.GREEK_ORDER)}) AS told, count(*) AS n FROM r GROUP BY 1""",
-    "hebrew_morphology": f"SELECT {_of('l_partkey', HEBREW)} AS code, {_case(_of('l_partkey', HEBREW), _HEBREW_TOLD)} AS told, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "hebrew_morphology": f"""
+WITH k AS (SELECT l_linenumber % 2 = 0 AS aramaic, l_orderkey, {_key_of(E.ARAMAIC_STEMS, 'l_suppkey')} AS a, {_key_of(E.HEBREW_STEMS, 'l_suppkey')} AS h, {_key_of(E.HEBREW_VERBS, 'l_partkey')} AS v, {_key_of(E.HEBREW_PERSON, 'l_suppkey')} AS p,
+             {_key_of(E.HEBREW_GENDER, 'l_partkey')} AS g, {_key_of(E.HEBREW_NUMBER, 'l_orderkey')} AS n, {_key_of(E.HEBREW_STATE, 'l_suppkey')} AS s, {_key_of(E.HEBREW_KINDS, 'l_partkey')} AS k, {_key_of(E.PROPER_KINDS, 'l_suppkey')} AS r FROM lineitem),
+t AS (SELECT *, concat_ws(', ', {_case('p', E.HEBREW_PERSON)}, {_case('g', E.HEBREW_GENDER)}, {_case('n', E.HEBREW_NUMBER)}, {_case('s', E.HEBREW_STATE)}) AS form FROM k),
+w AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 'V' || CASE WHEN aramaic THEN a ELSE h END || v || p || g || n || s WHEN k = 'Np' THEN k || r WHEN left(k, 1) IN ('T', 'R') THEN k ELSE k || p || g || n || s END AS body,
+             CASE WHEN l_orderkey % 3 = 0 THEN concat_ws(', ', 'verb', CASE WHEN aramaic THEN {_case('a', E.ARAMAIC_STEMS)} ELSE {_case('h', E.HEBREW_STEMS)} END, {_case('v', E.HEBREW_VERBS)}, form)
+                  WHEN k = 'Np' THEN concat_ws(', ', 'noun', 'proper', {_case('r', E.PROPER_KINDS)})
+                  ELSE concat_ws(', ', {_case('left(k, 1)', E.HEBREW_POS)}, {_case('k', E.HEBREW_KINDS)}, CASE WHEN left(k, 1) NOT IN ('T', 'R') THEN form END) END AS told FROM t)
+SELECT CASE WHEN aramaic THEN 'A' ELSE 'H' END || CASE WHEN l_orderkey % 4 = 1 THEN 'C/' ELSE '' END || CASE WHEN l_orderkey % 5 = 2 THEN 'R/' ELSE '' END || body AS code,
+  CASE WHEN aramaic THEN 'Aramaic: ' ELSE '' END || CASE WHEN l_orderkey % 4 = 1 THEN 'conjunction + ' ELSE '' END || CASE WHEN l_orderkey % 5 = 2 THEN 'preposition + ' ELSE '' END || told AS told, count(*) AS n FROM w GROUP BY 1, 2""",
     "lexicon_pos": f"SELECT {_of('p_partkey', LEXICON)} AS code, {_case(_of('p_partkey', LEXICON), _LEXICON_TOLD)} AS told, count(*) AS n FROM part GROUP BY 1, 2",
     "original_terms": """
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'και λογοσ' WHEN 1 THEN 'εν και λογοσ' ELSE 'και λογοσ' END AS greek, CASE doc_id % 3 WHEN 0 THEN 'בראשית' WHEN 1 THEN '' ELSE 'אור' END AS hebrew FROM documents""",
@@ -257,8 +291,7 @@ SELECT p_partkey, concat_ws(', ', p_brand, '“' || p_name || '”', CASE WHEN p
 WITH r AS (SELECT o_orderkey, o_orderkey % 50 + 1 AS c, o_custkey % 30 + 1 AS v, o_orderkey % 3 = 0 AS w, o_orderkey % 4 AS k FROM orders)
 SELECT o_orderkey, CASE WHEN k <> 1 THEN 1000000 + c * 1000 + CASE WHEN w THEN 0 ELSE v END END AS start,
        CASE WHEN k = 1 THEN NULL WHEN k = 0 THEN 2000000 + (c + 1) * 1000 + 2 ELSE 1000000 + c * 1000 + CASE WHEN w THEN 999 ELSE v END END AS "end" FROM r""",
-    "roman_numerals": f"""
-SELECT {_of('p_partkey', ["i", "iv", "IX", "xl", "MCMXC", "xiv", "abc", "CDXLIV"])} AS numeral, CAST([1, 4, 9, 40, 1990, 14, NULL, 444][CAST(p_partkey % 8 + 1 AS INT)] AS BIGINT) AS value, count(*) AS n FROM part GROUP BY 1, 2""",
+    "roman_numerals": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 3 THEN p_partkey % 3999 + 1 END AS value FROM part",
     "citation_checks": """
 WITH e AS (SELECT event_id, event_id % 4 + 1 AS b, event_id % 6 AS o, event_id % 12 AS z FROM events),
 p AS (SELECT event_id, '[P1, 2-' || b || ']' AS marker, CASE b WHEN 1 THEN 'P1' WHEN 2 THEN 'P1 P2' WHEN 3 THEN 'P1 P2 P3' ELSE 'P1 P2 P3 P4' END AS refs, CASE b WHEN 4 THEN 'P4' ELSE '' END AS missing,

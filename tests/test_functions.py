@@ -159,3 +159,16 @@ def test_a_fingerprint_is_a_tree(spark):
     wanted = hashlib.sha256(",".join(h for _, h in level).encode()).hexdigest()
     got = corpus.fingerprint(spark.createDataFrame(rows, "k long, t string").repartition(4), "k", ["k", "t"], 5).first()
     assert (got.sha256, got.n) == (wanted, 130)
+
+
+def test_hebrew_codes(spark):
+    from glossa.functions import editorial as E
+
+    told = {
+        "HC/Vqw3ms": "conjunction + verb, qal, sequential imperfect, 3rd person, masculine, singular", "HR/Ncmsa": "preposition + noun, common, masculine, singular, absolute", "HNpl": "noun, proper, place", "HNp": "noun, proper",
+        "HTd/Aafpd": "particle, definite article + adjective, feminine, plural, determined", "ANcmsd": "Aramaic: noun, common, masculine, singular, determined", "HVhc": "verb, hiphil, infinitive construct",
+        "HPp3ms": "pronoun, personal, 3rd person, masculine, singular", "AVap3fs": "Aramaic: verb, aphel, perfect, 3rd person, feminine, singular", "HRd/To": "preposition, with article + particle, direct object marker", "HSp1cp": "suffix, pronominal, 1st person, common, plural",
+        "HX": "", "": "", "HD": "adverb", "HC": "conjunction",
+    }
+    got = spark.createDataFrame([(c,) for c in told], "c string").select("c", E.hebrew_morphology(F.col("c")).alias("t")).collect()
+    assert {r.c: r.t for r in got} == told
