@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import new_path, staged, table
-from glossa.llm.tokens import pieces
+from glossa.llm.shared import new_path, slices, staged, table
+from glossa.llm.tokens import many, pieces
 
 #: Ids of a sequence, sequences of a batch, and bytes of text from which on there are more shards than shuffle partitions.
 SEQUENCE, ROWS, SHARD = 2048, 64, 256 << 20
+#: Documents that are encoded together.
+TOGETHER = 2_048
 MANIFEST = "shard int, n_docs long, n_tokens long, sequence int, rows int, first_at long, batch_bytes long, ids_file string, docs_file string"
 
 
@@ -111,14 +113,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, out = pieces(path), None
+        model, encoded, out = pieces(path), many(path), None
         end = np.asarray([end_id], model.kind).tobytes()
         doc_ids, lengths = [], []
-        for batch in batches:
+        for batch in slices(batches, TOGETHER):
             out = out or ShardWriter(folder, model.kind, sequence, rows)
             doc_ids.append(batch.column("doc_id"))
-            for text in batch.column("text").to_pylist():
-                ids = model.ids(text or "") + end
+            for ids in encoded(batch.column("text").to_pylist()):
+                ids += end
                 lengths.append(len(ids) // model.kind.itemsize)
                 out.add(ids)
         if out is None:

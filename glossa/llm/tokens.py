@@ -11,11 +11,13 @@ from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 
-#: Words whose encoding a worker keeps (the cache starts anew beyond that), and letters of the longest one kept.
-CACHE, LONGEST = 400_000, 64
+#: Pre-tokens, and words of ``Many``, whose encoding a worker keeps (a cache starts anew beyond that), and letters of the longest one kept.
+CACHE, WORDS, LONGEST = 400_000, 1_000_000, 64
 
 # Fixed pattern of byte-level pre-tokenization.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -102,6 +104,97 @@ class Lookup:
         return found
 
 
+#: Marks that end a word, and characters of texts that are cut together.
+MARKS, CHARS = ".,;:!?", 6_000_000
+
+
+class Many:
+    """Token ids of many texts at a time: words that were not seen before are encoded together, in one call.
+
+    Texts' words are numbered by Arrow, so that Python looks at distinct ones only. A word of a plain text begins with its space or line feed, before which the library cuts, so of a text of words side by side the tokens are
+    those of each word in a row; that each word's bytes end where a token ends is checked.
+    """
+
+    def __init__(self, model: Pieces) -> None:
+        self.model, self.words = model, {}
+        self.marks = {c: model.pack(model.encode(c)) for c in MARKS}
+        self.bytes = np.zeros(model.vocabulary, np.int64)
+        for token, i in model.tokens.items():
+            self.bytes[i] = len(token)  # byte-level tokens have a character for each byte
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        simple = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.model.whole(text) or not plain(text):
+                out[i] = self.model.ids(text)
+            else:
+                simple.append(i)
+        begin = 0
+        while begin < len(simple):
+            end, chars = begin, 0
+            while end < len(simple) and (end == begin or chars < CHARS):
+                chars += len(texts[simple[end]])
+                end += 1
+            for i, ids in zip(simple[begin:end], self._together([texts[i] for i in simple[begin:end]]), strict=True):
+                out[i] = ids
+            begin = end
+        return out
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: their words are cut and numbered by Arrow, each distinct one looked up once, and put together by number."""
+        cut = pa.array(texts, pa.large_string())
+        for space in (" ", "\n"):
+            cut = pc.replace_substring(cut, space, "\0" + space)  # no plain text holds a zero
+        lists = pc.split_pattern(cut, "\0")
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        values = list(map(self.words.get, words))
+        if None in values:
+            new = self._learn({w for w, v in zip(words, values, strict=True) if v is None})
+            values = [new[w] if v is None else v for w, v in zip(words, values, strict=True)]
+        size = self.model.kind.itemsize
+        n = np.fromiter(map(len, values), np.int64, len(values)) // size
+        held, begin = np.frombuffer(b"".join(values), self.model.kind), np.cumsum(n) - n
+        n_of = n[code]
+        ends = np.cumsum(n_of)
+        at = np.repeat(begin[code] - (ends - n_of), n_of)
+        at += np.arange(len(at))
+        raw = held[at].tobytes()
+        last = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py() - 1  # a plain text has a word at least
+        stops = (ends[last] * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known: of those that end in a mark behind a letter, which the library cuts there, the word's without it and the mark's."""
+        marked = [w for w in words if w[-1] in MARKS and w[-2:-1].isalpha()]
+        bare = words.difference(marked)
+        known = self.words
+        bare.update([b for w in marked if (b := w[:-1]) not in known])
+        side = [w for w in bare if w[0] in " \n"]
+        new, kind = {}, self.model.kind
+        if side:
+            ids = np.asarray(self.model.together("".join(side)), kind)
+            ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in side])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and (ends[at] == wanted).all():
+                raw, after = ids.tobytes(), ((at + 1) * kind.itemsize).tolist()
+                new = {w: raw[a:b] for w, a, b in zip(side, [0, *after], after, strict=False)}
+        for w in bare - new.keys():
+            new[w] = self.model.pack(self.model.encode(w))
+        for w in marked:
+            b = w[:-1]
+            new[w] = (new[b] if b in new else known[b]) + self.marks[w[-1]]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        self.words.update(new)
+        for w in [w for w in new if len(w) > LONGEST]:
+            del self.words[w]
+        return new
+
+
 class Pieces:
     """Token ids of whole texts, as the library gives them, without begin, end or added special tokens.
 
@@ -116,8 +209,8 @@ class Pieces:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda text: model.encode(text, num_threads=1)
-            self.vocabulary = model.get_piece_size()
+            self.encode = self.together = lambda text: model.encode(text, num_threads=1)
+            self.vocabulary, self.tokens = model.get_piece_size(), {}
         else:
             from tokenizers import Tokenizer
 
@@ -125,7 +218,8 @@ class Pieces:
             model.no_truncation()
             model.no_padding()
             self.encode = lambda text: model.encode(text, add_special_tokens=False).ids
-            self.vocabulary = model.get_vocab_size()
+            self.together = lambda text: model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            self.vocabulary, self.tokens = model.get_vocab_size(), model.get_vocab()
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             pre = spec.get("pre_tokenizer") or {}
@@ -150,6 +244,14 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+_many: dict[str, Many] = {}
+
+
+def many(path: str) -> Many:
+    """The worker's ``Many`` for ``path``; what it has learnt lives as long as the worker."""
+    if path not in _many:
+        _many[path] = Many(pieces(path))
+    return _many[path]
 
 
 def pieces(path: str) -> Pieces:
