@@ -33,7 +33,7 @@ from glossa.llm.tokens import many, pieces
 #: Ids of a sequence, sequences of a batch, and bytes of text from which on there are more shards than shuffle partitions.
 SEQUENCE, ROWS, SHARD = 2048, 64, 256 << 20
 #: Documents that are encoded together.
-TOGETHER = 2_048
+TOGETHER = 1_024
 MANIFEST = "shard int, n_docs long, n_tokens long, sequence int, rows int, first_at long, batch_bytes long, ids_file string, docs_file string"
 
 
@@ -105,11 +105,16 @@ def read_sequence(manifest_row, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes of text there are: twice the size that Spark knows of files, else counted."""
+    known = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 2 * known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, sequence: int = SEQUENCE, rows: int = ROWS, partitions: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) to ``folder``; returns the manifest, one row per shard that has documents."""
     if partitions is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // SHARD))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

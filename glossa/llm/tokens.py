@@ -105,7 +105,7 @@ class Lookup:
 
 
 #: Marks that end a word, and characters of texts that are cut together.
-MARKS, CHARS = ".,;:!?", 6_000_000
+MARKS, CHARS = ".,;:!?", 4_000_000
 
 
 class Many:
@@ -128,10 +128,10 @@ class Many:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.model.whole(text) or not plain(text):
-                out[i] = self.model.ids(text)
+            if plain(text) and not self.model.by_library and not any(s in text for s in self.model.special):
+                simple.append(i)  # all characters of plain texts are assigned
             else:
-                simple.append(i)
+                out[i] = self.model.ids(text)
         begin = 0
         while begin < len(simple):
             end, chars = begin, 0
@@ -156,15 +156,15 @@ class Many:
             new = self._learn({w for w, v in zip(words, values, strict=True) if v is None})
             values = [new[w] if v is None else v for w, v in zip(words, values, strict=True)]
         size = self.model.kind.itemsize
-        n = np.fromiter(map(len, values), np.int64, len(values)) // size
-        held, begin = np.frombuffer(b"".join(values), self.model.kind), np.cumsum(n) - n
+        n = np.fromiter(map(len, values), np.int32, len(values)) // size
+        held, begin = np.frombuffer(b"".join(values), self.model.kind), np.cumsum(n, dtype=np.int32) - n
         n_of = n[code]
-        ends = np.cumsum(n_of)
+        ends = np.cumsum(n_of, dtype=np.int32)  # of a few million characters
         at = np.repeat(begin[code] - (ends - n_of), n_of)
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         raw = held[at].tobytes()
         last = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py() - 1  # a plain text has a word at least
-        stops = (ends[last] * size).tolist()
+        stops = (ends[last].astype(np.int64) * size).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
