@@ -86,9 +86,13 @@ def _drained(df, mode):
     return streams.drained(df, mode, scratch(df.sparkSession, "stream"))
 
 
+def _stream(spark, sf_dir, name):
+    """A table as a stream of its files, be it one file or a folder of them: a pattern, as a stream takes no path of one file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
 def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_hourly_requests(spark, sf_dir):
@@ -122,8 +126,7 @@ def stream_status(spark, sf_dir):
 
 def stream_without_tag(spark, sf_dir):
     """Turns of conversations as deltas that cut a tag anywhere; what stands in it is gone at the end."""
-    schema = table(spark, sf_dir, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    turns = _stream(spark, sf_dir, "conversations")
     payload = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" <thi"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("nk>"), "text", F.lit("</th"))).otherwise(F.concat(F.lit("ink> "), "text"))
     deltas = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), payload.alias("payload"), (F.col("turn") == 7).alias("last"))
     out = _drained(streams.without_tag(deltas, forget=None), "append")
