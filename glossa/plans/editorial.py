@@ -178,13 +178,13 @@ def occurrence_sample(spark, sf_dir):
 
 
 def interlinear(spark, sf_dir):
-    """Words of each document with a gloss: of the word, else of its stem, else none; how many there are of each line."""
+    """Every word of every line of each document with its gloss: of the word (exact), else of its stem, else none."""
     glosses = table(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, ["the", "and", "of", "to", "in"])), F.col("n_nationkey") % 5 + 1).alias("w"), F.col("n_name").alias("g")).groupBy("w").agg(F.min("g").alias("g"))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text")).select("doc_id", "line", F.explode(T.words(F.col("text"))).alias("word"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text")).select("doc_id", "line", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
     stem = F.regexp_replace("word", "(ed|s)$", "")
     exact, loose = glosses.toDF("w1", "g1"), glosses.toDF("w2", "g2")
     glossed = lines.join(F.broadcast(exact), F.col("word") == F.col("w1"), "left").join(F.broadcast(loose), stem == F.col("w2"), "left")  # five glosses
-    return glossed.groupBy("doc_id", "line").agg(F.count("*").alias("words"), F.count("g1").alias("exact"), F.count(F.coalesce("g1", "g2")).alias("glossed"), F.min(F.coalesce("g1", "g2")).alias("least"))
+    return glossed.select("doc_id", "line", F.col("pos").cast("long").alias("pos"), "word", F.coalesce("g1", "g2").alias("gloss"), F.col("g1").isNotNull().alias("exact"))
 
 
 def answer_metrics(spark, sf_dir):
@@ -317,9 +317,10 @@ SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, v
     "interlinear": """
 WITH g AS (SELECT ['the', 'and', 'of', 'to', 'in'][n_nationkey % 5 + 1] AS w, min(n_name) AS g FROM nation GROUP BY 1),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
-t AS (SELECT doc_id, CAST(line AS INT) AS line, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS word FROM l)
-SELECT doc_id, line, count(*) AS words, count(a.g) AS exact, count(coalesce(a.g, b.g)) AS glossed, min(coalesce(a.g, b.g)) AS least
-FROM t LEFT JOIN g a ON word = a.w LEFT JOIN g b ON regexp_replace(word, '(ed|s)$', '') = b.w GROUP BY doc_id, line""",
+w AS (SELECT doc_id, CAST(line AS INT) AS line, regexp_extract_all(lower(t), '[a-z]+') AS ws FROM l),
+t AS (SELECT doc_id, line, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w)
+SELECT doc_id, line, CAST(pos AS BIGINT) AS pos, word, coalesce(a.g, b.g) AS gloss, a.g IS NOT NULL AS exact
+FROM t LEFT JOIN g a ON word = a.w LEFT JOIN g b ON regexp_replace(word, '(ed|s)$', '') = b.w""",
     "answer_metrics": f"""
 WITH d AS (SELECT lang, CASE WHEN quality = 1 THEN (list_contains({_WORDS}, 'the')::INT + list_contains({_WORDS}, 'with')::INT + list_contains({_WORDS}, 'zzz')::INT) / 3.0::DOUBLE END AS terms,
        CAST(toxic = CASE WHEN length(text) < 300 THEN 1 ELSE 0 END AS DOUBLE) AS refusal FROM documents JOIN labels USING (doc_id))
