@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.operators.index import _read
-from glossa.tables import written
+from glossa.tables import scratch, written
 
-#: Calls of a task at a time, tries of a row, first and longest wait in seconds, rows of a round.
-WORKERS, TRIES, FIRST_WAIT, LONGEST_WAIT, ROUND = 4, 5, 5.0, 120.0, 100_000
+#: Calls of a task at a time, tries of a row, first and longest wait in seconds, rows of a round, and rounds beyond which a round has more rows.
+WORKERS, TRIES, FIRST_WAIT, LONGEST_WAIT, ROUND, MOST_ROUNDS = 4, 5, 5.0, 120.0, 100_000, 40
+#: Seconds for which a task goes by its last look at the stop.
+LOOK = 0.2
 
 
 class TryAgainError(Exception):
@@ -56,8 +58,13 @@ def results(rows: DataFrame, call: Callable[[str], str], flag: str, workers: int
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, path = pyarrow.fs.FileSystem.from_uri(flag)
+        next_look = 0.0
 
         def stopped() -> bool:
+            nonlocal next_look
+            if (now := time.monotonic()) < next_look:
+                return False
+            next_look = now + LOOK
             return files.get_file_info(path).type != pyarrow.fs.FileType.NotFound
 
         def one(payload: str) -> tuple[str | None, str | None]:
@@ -103,7 +110,7 @@ def results(rows: DataFrame, call: Callable[[str], str], flag: str, workers: int
 def work_off(rows: DataFrame, call: Callable[[str], str], path: str, round_rows: int = ROUND, again: bool = False, **limits) -> bool:
     """Ask for all ``rows`` (id, payload) that the results at ``path`` do not have, round by round; whether all are done.
 
-    Results are appended to ``path``/results; ids are unique. With ``again`` rows that failed are asked once more. A stop of an earlier run counts no more.
+    A round reads its own rows only, so the work grows with the rows. Results are appended to ``path``/results; ids are unique. With ``again`` rows that failed are asked once more. A stop of an earlier run counts no more.
     """
     spark, flag = rows.sparkSession, f"{path}/stops/{uuid.uuid4().hex}"
     files, folder = pyarrow.fs.FileSystem.from_uri(f"{path}/stops")
@@ -112,10 +119,15 @@ def work_off(rows: DataFrame, call: Callable[[str], str], path: str, round_rows:
     if done is not None:
         rows = rows.join(done.filter("error IS NULL") if again else done, "id", "left_anti")
     rows = written(rows.select("id", "payload"), "outside-rows")
-    rounds = -(-rows.count() // round_rows)
+    rounds = min(-(-rows.count() // round_rows), MOST_ROUNDS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch(spark, "outside-rounds")
+    hashed = F.xxhash64("id")
+    if rounds:
+        each = rows.withColumn("round", F.pmod(hashed, F.lit(rounds)).cast("int")).repartition(rounds * n, "round", F.pmod(F.shiftright(hashed, 20), F.lit(n)))
+        each.write.partitionBy("round").parquet(dealt)
     for k in range(rounds):
-        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k).repartition(n)
+        part = spark.read.schema(rows.schema).parquet(f"{dealt}/round={k}") if _read(spark, f"{dealt}/round={k}") is not None else rows.limit(0)
         results(part, call, flag, **limits).withColumn("asked_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/results")
         stop_at = pyarrow.fs.FileSystem.from_uri(flag)
         if stop_at[0].get_file_info(stop_at[1]).type != pyarrow.fs.FileType.NotFound:
