@@ -113,11 +113,22 @@ def alternatives(requests: DataFrame, texts: DataFrame, works: DataFrame, books:
 def chapters_around(requests: DataFrame, verses: DataFrame) -> DataFrame:
     """request_id, before, after: the chapters (their ordinals without a verse) next to the first range's beginning and the last one's end that ``verses`` (ordinal) have.
 
-    Chapters are a canon's dimension, some thousands at most; requests meet them as one sorted list.
+    Chapters that requests name are looked up once each, among those of their book, or else in the nearest book that has any; books are a
+    canon's dimension, and go as one sorted list.
     """
-    chapter = (F.col("ordinal") - F.col("ordinal") % 1_000).alias("c")
-    listed = F.broadcast(verses.select(chapter).distinct().agg(F.sort_array(F.collect_list("c")).alias("_chapters")))
+    book = F.floor(F.col("c") / 1_000_000)
+    held = written(verses.select((F.col("ordinal") - F.col("ordinal") % 1_000).alias("c")).distinct(), "chapters")
     ends = requests.groupBy("request_id").agg(F.min_by("start", "place").alias("s"), F.max_by("end", "place").alias("e"))
-    first, last = F.col("s") - F.col("s") % 1_000, F.col("e") - F.col("e") % 1_000
-    joined = ends.crossJoin(listed)
-    return joined.select("request_id", F.array_max(F.filter("_chapters", lambda c: c < first)).alias("before"), F.array_min(F.filter("_chapters", lambda c: c > last)).alias("after"))
+    ends = ends.select("request_id", (F.col("s") - F.col("s") % 1_000).alias("first"), (F.col("e") - F.col("e") % 1_000).alias("last"))
+    named = ends.select(F.explode(F.array("first", "last")).alias("c")).filter("c IS NOT NULL").distinct()
+    every = held.select("c", F.col("c").alias("own")).unionByName(named.select("c", F.lit(None).cast("long").alias("own"))).groupBy("c").agg(F.max("own").alias("own"), F.count_if(F.col("own").isNull()).alias("named"))
+    order = Window.partitionBy(book).orderBy("c")
+    inner = every.select("c", "named", F.max("own").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("own").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    books = F.broadcast(held.groupBy(book.alias("book")).agg(F.min("c").alias("low"), F.max("c").alias("high")).agg(F.sort_array(F.collect_list(F.struct("book", "low", "high"))).alias("_books")))
+    earlier = F.array_max(F.transform(F.filter("_books", lambda b: b["book"] < book), lambda b: b["high"]))
+    later = F.array_min(F.transform(F.filter("_books", lambda b: b["book"] > book), lambda b: b["low"]))
+    near = inner.filter("named > 0").crossJoin(books).select("c", F.coalesce("before", earlier).alias("before"), F.coalesce("after", later).alias("after"))
+    near = written(near, "chapters-near")
+    side = F.broadcast(near) if few(near) else near
+    got = ends.join(side.select(F.col("c").alias("first"), "before"), "first", "left").join(side.select(F.col("c").alias("last"), "after"), "last", "left")
+    return got.select("request_id", "before", "after")

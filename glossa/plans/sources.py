@@ -56,7 +56,7 @@ def tagged_psalms(spark, sf_dir):
 _LETTERS = ("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπθρστυωχζςϋ")
 
 
-def _interlinear(spark, sf_dir):
+def _interlinear(spark, sf_dir, words=True):
     """Orders as verses of three originals and two translations, their lines as words, parts as a lexicon, customers' orders as requests."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     ordinal = (F.lit(47_000_000) + F.floor(F.col("o_orderkey") / 50) * 1_000 + F.col("o_orderkey") % 50).cast("long")
@@ -66,7 +66,7 @@ def _interlinear(spark, sf_dir):
         F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("own"), F.col("l_suppkey"))).alias("gloss"),
     )
     tokens = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(word)).alias("tokens"))
-    verses = orders.join(tokens, "o_orderkey", "left").withColumn("ordinal", ordinal)
+    verses = (orders.join(tokens, "o_orderkey", "left") if words else orders.withColumn("tokens", F.lit(None).cast(tokens.schema["tokens"].dataType))).withColumn("ordinal", ordinal)
     texts = verses.select("ordinal", F.explode(F.array(F.lit("GNT"), F.lit("BG"), F.when(F.col("o_orderkey") % 5 == 0, "LXX"))).alias("work"), F.col("o_orderpriority").alias("text"), "tokens").filter("work IS NOT NULL")
     texts = texts.withColumn("tokens", F.when(F.col("work") != "BG", F.col("tokens")))
     works = spark.createDataFrame([("GNT", "lat", "open"), ("LXX", "lat", "open"), ("WLC", "hbo", "open"), ("BG", "pl", "open"), ("SNP", "pl", "private")], "code string, language string, access string")
@@ -88,7 +88,7 @@ def interlinear_verses(spark, sf_dir):
 
 def interlinear_around(spark, sf_dir):
     """Other originals of each request's verses, and the chapters before and after."""
-    requests, texts, works, _, books, originals = _interlinear(spark, sf_dir)
+    requests, texts, works, _, books, originals = _interlinear(spark, sf_dir, words=False)
     others = interlinear.alternatives(requests, texts, works, books, originals).groupBy("request_id").agg(F.min("code").alias("other"))
     return interlinear.chapters_around(requests, texts).join(others, "request_id", "left").select("request_id", "before", "after", "other")
 
