@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import bitmaps, corpus, windows
 from glossa.operators.search import K1, B
-from glossa.tables import few
+from glossa.tables import few, slices
 
 #: Folders of the index; a search reads those of its terms only.
 BUCKETS = 64
@@ -21,11 +25,42 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """bucket, term, docs, tfs, lens: the words of ``docs`` (doc_id, text), one row for each word of some hundred texts, so that a word moves once for many of them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cut = pc.split_pattern_regex(batch.column("low"), "[^a-z]+")
+            words, row = pc.list_flatten(cut), pc.list_parent_indices(cut).to_numpy()
+            real = pc.not_equal(words, "")
+            coded, row = words.filter(real).dictionary_encode(), row[real.to_numpy(zero_copy_only=False)]
+            n = batch.num_rows
+            length = np.bincount(row, minlength=n).astype(np.int32)
+            pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + row, return_counts=True)
+            term, row = np.divmod(pairs, n)
+            ends = pa.array(np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term)).astype(np.int32))
+            lists = (batch.column("doc_id").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(length[row]))
+            yield pa.record_batch([coded.dictionary, *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=["term", "docs", "tfs", "lens"])
+
+    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return low.mapInArrow(count, f"term string, docs array<{kind}>, tfs array<int>, lens array<int>").withColumn("bucket", bucket(F.col("term")))
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    each = blocks.select("bucket", "term", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p"))
+    return each.select("bucket", "term", F.col("p.docs").alias("doc_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.lens").alias("len"))
+
+
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
+    """``rows`` (bucket, ..) dealt by bucket and a part of ``by``, so one word that every document has goes to many tasks."""
+    parts = -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    return rows.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64(by), F.lit(parts)))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """bucket, term, doc_id, tf, len of the words (of a to z, lower-cased) of ``docs`` (doc_id, text)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    counted = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return counted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")).select(bucket(F.col("term")).alias("bucket"), "term", "doc_id", "tf", "len")
+    """bucket, term, doc_id, tf, len of the words (of a to z, lower-cased) of ``docs`` (doc_id, text); ids are unique. Nothing moves."""
+    return _opened(_blocks(docs))
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -40,7 +75,7 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 class Words:
     """A word index below ``path``: postings, documents, tombstones, and the runs that wrote them. One writer at a time.
 
-    Every change is a run of its own number. Its postings are dealt by ranges of (bucket, term, doc_id), so one word that every
+    Every change is a run of its own number. Its postings are dealt by bucket and parts of the documents, so one word that every
     document has is written by many tasks, and the terms of a file lie together. A tombstone says that a document's rows of all earlier
     runs are dead, so replacing one is a run with its tombstone and its new rows. A row of totals, written last, makes a run count: what
     a lost run left is never read. ``compact`` writes all live rows as one run, after which the runs before it are not read.
@@ -67,7 +102,7 @@ class Words:
         if dead is None:
             return rows
         dead = dead.groupBy("doc_id").agg(F.max("seq").alias("dead"))
-        return rows.join(F.broadcast(dead) if few(dead) else dead, "doc_id", "left").filter("dead IS NULL OR dead <= seq").drop("dead")
+        return rows.join(F.broadcast(dead) if few(dead, 1_000_000) else dead, "doc_id", "left").filter("dead IS NULL OR dead <= seq").drop("dead")
 
     def documents(self) -> DataFrame | None:
         """doc_id, len, run, seq of the documents that the index holds."""
@@ -75,15 +110,14 @@ class Words:
         return None if rows is None else self._live(rows)
 
     def _commit(self, kind: str, run: str, new: DataFrame | None, dead: DataFrame | None) -> None:
-        """``new`` (bucket, term, doc_id, tf, len) and documents are written; ``dead`` are the ids whose earlier rows go."""
+        """``new`` (bucket, term, doc_id, tf, len), dealt, is written; ``dead`` are the ids whose earlier rows go."""
         held, runs = self.documents(), self.runs()
         lost = held.join(dead, "doc_id", "left_semi") if dead is not None and held is not None else None
         totals = (lost.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first() if lost is not None else None) or {"n": 0, "words": 0}
         if dead is not None:
             dead.select("doc_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/tombstones")
         if new is not None:
-            order = ["bucket", "term", "doc_id"]
-            new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.lit(run)).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+            self._write_postings(new, run)
         seq = (runs.agg(F.max("seq")).first()[0] if runs is not None else 0) + 1
         added = _read(self.spark, f"{self.path}/documents")
         size = (F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("words"))
@@ -92,6 +126,9 @@ class Words:
         done = self.spark.createDataFrame(row, "run string, seq long, kind string, n long, words long, dead_n long, dead_words long")
         done.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
 
+    def _write_postings(self, rows: DataFrame, run: str) -> None:
+        rows.sortWithinPartitions("bucket", "term", "doc_id").withColumn("run", F.lit(run)).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
     def _write_documents(self, docs: DataFrame, run: str) -> None:
         length = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"))
         docs.select("doc_id", length.alias("len"), F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/documents")
@@ -102,7 +139,7 @@ class Words:
         if held is not None:
             new = new.join(held, "doc_id", "left_anti")
         # documents are written last, as what is new is told by them
-        postings(new).withColumn("run", F.lit(run)).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self._write_postings(_opened(_dealt(_blocks(new), F.col("docs")[0])), run)
         self._write_documents(new, run)
         self._commit("add", run, None, None)
 
@@ -110,7 +147,7 @@ class Words:
         """``docs`` (doc_id, text) in place of what the index holds of these ids, and new ones besides."""
         run, new = uuid.uuid4().hex, docs.select("doc_id", "text")
         self._write_documents(new, run)
-        self._commit("add", run, postings(new), new.select("doc_id").distinct())
+        self._commit("add", run, _opened(_dealt(_blocks(new), F.col("docs")[0])), new.select("doc_id").distinct())
 
     def delete(self, ids: DataFrame) -> None:
         """The documents of ``ids`` (doc_id) are held no more."""
@@ -124,7 +161,7 @@ class Words:
         run = uuid.uuid4().hex
         live = self._live(rows).select("bucket", "term", "doc_id", "tf", "len")
         held.select("doc_id", "len", F.lit(run).alias("run")).write.mode("append").parquet(f"{self.path}/documents")
-        self._commit("compact", run, live, None)
+        self._commit("compact", run, _dealt(live, F.col("doc_id")), None)
 
     def missing(self, stored: DataFrame) -> DataFrame:
         """doc_id, stored, indexed: documents of ``stored`` (doc_id, stored words) whose words in the index are not as many; 0 where it has none."""
