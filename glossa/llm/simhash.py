@@ -284,8 +284,8 @@ def grouped(found: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by similarity: candidates share one of ``BANDS`` keys, each of ``ROWS`` least hashes of the shingles, so a pair at
-# 0.8 is missed once in 4,500 times whatever kind of edit lies between. Candidates whose numbers of shingles allow the
+# Near copies by similarity: candidates are linked by Golay keys of their fingerprints, or share one of ``BANDS`` keys, each of ``ROWS`` least
+# hashes of the shingles, so a pair at 0.8 is missed once in 4,500 times whatever kind of edit lies between. The latter candidates whose numbers of shingles allow the
 # similarity and whose 128-bit fingerprints differ in at most ``LOOSE`` bits (19 are usual at 0.8, with a deviation of 4) gather in
 # groups, and inside a group the shingle sets themselves decide.
 BANDS, ROWS, SKETCH_WORDS, LOOSE = 16, 4, 2, 40
@@ -496,11 +496,20 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
+def golay_candidates(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """u, v: links of ``nodes`` (node, fp) whose fingerprints are equal or, by their Golay keys, differ in at most 3 bits, with the components of all such links."""
+    first = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "sketch-fps")
+    near = staged(links(first.select("fp"), 3, hot), "sketch-links")
+    ends = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    equal = nodes.join(first, "fp").filter("node <> first").select("node", "first")
+    return equal.unionByName(ends.select(F.col("a").alias("node"), F.col("b").alias("first"))).toDF("u", "v")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """id, t, component_id, first of documents that are in a group with others; id is doc_id, or ``NO_ID`` for null, t a hash of the text.
 
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``, which is
-    counted; documents without words are alike. Pairs to count come from keys that a pair at 0.8 shares but for once in 4,500.
+    counted; documents without words are alike. Pairs to count come from Golay keys, as in ``near_groups``, and from keys that a pair at 0.8 shares but for once in 4,500.
     ``first`` is true for the group's least (id, t).
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -511,6 +520,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot:
     nodes = staged(nodes.select("node", "rows", "x.*"), "sketch-nodes")
     keys = in_chunks(staged(nodes.filter("n > 0").select(F.explode("keys").alias("key"), "node", "n", "a", "b"), "sketch-keys"), hot)
     edges = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_alike(similarity), "u long, v long")
+    edges = golay_candidates(nodes.filter("n > 0").select("node", F.col("a").alias("fp")), hot).unionByName(edges)
     # groups of candidates, in pairs of chunks where they hold many shingles
     groups = nodes.join(_rooted(edges).withColumnRenamed("root", "key"), "node").select("key", "node", "id", "t", "n")
     parts = groups.groupBy("key").agg(F.ceil(2 * F.sum("n") / group).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
